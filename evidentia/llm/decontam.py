@@ -100,7 +100,6 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     text); repeated items count once by id. A null document id finds nothing. Columns of ``docs`` with these names are replaced.
     """
     new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
-    docs = docs.drop(*(c for c in new if c in docs.columns and c not in (doc_id, text)))
     own_items = materialize(item_table(items, item_id, item_text), "items")
     terms = materialize(own_items.select(F.explode("item_words").alias("term")).distinct(), "terms")
     counts = materialize(term_counts(docs, terms, text), "term-counts")
@@ -110,14 +109,23 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     places = alignments(index, anchor)
     found = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "diag")).alias("_found")), "alignments")
     own, _ = _small(found.withColumnRenamed("doc_id", "_doc"))
-    done = docs.join(own, docs[doc_id] == F.col("_doc"), "left").withColumn("_words", words_of(F.col(text)))
+    # The row travels as one struct, so none of its columns can clash with those used here.
+    rows = docs.select(F.struct("*").alias("_row"))
+    done = rows.join(own, F.col("_row")[doc_id] == F.col("_doc"), "left").withColumn("_words", words_of(F.col("_row")[text]))
     spans = F.flatten(F.transform("_found", lambda c: F.transform(phrase_starts(F.col("_words"), c["item_words"], c["diag"], window), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), c["item_id"].alias("item")))))
     done = done.withColumn("_spans", F.when(F.col("_found").isNull(), F.array().cast("array<struct<s:int,e:int,item:string>>")).otherwise(spans))
     hit_items = F.array_sort(F.array_distinct(F.transform("_spans", lambda x: x["item"])))
-    done = done.withColumn("n_words", F.size("_words").cast("long")).withColumn("n_hit", _covered(F.col("_spans")).cast("long"))
-    done = done.withColumn("n_items", F.size(hit_items).cast("long")).withColumn("items_sha256", F.sha2(F.array_join(hit_items, ","), 256))
-    done = done.withColumn("contaminated", F.col("n_hit") > 0).withColumn("hit_spans", F.array_distinct(F.transform("_spans", lambda x: F.struct(x["s"], x["e"]))))
-    return done.drop("_doc", "_found", "_words", "_spans")
+    n_hit = _covered(F.col("_spans")).cast("long")
+    rest = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
+    return done.select(
+        *rest,
+        F.size("_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(hit_items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hit_items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        F.array_distinct(F.transform("_spans", lambda x: F.struct(x["s"], x["e"]))).alias("hit_spans"),
+    )
 
 
 ORACLE = r"""

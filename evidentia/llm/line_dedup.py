@@ -44,19 +44,20 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     A null text gives a null ``out`` and zero counts; columns of ``docs`` named like the outputs are replaced.
     The flags of one host are at most (its distinct lines a page) / max_ratio, so one host's list stays small whatever its size.
     """
-    docs = docs.drop(*(c for c in (out, "n_lines", "n_dropped") if c in docs.columns and c not in (host, text)))
+    new = (out, "n_lines", "n_dropped")
     flagged = materialize(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
     small = flagged.count() <= BROADCAST_LINES
     flags = flagged.groupBy("_host").agg(F.collect_list(F.col("key.h1")).alias("_h1"), F.collect_list("key").alias("_keys"))
-    keyed = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    joined = keyed.join(F.broadcast(flags) if small else flags, "_host", "left")
+    # The row travels as one struct, so none of its columns can clash with those used here.
+    keyed = docs.select(F.struct("*").alias("_row")).withColumn("_host", F.coalesce(F.col("_row")[host].cast("string"), F.lit("")))
+    joined, t = keyed.join(F.broadcast(flags) if small else flags, "_host", "left"), F.col("_row")[text]
     bad = lambda x: F.array_contains(F.col("_h1"), F.xxhash64(F.trim(x))) & F.array_contains(F.col("_keys"), _key(x))
-    kept = F.when(F.col("_h1").isNull(), _lines(F.col(text))).otherwise(F.filter(_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~bad(x)))
     full = lambda a: F.size(F.filter(a, lambda x: F.trim(x) != ""))
-    done = joined.withColumn("_kept", kept)
-    done = done.withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), full(_lines(F.col(text)))), F.lit(0)).cast("long"))
-    done = done.withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines") - full(F.col("_kept"))).cast("long"))
-    return done.withColumn(out, F.array_join("_kept", "\n")).drop("_host", "_h1", "_keys", "_kept")
+    kept = F.when(F.col("_h1").isNull(), _lines(t)).otherwise(F.filter(_lines(t), lambda x: (F.trim(x) == "") | ~bad(x)))
+    done = joined.withColumn("_kept", kept).withColumn("_n", F.when(t.isNull(), F.lit(0)).otherwise(full(_lines(t))).cast("long"))
+    dropped = F.when(t.isNull(), F.lit(0)).otherwise(F.col("_n") - full(F.col("_kept"))).cast("long")
+    rest = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
+    return done.select(*rest, F.array_join("_kept", "\n").alias(out), F.col("_n").alias("n_lines"), dropped.alias("n_dropped"))
 
 
 ORACLE = f"""

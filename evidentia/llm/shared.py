@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidentia.session import table
+from evidentia.session import python_workers, table
 
 __all__ = ["ascii_lower", "dealt", "materialize", "new_folder", "partitions", "shared_root", "python_workers", "table", "WORD"]
 
@@ -53,14 +51,3 @@ def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is. Pure ASCII texts take the fast built-in."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
-
-
-def python_workers(spark: SparkSession, rows: int = 256) -> None:
-    """Set this session up for Python in tasks: Arrow batches of at most ``rows`` rows, so that a task's memory follows a few texts and not
-    thousands, and this library on the workers' path, where it is not installed."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)

@@ -81,19 +81,24 @@ def judge(pages: DataFrame, url: str = "url", html: str | None = "html", redirec
     ``redirects`` (a, b) adds known redirects. A null URL, or one without ://, has an empty host and path and no component. Repeated pages and
     URLs all get their verdict; components are joined by URL, so a URL with very many pages can be split by adaptive skew handling.
     """
-    pages = pages.drop(*(c for c in ("host", "path", "rule", "verdict", "component", "_node") if c in pages.columns and c not in (url, html)))
-    judged = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    judged = judged.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    sources = [x for x in (alias_edges(pages, url, html) if html else None, redirects and redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))) if x is not None]
-    if not sources:
-        return judged.select("*", F.lit(None).cast("string").alias("component"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict")).drop("_rule")
-    members = connected_components(reduce(DataFrame.unionByName, sources))
-    blocked = members.withColumn("_v", matching_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])
-    blocked = blocked.groupBy("component").agg(F.max(F.coalesce(F.col("_v") == "block", F.lit(False))).alias("_blocked"))
-    aliases = members.join(blocked, "component").select(F.col("node").alias("_node"), "component", "_blocked")
-    out = judged.withColumn("_node", node_of(F.col(url))).join(aliases, "_node", "left")
+    new = ("host", "path", "rule", "verdict", "component")
+    # The row travels as one struct, so none of its columns can clash with those used here.
+    judged = pages.select(F.struct("*").alias("_row")).withColumn("_host", host_of(F.col("_row")[url])).withColumn("_path", path_of(F.col("_row")[url]))
+    judged = judged.withColumn("_rule", matching_rule(F.col("_host"), F.col("_path"), rules)).withColumn("_node", node_of(F.col("_row")[url]))
+    sources = [alias_edges(pages, url, html)] if html else []
+    if redirects is not None:
+        sources.append(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
+    if sources:
+        members = connected_components(reduce(DataFrame.unionByName, sources))
+        judged_by = members.withColumn("_v", matching_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])
+        blocked = judged_by.groupBy("component").agg(F.max(F.coalesce(F.col("_v") == "block", F.lit(False))).alias("_blocked"))
+        aliases = members.join(blocked, "component").select(F.col("node").alias("_node"), F.col("component").alias("_component"), "_blocked")
+        judged = judged.join(aliases, "_node", "left")
+    else:
+        judged = judged.withColumn("_component", F.lit(None).cast("string")).withColumn("_blocked", F.lit(False))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), F.lit("block")), F.lit(default))
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule", "_node", "_blocked")
+    rest = [F.col("_row")[c].alias(c) for c in pages.columns if c not in new]
+    return judged.select(*rest, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.col("_component").alias("component"), verdict.alias("verdict"))
 
 
 ORACLE = r"""
