@@ -60,4 +60,4 @@ def estimated_tokens(text: Column, per_token: float = 3.5) -> Column:
 
 def complexity(edges: Column, nodes: Column, blocks: Column) -> Column:
     """Cyclomatic complexity edges - nodes + 2, not below 0; 0 without nodes; the block count where the graph is unknown."""
-    return F.coalesce(F.when(nodes == 0, F.lit(0)).otherwise(F.greatest(edges - nodes + 2, F.lit(0))), blocks)
+    return F.when(nodes == 0, F.lit(0)).when(edges.isNull() | nodes.isNull(), blocks).otherwise(F.greatest(edges - nodes + 2, F.lit(0)))

@@ -72,7 +72,7 @@ def proximity_pairs(functions: DataFrame, reach: int = 5, distance: int = 2000,
     keys = [by] if by else []
     ranked = functions.select(*keys, "addr", "size", F.row_number().over(Window.partitionBy(*keys).orderBy("addr")).alias("rank"))
     steps = F.array(*(F.lit(d) for d in range(-reach, reach + 1) if d))
-    left = ranked.select(*keys, F.col("addr").alias("a"), (F.col("rank") + F.explode(steps)).alias("rank"))
+    left = ranked.select(*keys, F.col("addr").alias("a"), F.explode(F.transform(steps, lambda d: F.col("rank") + d)).alias("rank"))
     right = ranked.select(*keys, F.col("addr").alias("b"), F.col("size").alias("size_b"), "rank")
     return left.join(right, [*keys, "rank"]).filter((F.abs(F.col("a") - F.col("b")) < distance) & (F.col("size_b") < size)).select(*keys, "a", "b", "size_b")
 

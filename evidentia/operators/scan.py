@@ -118,17 +118,27 @@ def signature_scan(sections: DataFrame, signatures: DataFrame) -> DataFrame:
     return found.select("file_id", "section", "name", "algorithm", (F.col("vaddr") + F.expr("locate(p, blob)") - 1).alias("address")).withColumn("offset", hex_address(F.col("address")))
 
 
-def phrase_scan(texts: DataFrame, phrases: DataFrame, prefix: int = 24) -> DataFrame:
-    """(id, item, position) of each phrase's first place in each text, for dictionaries of any size.
+ANCHOR_WORDS = 3
 
-    texts: (id, text); phrases: (item, phrase), none shorter than ``prefix``. Every text is cut at its words into anchors of ``prefix`` characters, so
-    the join is by equality; a whole-phrase check follows. Phrases must start at a word.
+
+def phrase_scan(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(id, item, position) of each phrase's first place in each text, if that is at the start of a word; for dictionaries of any size.
+
+    texts: (id, text); phrases: (item, phrase). A phrase's first words are its anchor; anchors of texts and phrases meet by equality and without the texts,
+    then the few candidates are checked whole. Phrases of fewer words than an anchor are looked for by a contains-join.
     """
-    starts = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (i == 1) | (F.substr(F.col("text"), i - 1, F.lit(1)).isin(" ", "\n")))
-    anchors = texts.filter(F.length("text") > 0).select("id", "text", F.explode(starts).alias("position")).withColumn("anchor", F.expr(f"substr(text, position, {prefix})"))
-    own = phrases.withColumn("anchor", F.substring("phrase", 1, prefix))
-    hits = anchors.join(own, "anchor").filter(F.expr("substr(text, position, length(phrase)) = phrase"))
-    return hits.groupBy("id", "item").agg(F.min("position").cast("long").alias("position"))
+    words = lambda c: F.split(c, "[ \n]")
+    run = lambda w, i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(ANCHOR_WORDS)))
+    long_enough = F.size(words(F.col("phrase"))) >= ANCHOR_WORDS
+    own = phrases.filter(long_enough).select("item", run(words(F.col("phrase")), F.lit(0)).alias("anchor"))
+    cut = texts.select("id", words(F.col("text")).alias("w")).filter(F.size("w") >= ANCHOR_WORDS)
+    anchors = cut.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - ANCHOR_WORDS), lambda i: run(F.col("w"), i))).alias("anchor"))
+    pairs = anchors.join(own, "anchor").select("id", "item").distinct()
+    near = texts.join(pairs, "id").join(phrases, "item").filter("contains(text, phrase)")
+    short = texts.join(F.broadcast(phrases.filter(~long_enough & (F.col("phrase") != ""))), F.expr("contains(text, phrase)"))
+    found = near.select("id", "item", "text", "phrase").unionByName(short.select("id", "item", "text", "phrase"))
+    found = found.withColumn("position", F.expr("locate(phrase, text)").cast("long"))
+    return found.filter("position = 1 OR substr(text, position - 1, 1) IN (' ', '\n')").select("id", "item", "position")
 
 
 def constant_groups(found: DataFrame, by: str = "file_id") -> DataFrame:
@@ -196,22 +206,27 @@ def key_windows(sections: DataFrame, sizes=KEY_SIZES) -> DataFrame:
     A window has at least 4 distinct bytes, three tenths of it outside printable ASCII, an entropy of 3 bits or more, and is no public constant.
     Windows are made and tested inside each row, cheap tests first; only candidates are exploded.
     """
-    hexed = F.lower(F.hex("data"))
     named = sections.filter(F.lower(F.col("name")).rlike(DATA_SECTIONS) & F.col("data").isNotNull())
-    rows = named.select("file_id", F.col("name").alias("section"), "vaddr", hexed.alias("h"), F.octet_length("data").alias("n"))
+    rows = named.select("file_id", F.col("name").alias("section"), "vaddr", F.lower(F.hex("data")).alias("h"), byte_values(F.lower(F.hex("data"))).alias("all"), F.octet_length("data").alias("n"))
     kept = None
     for size in sizes:
         starts = F.when(F.col("n") > size, F.sequence(F.lit(0), F.col("n") - size - 1)).otherwise(F.array().cast("array<int>"))
-        one = rows.select("file_id", "section", "vaddr", F.explode(starts).alias("o"), "h").select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), F.lit(size).alias("size"), F.expr(f"substr(h, o * 2 + 1, {2 * size})").alias("hexed"))
+        # 3 bits of entropy need 8 distinct values, which is cheap to test before a window is made.
+        good = F.filter(starts, _variety(size))
+        one = rows.select("file_id", "section", "vaddr", "h", "all", F.explode(good).alias("o"))
+        one = one.select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), F.lit(size).alias("size"), F.expr(f"substr(h, o * 2 + 1, {2 * size})").alias("hexed"), F.slice("all", F.col("o") + 1, size).alias("b"))
         kept = one if kept is None else kept.unionByName(one)
-    valued = kept.withColumn("b", byte_values(F.col("hexed")))
     odd = F.size(F.filter("b", lambda x: (x < 32) | (x > 126)))
-    valued = valued.filter((F.size(F.array_distinct("b")) >= 4) & (odd >= F.col("size") * 0.3)).filter(~is_public_constant(F.col("hexed")))
-    good = valued.filter(entropy_of(F.col("b")) >= 3.0 - 1e-9)
+    valued = kept.filter((odd >= F.col("size") * 0.3) & ~is_public_constant(F.col("hexed")))
+    good = valued.filter((F.col("size") == 8) | (entropy_of(F.col("b")) >= 3.0 - 1e-9))
     least = good.groupBy("file_id", "section", "offset").agg(F.min_by(F.struct("size", "hexed"), "size").alias("k"))
     return least.select("file_id", "section", "offset", "k.size", "k.hexed", key_type(F.col("k.size")).alias("key_type"))
 
 
+def _variety(size: int):
+    return lambda o: F.size(F.array_distinct(F.slice("all", o + 1, size))) >= 8
+
+
 def first_keys(candidates: DataFrame, first: int = 10) -> DataFrame:
     """The ``first`` key candidates of each file by offset, with the file's total and flag."""
     total = candidates.groupBy("file_id").agg(F.count("*").alias("total_found"))

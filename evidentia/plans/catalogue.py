@@ -168,9 +168,9 @@ def rotation_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.bit_rotations(detect.function_counts(insn)).filter(F.size("rotation_amounts") > 0).select("file_id", "func", F.array_join("rotation_amounts", ",").alias("amounts"))
 
 
-@query("""WITH {FACTS}, m AS (SELECT *, (n_xor > 0)::INT + (n_add > 0)::INT + (n_sub > 0)::INT + (n_mul > 0)::INT + (n_rotate > 0)::INT + (n_shift > 0)::INT + (n_and > 0)::INT + (n_or > 0)::INT AS d, n_xor + n_add + n_sub + n_mul + n_rotate + n_shift + n_and + n_or AS t FROM counts)
-SELECT file_id, func, d::BIGINT AS operation_diversity, t AS total_operations, n_xor, n_add, n_sub, n_mul, n_rotate, n_shift, n_and, n_or, round(d * t / 100.0::DOUBLE, 2) AS mixing_score, CASE WHEN d * t > 500 THEN 'very_strong' ELSE 'strong' END AS crypto_indicator,
-CASE WHEN n_add >= 3 AND n_xor >= 3 AND n_rotate >= 2 THEN 'ARX_cipher (ChaCha20/Salsa20 style)' WHEN n_xor >= 4 AND n_shift + n_rotate >= 3 THEN 'SPN_cipher (AES style)' WHEN n_xor >= 3 AND n_and >= 2 AND n_or >= 2 THEN 'hash_function (SHA/MD5 style)' ELSE 'general_crypto_mixing' END AS pattern_type FROM m WHERE d >= 3 AND t >= 10""")
+@query("""WITH {FACTS}, m AS (SELECT *, (n_xor > 0)::INT + (n_add > 0)::INT + (n_sub > 0)::INT + (n_mul > 0)::INT + (n_rotate > 0)::INT + (n_shift > 0)::INT + (n_and > 0)::INT + (n_or > 0)::INT AS d, n_xor + n_add + n_sub + n_mul + n_rotate + n_shift + n_and + n_or AS tt FROM counts)
+SELECT file_id, func, d::BIGINT AS operation_diversity, tt AS total_operations, n_xor, n_add, n_sub, n_mul, n_rotate, n_shift, n_and, n_or, round(d * tt / 100.0::DOUBLE, 2) AS mixing_score, CASE WHEN d * tt > 500 THEN 'very_strong' ELSE 'strong' END AS crypto_indicator,
+CASE WHEN n_add >= 3 AND n_xor >= 3 AND n_rotate >= 2 THEN 'ARX_cipher (ChaCha20/Salsa20 style)' WHEN n_xor >= 4 AND n_shift + n_rotate >= 3 THEN 'SPN_cipher (AES style)' WHEN n_xor >= 3 AND n_and >= 2 AND n_or >= 2 THEN 'hash_function (SHA/MD5 style)' ELSE 'general_crypto_mixing' END AS pattern_type FROM m WHERE d >= 3 AND tt >= 10""")
 def mixing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.data_mixing(detect.function_counts(st.instructions(spark, sf_dir)))
 
@@ -210,7 +210,7 @@ def mem_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.memory_ratios(detect.loop_instructions(st.loop_insn(spark, sf_dir), st.loops(spark, sf_dir)))
 
 
-@query("WITH {FACTS}, v AS (SELECT file_id, func, ord, ('0x' || regexp_extract(op_str, '0x([0-9a-f]+)', 1))::BIGINT AS v FROM insn WHERE contains(op_str, '0x')), w AS (SELECT *, CASE WHEN v IN (1779033703, 3144134277) THEN 'SHA-256' WHEN v IN (1732584193, 4023233417) THEN 'SHA-1' END AS a FROM v) SELECT file_id, func, count(DISTINCT v)::BIGINT AS constant_count, arg_max(a, (ord, v)) AS algorithm, string_agg(DISTINCT v::VARCHAR, ',' ORDER BY v::VARCHAR) AS found, CASE WHEN count(DISTINCT v) >= 4 THEN 'high' ELSE 'medium' END AS confidence FROM w WHERE a IS NOT NULL GROUP BY file_id, func HAVING count(DISTINCT v) >= 2")
+@query("WITH {FACTS}, v AS (SELECT file_id, func, ord, TRY_CAST('0x' || regexp_extract(op_str, '0x([0-9a-f]+)', 1) AS BIGINT) AS v FROM insn WHERE contains(op_str, '0x')), w AS (SELECT *, CASE WHEN v IN (1779033703, 3144134277) THEN 'SHA-256' WHEN v IN (1732584193, 4023233417) THEN 'SHA-1' END AS a FROM v) SELECT file_id, func, count(DISTINCT v)::BIGINT AS constant_count, arg_max(a, (ord, v)) AS algorithm, string_agg(DISTINCT v::VARCHAR, ',' ORDER BY v::VARCHAR) AS found, CASE WHEN count(DISTINCT v) >= 4 THEN 'high' ELSE 'medium' END AS confidence FROM w WHERE a IS NOT NULL GROUP BY file_id, func HAVING count(DISTINCT v) >= 2")
 def distinct_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.hash_constants(st.instructions(spark, sf_dir))
     return found.select("file_id", "func", "constant_count", "algorithm", F.array_join(F.array_sort(F.transform("constants_found", lambda v: v.cast("string"))), ",").alias("found"), "confidence")
@@ -261,8 +261,8 @@ def function_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extract(spark, sf_dir, True)
 
 
-_SCORES = """WITH {FACTS}, m AS (SELECT *, (n_xor > 0)::INT + (n_add > 0)::INT + (n_sub > 0)::INT + (n_mul > 0)::INT + (n_rotate > 0)::INT + (n_shift > 0)::INT + (n_and > 0)::INT + (n_or > 0)::INT AS d, n_xor + n_add + n_sub + n_mul + n_rotate + n_shift + n_and + n_or AS t FROM counts),
-p AS (SELECT file_id, count(*) FILTER (x >= 2) AS nx, count(*) FILTER (r2 >= 2) AS nr, count(*) FILTER (d >= 3 AND m.t >= 10) AS nm, count(*) FILTER (x >= 2 AND a >= 2 AND rot >= 1) AS na FROM m GROUP BY file_id),
+_SCORES = """WITH {FACTS}, m AS (SELECT *, (n_xor > 0)::INT + (n_add > 0)::INT + (n_sub > 0)::INT + (n_mul > 0)::INT + (n_rotate > 0)::INT + (n_shift > 0)::INT + (n_and > 0)::INT + (n_or > 0)::INT AS d, n_xor + n_add + n_sub + n_mul + n_rotate + n_shift + n_and + n_or AS tt FROM counts),
+p AS (SELECT file_id, count(*) FILTER (x >= 2) AS nx, count(*) FILTER (r2 >= 2) AS nr, count(*) FILTER (d >= 3 AND tt >= 10) AS nm, count(*) FILTER (x >= 2 AND a >= 2 AND rot >= 1) AS na FROM m GROUP BY file_id),
 l AS (SELECT *, least(least(nx * 0.15::DOUBLE, 0.4::DOUBLE) + least(nr * 0.12::DOUBLE, 0.3::DOUBLE) + least(nm * 0.18::DOUBLE, 0.4::DOUBLE) + CASE WHEN nx + nr + nm >= 10 THEN 0.3::DOUBLE WHEN nx + nr + nm >= 5 THEN 0.15::DOUBLE ELSE 0 END, 1.0::DOUBLE) AS score FROM p)"""
 
 
@@ -306,7 +306,7 @@ fe AS (SELECT file_id, func, CASE WHEN r + ms // 4 >= 2 AND x >= 2 THEN least(0.
 fl AS (SELECT file_id, bool_or(round(m / n::DOUBLE, 3) > 0.25) AS sbox, bool_or(round(m / n::DOUBLE, 3) < 0.15) AS arx, bool_or(round(m / n::DOUBLE, 3) BETWEEN 0.15 AND 0.25) AS hybrid FROM c WHERE n >= 20 GROUP BY file_id),
 mg AS (SELECT DISTINCT file_id FROM (SELECT file_id, func FROM insn WHERE contains(op_str, '0x61707865') OR contains(op_str, '0x3320646e') GROUP BY ALL HAVING count(DISTINCT op_str) >= 2)),
 f AS (SELECT i.file_id, coalesce(sbox, false) AS sbox, coalesce(arx, false) AS arx, coalesce(hybrid, false) AS hybrid, i.file_id IN (SELECT file_id FROM fe) AS fei, i.file_id IN (SELECT file_id FROM mg) AS magic FROM (SELECT DISTINCT file_id FROM insn) i LEFT JOIN fl USING (file_id)),
-hc AS (SELECT file_id, func, arg_max(a, (ord, v)) AS a FROM (SELECT file_id, func, ord, v, CASE WHEN v IN (1779033703, 3144134277) THEN 'SHA-256' WHEN v IN (1732584193, 4023233417) THEN 'SHA-1' END AS a FROM (SELECT *, ('0x' || regexp_extract(op_str, '0x([0-9a-f]+)', 1))::BIGINT AS v FROM insn WHERE contains(op_str, '0x'))) WHERE a IS NOT NULL GROUP BY file_id, func HAVING count(DISTINCT v) >= 2),
+hc AS (SELECT file_id, func, arg_max(a, (ord, v)) AS a FROM (SELECT file_id, func, ord, v, CASE WHEN v IN (1779033703, 3144134277) THEN 'SHA-256' WHEN v IN (1732584193, 4023233417) THEN 'SHA-1' END AS a FROM (SELECT *, TRY_CAST('0x' || regexp_extract(op_str, '0x([0-9a-f]+)', 1) AS BIGINT) AS v FROM insn WHERE contains(op_str, '0x'))) WHERE a IS NOT NULL GROUP BY file_id, func HAVING count(DISTINCT v) >= 2),
 lp AS (SELECT file_id, func, arg_min(n, loop_id) AS n FROM (SELECT file_id, func, loop_id, count(DISTINCT block) AS n FROM loops GROUP BY ALL HAVING count(DISTINCT block) BETWEEN 3 AND 20) GROUP BY ALL),
 lr AS (SELECT file_id, func, CASE WHEN n BETWEEN 10 AND 12 THEN 10 WHEN n BETWEEN 13 AND 14 THEN 12 WHEN n BETWEEN 16 AND 17 THEN 16 WHEN n BETWEEN 18 AND 20 THEN 20 ELSE n END AS n FROM lp),
 u AS (SELECT file_id, func, 'DES or Feistel-based cipher' AS algorithm, CASE WHEN sbox THEN least(0.98::DOUBLE, round(conf, 2) + 0.10::DOUBLE) ELSE round(conf, 2) END AS confidence, 'symmetric' AS category, 'feistel' AS structure FROM fe JOIN f USING (file_id)

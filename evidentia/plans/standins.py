@@ -75,7 +75,8 @@ SQL = f"""
 insn AS (SELECT l_suppkey % 10 AS file_id, l_suppkey AS func, l_linenumber::BIGINT AS block, l_orderkey * 10 + l_linenumber AS ord, {_LIST}[l_partkey % 12 + 1] AS mnemonic,
   CASE WHEN l_partkey % 97 < 6 THEN 'r0, ' || {_WORDS}[l_partkey % 97 + 1] WHEN l_partkey % 12 IN (5, 6) THEN 'r1, [r2, #4]' ELSE 'r1, ' || l_linenumber::VARCHAR END AS op_str, l_partkey % 1000 AS o FROM lineitem),
 loops AS (SELECT l_suppkey % 10 AS file_id, l_suppkey AS func, l_orderkey % 3 AS loop_id, l_orderkey % (l_suppkey % 19 + 2) AS block FROM lineitem),
-hot AS (SELECT file_id, func, loop_id, n_blocks FROM (SELECT file_id, func, loop_id, count(DISTINCT block) AS n_blocks, row_number() OVER (PARTITION BY file_id, func ORDER BY count(DISTINCT block) DESC, loop_id) AS rn FROM loops GROUP BY ALL) WHERE rn = 1),
+lsize AS (SELECT file_id, func, loop_id, count(DISTINCT block) AS n_blocks FROM loops GROUP BY file_id, func, loop_id),
+hot AS (SELECT file_id, func, loop_id, n_blocks FROM (SELECT *, row_number() OVER (PARTITION BY file_id, func ORDER BY n_blocks DESC, loop_id) AS rn FROM lsize) WHERE rn = 1),
 linsn AS (SELECT i.* FROM (SELECT file_id, func, (ord // 10) % (func % 19 + 2) AS block, mnemonic, op_str FROM insn) i
   JOIN (SELECT DISTINCT l.file_id, l.func, l.block FROM loops l JOIN hot h USING (file_id, func, loop_id) WHERE h.n_blocks >= 2) b USING (file_id, func, block)),
 counts AS (SELECT file_id, func, count(*) FILTER (mnemonic IN ('xor', 'eor')) AS x, sum(CASE WHEN mnemonic = 'ror' THEN 2 WHEN mnemonic = 'lsl' THEN 1 ELSE 0 END)::BIGINT AS r2,
