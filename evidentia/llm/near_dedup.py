@@ -22,8 +22,10 @@ ERRORS = 1
 #: By pigeonhole, signatures that differ in at most this many symbols share a key: 31 of 80. Two sets at the link threshold differ in 12 on average
 #: and in more than 31 with a chance of about 1e-7.
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: A bucket of more documents is first thinned by the exact bounds of ``_matchable``.
+#: All pairs of a bucket of up to so many documents may be compared; larger ones are thinned by exact bounds first.
 SMALL_BUCKET = 8
+#: A shingle is rare if at most so many documents of the large buckets have it.
+RARE = 32
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts out; beyond it texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -141,12 +143,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
 
 
-def _matchable(ids: DataFrame, docs: DataFrame, sigs: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """(id, n_shingles, m) of those ``ids`` that may have a link among them; m counts a document's shingles that another of them has.
-
-    A shingle that no other has cannot be in an intersection, so a document with 100 * m < percent * size has no link and goes; then
-    shingles of those that are left are counted again. This takes time in proportion to the texts, whatever the size of a group.
-    """
+def _rare_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(s, id, df) of the shingles that at most RARE of the documents ``ids`` have, df being how many have them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -156,47 +154,69 @@ def _matchable(ids: DataFrame, docs: DataFrame, sigs: DataFrame, percent: int, r
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), i, np.int64))], ["s", "id"])
 
     shingles = materialize(_texts(docs, ids).select("id", "t").mapInArrow(run, "s long, id long"), "shingles")
-    left = ids
-    for _ in range(rounds):
-        own = shingles.join(left.select("id"), "id", "left_semi")
-        lonely = own.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("u"))
-        sized = left.select("id").join(sigs.select("id", "n_shingles"), "id").join(lonely, "id", "left")
-        kept = sized.select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("u", F.lit(0))).alias("m"))
-        left = materialize(kept.filter(100 * F.col("m") >= percent * F.col("n_shingles")), "matchable")
-    return left
+    few = materialize(shingles.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE), "rare-shingles")
+    return materialize(shingles.join(few, "s"), "rare-postings")
+
+
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, n, id, c) of the buckets of more than two documents that lie in several components c."""
+    named = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("c"))
+    named = materialize(named, "named")
+    keys = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
+    return materialize(named.join(materialize(keys, "mixed-keys"), "key"), "mixed")
 
 
 def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(edges a, b; components node, component) that connect whatever is linked among ``sigs`` (id, n_shingles, sig), docs being (id, t).
 
-    First each bucket's members are compared with its smallest; this links most copies, at one pair a member. Then every pair of a bucket whose ends
-    are still in different components is compared, so no link is lost. Buckets of more than SMALL_BUCKET documents are first
-    thinned by exact bounds on what their members can share, so a large group of loose copies does not give all its pairs.
+    1. Each bucket's members are compared with its smallest: one pair a member links most copies.
+    2. Large buckets that are still in several components are compared with their cleanest member, the one with most common shingles.
+    3. Every pair of a bucket whose ends are still apart is compared, so no link is lost. In large buckets it must pass exact bounds first: two
+       documents share a shingle that is rare among the large buckets' documents, or else share common ones only, and then their numbers of
+       common shingles bound the intersection. Rare shingles are joined by equality, at most RARE / 2 pairs for each place of one. So a large
+       group of loose copies does not give all its pairs.
     """
     members = hamming_members(sigs)
-    star = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = confirm(within_distance(star, sigs, percent), docs, percent)
-    edges = first.filter("linked").select("a", "b")
+    tried = materialize(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    edges = confirm(within_distance(tried, sigs, percent), docs, percent).filter("linked").select("a", "b")
     parts = connected_components(edges)
-    named = members.filter("n > 2").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("c"))
-    mixed = materialize(named, "named")
-    open_keys = mixed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
-    rest = materialize(mixed.join(materialize(open_keys, "open-keys"), "key"), "open-members")
-    tried = star.select("a", "b")
+    wide = members.filter("n > 2")
+    rest = _mixed(wide, parts)
+    ids = materialize(rest.filter(F.col("n") > SMALL_BUCKET).select("id").distinct(), "large-ids")
+    dense = not ids.isEmpty()
+    if dense:
+        low = _rare_shingles(ids, docs)
+        lost = low.groupBy("id").agg(F.count("*").alias("low"), F.count_if(F.col("df") == 1).alias("lonely"))
+        sized = ids.join(sigs.select("id", "n_shingles"), "id").join(lost, "id", "left").fillna(0, ["low", "lonely"])
+        # A shingle that no other document of the large buckets has is in no intersection there.
+        able = materialize(sized.filter(100 * (F.col("n_shingles") - F.col("lonely")) >= percent * F.col("n_shingles")).select("id", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.col("low")).alias("common")), "able")
+        thin = rest.filter(F.col("n") > SMALL_BUCKET).join(able, "id")
+        cleanest = materialize(thin.groupBy("key").agg(F.max(F.struct("common", (-F.col("id")).alias("neg"), "c")).alias("p")).select("key", (-F.col("p.neg")).alias("p"), F.col("p.c").alias("pc")), "cleanest")
+        star = thin.join(cleanest, "key").filter("c <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        star = materialize(star.join(tried, ["a", "b"], "left_anti"), "second-star")
+        second = confirm(within_distance(star, sigs, percent), docs, percent).filter("linked").select("a", "b")
+        tried, edges = tried.unionByName(star), edges.unionByName(second)
+        parts = connected_components(edges)
+        rest = _mixed(wide, parts)
     small = rest.filter(F.col("n") <= SMALL_BUCKET).select("key", "id", "c")
     other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
     pairs = small.join(other, "key").filter("id < b AND c <> cb").select(F.col("id").alias("a"), "b")
-    large = rest.filter(F.col("n") > SMALL_BUCKET)
-    ids = materialize(large.select("id").distinct(), "large-ids")
-    if not ids.isEmpty():
-        able = _matchable(ids, docs, sigs, percent)
-        thin = large.join(able, "id").select("key", "id", "c", F.col("n_shingles").alias("na"), F.col("m").alias("ma"))
-        twin = thin.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("na").alias("nb"), F.col("ma").alias("mb"))
-        most = F.least("ma", "mb")
-        pairs = pairs.unionByName(thin.join(twin, "key").filter("id < b AND c <> cb").filter(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select(F.col("id").alias("a"), "b"))
+    if dense:
+        left = rest.filter(F.col("n") > SMALL_BUCKET).join(able, "id").select("key", "id", "c", "size", "common")
+        right = left.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("common").alias("common_b"))
+        apart = (F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
+        most = F.least("common", "common_b")
+        alike = left.join(right, "key").filter(apart & (100 * most >= percent * (F.col("size") + F.col("size_b") - most)))
+        known = left.select("id", "c", "size", "common").distinct()
+        own = low.filter("df > 1").select("s", "id").join(known, "id")
+        twin = own.select("s", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("common").alias("common_b"))
+        sharing = own.join(twin, "s").filter(apart).groupBy("id", "b").agg(F.count("*").alias("shared"), F.first(most).alias("most"), F.first(F.col("size") + F.col("size_b")).alias("sizes"))
+        bound = F.col("shared") + F.col("most")
+        sharing = sharing.filter(100 * bound >= percent * (F.col("sizes") - bound))
+        pairs = pairs.unionByName(alike.select(F.col("id").alias("a"), "b")).unionByName(sharing.select(F.col("id").alias("a"), "b"))
     pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-    second = confirm(within_distance(pairs, sigs, percent), docs, percent)
-    edges = edges.unionByName(second.filter("linked").select("a", "b"))
+    last = confirm(within_distance(pairs, sigs, percent), docs, percent).filter("linked").select("a", "b")
+    edges = edges.unionByName(last)
     return edges, connected_components(edges)
 
 
@@ -223,6 +243,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, and those with a null doc_id."""
-    gone = materialize(near_duplicates(docs, doc_id, text, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = materialize(near_duplicates(docs, doc_id, text, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone_doc_id")).distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs[doc_id] == F.col("__gone_doc_id"), "left_anti")
