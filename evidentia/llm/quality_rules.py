@@ -170,6 +170,16 @@ def verdict(rules: list[Rule], default: bool = True) -> Column:
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _rules(judged: DataFrame, labels: DataFrame, id_: str) -> list[Rule]:
+    """Rules learned from the rows of ``judged`` (doc_id, features, base_failed) that did not fail already and have a label."""
+    known = labels.select(F.col(id_).alias("doc_id"), (1 - F.col("quality")).alias("_bad")).filter("_bad IS NOT NULL")
+    return learn(judged.filter(~F.col("base_failed")).join(known, "doc_id"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id") -> tuple[DataFrame, list[Rule]]:
     """(doc_id, statistics, features, base_failed, kept) of every document, and the rules.
 
@@ -178,16 +188,17 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "do
     (then every labelled copy counts); null or repeated ids are judged row by row.
     """
     stats = materialize(features(statistics(docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")), "text").drop("text")), "quality")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = stats.withColumn("base_failed", failed)
-    known = labels.select(F.col(id_).alias("doc_id"), (1 - F.col("quality")).alias("_bad")).filter("_bad IS NOT NULL")
-    rules = learn(judged.filter(~F.col("base_failed")).join(known, "doc_id"))
+    judged = stats.withColumn("base_failed", _failed())
+    rules = _rules(judged, labels, id_)
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns: the statistics are computed beside each row, so nothing is joined."""
-    _, rules = judge(docs, labels, text, id_)
-    out = features(statistics(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.filter(~failed & verdict(rules)).select("_row.*")
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    The statistics are written beside each row, once, so nothing is joined or computed twice; fitting reads their columns only.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_).alias("doc_id"), F.col(text).alias("_text"))
+    judged = materialize(features(statistics(rows, "_text").drop("_text")), "quality-rows").withColumn("base_failed", _failed())
+    rules = _rules(judged.drop("_row"), labels, id_)
+    return judged.filter(~F.col("base_failed") & verdict(rules)).select("_row.*")
