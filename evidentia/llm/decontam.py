@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidentia.llm.shared import ascii_lower, materialize
 
 WINDOW = 10
-#: Up to so many rows a table of test terms or of alignments is broadcast (some 100 bytes a row); beyond it joins shuffle.
+#: Up to so many rows a table of test terms is broadcast (some 100 bytes a row); beyond it joins shuffle.
 BROADCAST_ROWS = 300_000
+#: The same for documents with their alignments, which hold items' words (some kilobytes a row at most for usual items).
+BROADCAST_FOUND = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -108,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     index = materialize(postings(docs, used, doc_id, text), "postings")
     places = alignments(index, anchor)
     found = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "diag")).alias("_found")), "alignments")
-    own, _ = _small(found.withColumnRenamed("doc_id", "_doc"))
+    own, _ = _small(found.withColumnRenamed("doc_id", "_doc"), BROADCAST_FOUND)
     # The row travels as one struct, so none of its columns can clash with those used here.
     rows = docs.select(F.struct("*").alias("_row"))
     done = rows.join(own, F.col("_row")[doc_id] == F.col("_doc"), "left").withColumn("_words", words_of(F.col("_row")[text]))
