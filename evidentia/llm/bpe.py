@@ -20,12 +20,12 @@ FIRST_WINDOW = 16
 #: Known pieces kept by a task's encoder; the table is emptied when full.
 CACHE = 1_000_000
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 #: Characters outside these classes, and the start of a special token, send a part to the library whole.
 _ODD = re.compile(rf"[^\t\n\r\x20-\x7e{_LATIN}]|<\|")
 #: The pre-tokenizers of the two vocabularies for texts without odd characters.
 BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+")
-WORD_PIECES = re.compile(rf"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+")
+WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+")  # of lower-cased texts
 
 
 class Encoder:
@@ -35,27 +35,49 @@ class Encoder:
     characters just as the library does; every other text goes to the library as it is.
     """
 
-    def __init__(self, path: str, pieces: re.Pattern):
+    def __init__(self, path: str, pieces: re.Pattern, lower: bool = False):
+        """``lower``: the vocabulary lower-cases, drops white space, and marks the last token of each word."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces = pieces
+        self.pieces, self.lower = pieces, lower
         self.known: dict[str, bytes] = {}
+        self.ends = None
+        if lower:
+            self.ends = np.zeros(self.library.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_pieces(self, pieces: list[str], at_once: int = 256) -> list[bytes]:
+        """The ids of pieces; where words end with tokens of their own, many are asked in one text and cut apart again."""
+        if self.ends is None:
+            return self._ask(pieces)
+        out: list[bytes] = []
+        for k in range(0, len(pieces), at_once):
+            some = pieces[k : k + at_once]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * z] for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+            else:
+                out += self._ask(some)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [None if _ODD.search(t) else self.pieces.findall(t) for t in texts]
-        missing = list({p for pieces in cut if pieces is not None for p in pieces if p not in self.known})
+        cut = [None if _ODD.search(t) else self.pieces.findall(t.lower() if self.lower else t) for t in texts]
+        own = [pieces for pieces in cut if pieces is not None]
+        missing = list(set().union(*own).difference(self.known))
         if len(self.known) + len(missing) > CACHE:
             self.known.clear()
-            missing = list({p for pieces in cut if pieces is not None for p in pieces})
-        self.known.update(zip(missing, self._ask(missing), strict=True))
+            missing = list(set().union(*own))
+        self.known.update(zip(missing, self._ask_pieces(missing), strict=True))
         whole = iter(self._ask([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
         get = self.known.__getitem__
         return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]

@@ -140,7 +140,7 @@ def write(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, doc_ids, known, counts, ids = Encoder(path, WORD_PIECES), [], [], [], []
+        encoder, doc_ids, known, counts, ids = Encoder(path, WORD_PIECES, lower=True), [], [], [], []
         for batch, texts in batches(rows, "_text"):
             for i, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 one = np.frombuffer(raw, "<u4")
