@@ -219,6 +219,31 @@ def test_chains_respect_order_and_gaps():
     assert (0, 38, 100, 138) in found and (500, 508, 140, 148) in found and (20, 28, 50, 58) in found
 
 
+def test_chains_against_all_predecessors():
+    reach = passages.MAX_GAP + passages.SEED
+    for trial in range(60):
+        r = random.Random(trial)
+        places = sorted((r.randrange(400), r.randrange(400)) for _ in range(r.randrange(2, 80)))
+        x, y = [a for a, _ in places], [b for _, b in places]
+        best = []
+        for i in range(len(x)):
+            ways = [best[k] - passages.GAP_COST * (x[i] - x[k] + y[i] - y[k]) for k in range(i) if 0 < x[i] - x[k] <= reach and 0 < y[i] - y[k] <= reach]
+            best.append(passages.SEED + max([0, *ways]))
+        got, before = passages._scored(x, y)
+        assert np.allclose(got, best)
+        assert all(k < 0 or (0 < x[i] - x[k] <= reach and 0 < y[i] - y[k] <= reach) for i, k in enumerate(before))
+
+
+def test_a_second_passage_of_a_pair_is_found_over_deletions(spark):
+    first, second = prose(60, 100, 10**6), prose(61, 96, 10**6)
+    cut = second[:33] + second[38:66] + second[71:]
+    rows = [(1, first + prose(62, 80, 10**6) + second + prose(63, 30)), (2, first + prose(64, 80, 10**6) + cut + prose(65, 30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = passages.passages(docs).collect()
+    assert any(p.start <= 4 and p.end >= 96 for p in found)
+    assert any(p.start <= 184 and p.end >= 262 and p.matched >= 80 for p in found), found
+
+
 def test_contamination_against_plain_python(docs, spark):
     item = "The quick-brown FOX jumps over 12 lazy dogs near é river bank while sun sets slowly"
     words = brute.benchmark_words(item)
