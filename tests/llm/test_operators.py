@@ -244,6 +244,20 @@ def test_a_second_passage_of_a_pair_is_found_over_deletions(spark):
     assert any(p.start <= 184 and p.end >= 262 and p.matched >= 80 for p in found), found
 
 
+def test_passages_with_up_to_a_fifth_of_words_changed(spark):
+    rows, want = [], []
+    for k, (n, step) in enumerate([(50, 5), (60, 5), (100, 5), (64, 8), (96, 8), (80, 10), (200, 6), (90, 7)]):
+        passage = prose(500 + k, n, 10**6)
+        copy = [f"z{k}x{i}" if i % step == step // 2 else w for i, w in enumerate(passage)]
+        rows += [(2 * k + 1, prose(600 + k, 90, 10**6) + passage + prose(700 + k, 90, 10**6)), (2 * k + 2, prose(800 + k, 70, 10**6) + copy + prose(900 + k, 50, 10**6))]
+        want.append((2 * k + 2, 2 * k + 1, n))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(p.doc_id, p.ref_doc): p for p in passages.passages(docs).collect()}
+    for i, r, n in want:  # up to three words at an end may be left out after a changed one
+        assert (i, r) in found and found[i, r].end - found[i, r].start >= max(50, n - 8), (i, r, n)
+    assert len(found) == len(want)
+
+
 def test_contamination_against_plain_python(docs, spark):
     item = "The quick-brown FOX jumps over 12 lazy dogs near é river bank while sun sets slowly"
     words = brute.benchmark_words(item)
