@@ -258,6 +258,16 @@ def test_passages_with_up_to_a_fifth_of_words_changed(spark):
     assert len(found) == len(want)
 
 
+def test_passages_whose_parts_come_first_elsewhere(spark):
+    p, q = prose(70, 80, 10**6), prose(71, 80, 10**6)
+    fill = lambda k: prose(72 + k, 60, 10**6)
+    rows = [(1, p[:45] + fill(0)), (2, p[35:] + fill(1)), (3, fill(2) + p + fill(3)), (4, fill(4) + p + fill(5))]
+    rows += [(11, q[:45] + fill(6) + q[35:] + fill(7) + q + fill(8)), (12, fill(9) + q + fill(10))]  # parts inside the same document
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(x.doc_id, x.ref_doc): x for x in passages.passages(docs).collect() if x.end - x.start >= 78}
+    assert set(found) == {(4, 3), (12, 11)} and found[12, 11].ref_start >= 165 - 2
+
+
 def test_contamination_against_plain_python(docs, spark):
     item = "The quick-brown FOX jumps over 12 lazy dogs near é river bank while sun sets slowly"
     words = brute.benchmark_words(item)
