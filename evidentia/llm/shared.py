@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidentia.session import python_workers, table
 
-__all__ = ["ascii_lower", "dealt", "materialize", "new_folder", "partitions", "shared_root", "python_workers", "table", "WORD"]
+__all__ = ["ascii_lower", "by_id", "cleanup", "dealt", "materialize", "new_folder", "partitions", "shared_root", "python_workers", "table", "WORD"]
 
+#: Up to so many ids (8 bytes each) are broadcast to pick rows out; beyond it rows are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset, as in tests."""
+    """This application's folder under ``spark.checkpoint.dir``. Where that is unset, a local master takes a temporary folder; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/evidentia-{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -29,6 +33,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Results that were not written yet are lost with them, so a job calls it last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
@@ -47,6 +57,11 @@ def dealt(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *keys)
 
 
+def by_id(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The rows whose ``column`` is in ``ids``, a written table of that one column."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is. Pure ASCII texts take the fast built-in."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
