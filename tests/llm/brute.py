@@ -68,3 +68,24 @@ def contamination(docs, items, window=10):
                     found |= own
         out[i] = (len(w), len(hit), sorted(found))
     return out
+
+
+def repeated_words(rows, window, least):
+    """doc_id -> places in windows of so many words, the first and last being equal, of which ``least`` or more equal those of an earlier document, word
+    for word, on one diagonal."""
+    import numpy as np
+
+    codes = {}
+    texts = [(i, np.array([codes.setdefault(w, len(codes)) for w in words])) for i, words in sorted(rows)]
+    out = {i: set() for i, _ in texts}
+    for n, (i, a) in enumerate(texts):
+        for _, b in texts[:n]:
+            for shift in range(-len(b) + window, len(a) - window + 1):
+                x, y = a[max(0, shift) :], b[max(0, -shift) :]
+                m = min(len(x), len(y))
+                same = x[:m] == y[:m]
+                if same.sum() >= least:
+                    run = np.concatenate([[0], np.cumsum(same)])
+                    for s in np.flatnonzero((run[window:] - run[:-window] >= least) & same[: m - window + 1] & same[window - 1 :]):
+                        out[i].update(range(max(0, shift) + int(s), max(0, shift) + int(s) + window))
+    return out

@@ -214,24 +214,86 @@ def test_passages_catch_exact_and_fuzzy_repeats(spark):
 
 
 def test_chains_respect_order_and_gaps():
-    pos, ref = np.array([0, 10, 20, 30, 500]), np.array([100, 110, 50, 130, 140])
-    found = passages.chains(pos, ref)
-    assert (0, 38, 100, 138) in found and (500, 508, 140, 148) in found and (20, 28, 50, 58) in found
+    runs = [(0, 100, 8), (10, 110, 8), (20, 50, 8), (30, 130, 8), (500, 140, 8)]
+    found = [[runs[k] for k in c] for c in passages.chains(runs)]
+    assert [runs[0], runs[1], runs[3]] in found and [runs[4]] in found and [runs[2]] in found
 
 
-def test_chains_against_all_predecessors():
-    reach = passages.MAX_GAP + passages.SEED
-    for trial in range(60):
+def test_chain_scores_against_all_predecessors():
+    slack = passages.SHORT - 1
+    for trial in range(80):
         r = random.Random(trial)
-        places = sorted((r.randrange(400), r.randrange(400)) for _ in range(r.randrange(2, 80)))
-        x, y = [a for a, _ in places], [b for _, b in places]
+        runs = sorted((r.randrange(400), r.randrange(400), r.randrange(4, 30)) for _ in range(r.randrange(2, 80)))
         best = []
-        for i in range(len(x)):
-            ways = [best[k] - passages.GAP_COST * (x[i] - x[k] + y[i] - y[k]) for k in range(i) if 0 < x[i] - x[k] <= reach and 0 < y[i] - y[k] <= reach]
-            best.append(passages.SEED + max([0, *ways]))
-        got, before = passages._scored(x, y)
+        for i, (x, y, w) in enumerate(runs):
+            ways = [best[k] - passages.GAP_COST * (x - a - n + y - b - n) for k, (a, b, n) in enumerate(runs[:i]) if a + n - slack <= x and b + n - slack <= y]
+            best.append(w + max([0, *ways]))
+        got, before = passages.scored(runs)
         assert np.allclose(got, best)
-        assert all(k < 0 or (0 < x[i] - x[k] <= reach and 0 < y[i] - y[k] <= reach) for i, k in enumerate(before))
+        assert all(k < 0 or (runs[k][0] + runs[k][2] - slack <= runs[i][0] and runs[k][1] + runs[k][2] - slack <= runs[i][1]) for i, k in enumerate(before))
+
+
+def test_equal_runs_are_equal_and_whole():
+    r = random.Random(3)
+    for vocabulary in (3, 40, 4000):
+        a, b = ([r.randrange(vocabulary) for _ in range(300)] for _ in range(2))
+        b[50:150] = a[120:220]
+        x, y = (np.array(v, np.uint64) for v in (a, b))
+        runs = list(zip(*(c.tolist() for c in passages.equal_runs(x, y)), strict=True))
+        assert all(a[s : s + w] == b[q : q + w] and w >= passages.SHORT for s, q, w in runs)
+        assert vocabulary == 3 or any(s <= 120 and s + w >= 220 and q - s == -70 for s, q, w in runs)
+    assert [len(c) for c in passages.equal_runs(x[:2], y)] == [0, 0, 0]
+
+
+def test_passages_against_every_pair(spark):
+    """Overlapping quotes of a few sources, cut at any place and partly edited: what all pairs of texts share is found."""
+    share = []
+    for trial in range(3):
+        r = random.Random(70 + trial)
+        sources = [prose(r.randrange(10**6), 220, 3000) for _ in range(6)]
+        rows = []
+        for i in range(90):
+            text = []
+            for _ in range(r.randrange(1, 5)):
+                s = r.choice(sources)
+                k = r.randrange(0, 200)
+                quote = list(s[k : k + r.choice((20, 35, 45, 49, 50, 60, 90, 150))])
+                if r.random() < 0.4:
+                    quote = [f"e{r.randrange(10**6)}" if r.random() < 0.08 else w for w in quote]
+                text += quote + prose(r.randrange(10**6), r.randrange(5, 60), 3000)
+            rows.append((i, text))
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+        got = {i: set() for i, _ in rows}
+        for p in passages.passages(docs).collect():
+            got[p.doc_id].update(range(p.start, p.end))
+            assert p.ref_doc < p.doc_id and p.end - p.start >= 50 and p.matched >= 0.8 * (p.end - p.start)
+        exact, fuzzy = brute.repeated_words(rows, 55, 55), brute.repeated_words(rows, 50, 40)
+        assert sum(map(len, exact.values())) > 2000
+        # Whatever lies in other documents: a long seed covers all but up to five words at an end of a run.
+        missed = {i: sorted(exact[i] - got[i]) for i in exact if exact[i] - got[i]}
+        assert sum(map(len, missed.values())) <= 0.01 * sum(map(len, exact.values())) and all(len(m) <= 10 for m in missed.values()), missed
+        share.append(sum(len(fuzzy[i] & got[i]) for i in fuzzy) / sum(map(len, fuzzy.values())))
+    assert min(share) >= 0.9, share
+    print("recall of fuzzy windows", share)
+
+
+def test_a_passage_whose_pieces_come_earlier_elsewhere(spark):
+    p = prose(90, 150, 10**6)
+    rows = [(k, prose(100 + k, 20) + p[3 * k : 3 * k + 49] + prose(200 + k, 20)) for k in range(34)]
+    rows += [(50, prose(301, 40) + p + prose(302, 40)), (51, prose(303, 40) + p[:49] + prose(304, 40)), (60, prose(305, 30) + p + prose(306, 30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    assert got[60].n_dup_words >= 150 and 50 in got[60].ref_docs and got[50].n_source_words >= 150
+
+
+def test_passages_on_edges(docs, clashing, spark):
+    got = {r.doc_id: r for r in passages.repeated_passages(docs).collect() if r.doc_id is not None}
+    assert got[2].n_dup_words == 120 and got[2].ref_docs == [1] and got[3].n_dup_words >= 110 and not got[8].n_dup_words and not got[12].n_dup_words
+    assert passages.repeated_passages(docs).count() == 14 and passages.repeated_passages(clashing).count() == 14
+    long = " ".join(prose(5, 30_000, 10**6))
+    twice = spark.createDataFrame([(1, long), (2, "head " + long), (2, "head " + long), (3, " ".join(prose(6, 60) * 40))], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(twice).collect()}
+    assert got[2].n_dup_words == 30_000 and got[3].n_dup_words == 0  # repeats inside one document are none
 
 
 def test_a_second_passage_of_a_pair_is_found_over_deletions(spark):
