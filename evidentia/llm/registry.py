@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from evidentia.llm import bpe, decontam, line_dedup, near_dedup, passages, quality_rules, sharding, token_blocks, token_rollup, url_filter
-from evidentia.llm.shared import new_folder, table
-
-#: Where the public vocabularies lie; a parameter of the job.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+from evidentia.llm.shared import new_folder, table, vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +15,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_blocks.roundtrip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_blocks.roundtrip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +32,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidentia.session import python_workers, table
 
-__all__ = ["ascii_lower", "by_id", "cleanup", "dealt", "materialize", "new_folder", "partitions", "shared_root", "python_workers", "table", "WORD"]
+__all__ = ["ascii_lower", "by_id", "cleanup", "dealt", "materialize", "new_folder", "partitions", "shared_root", "python_workers", "table", "vocabulary", "WORD"]
 
 #: Up to so many ids (8 bytes each) are broadcast to pick rows out; beyond it rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -47,6 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file; the environment's TOKENIZERS_DIR may name another folder."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions an explicit exchange uses: the session's own shuffle setting, which follows the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
