@@ -1,4 +1,4 @@
-"""BPE encoding by tree concatenation, and decoding, in Arrow batches inside tasks."""
+"""BPE encoding, long unsplit pieces by tree concatenation, and decoding, in Arrow batches inside tasks."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evidentia.llm.shared import python_workers
 
-#: A text longer than this many characters is halved until its parts are not.
+#: Texts are cut into parts of about this many characters; an unsplit piece that is longer is halved until its parts are not.
 LEAF = 2048
 #: Tokens on each side of a join in its first window.
 FIRST_WINDOW = 16
@@ -21,6 +21,9 @@ FIRST_WINDOW = 16
 CACHE = 1_000_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+#: A character that no pre-tokenizer takes for white space, and such a one before a space or line end.
+_SOLID = re.compile(r"[!-~\w]")
+_SURE = re.compile(r"[!-~\w](?=[ \n])")
 #: Characters outside these classes, and the start of a special token, send a part to the library whole.
 _ODD = re.compile(rf"[^\t\n\r\x20-\x7e{_LATIN}]|<\|")
 #: The pre-tokenizers of the two vocabularies for texts without odd characters.
@@ -84,90 +87,102 @@ class Encoder:
 
 
 class TreeEncoder:
-    """Tree concatenation: halves of a long text are encoded on their own, then joined bottom-up.
-
-    At a join the text behind the last tokens of the left part and the first tokens of the right part is encoded again. If that window starts with
-    the left part's own token and ends with the right part's own token at the same places, both sides agree: adjacent tokens of a byte-level BPE
-    are valid or not whatever stands further away, so the window's tokens between the parts' tokens are those of the whole text. Else the
-    window doubles, up to both whole parts. A window spans at least FIRST_WINDOW tokens each side, more than a special token's length.
+    """Encodes long texts in parts, and long unsplit pieces by tree concatenation: halves are encoded on their own, then joined bottom-up.
+
+    A text is cut where a sure space follows a sure non-space: no piece of the pre-tokenizer goes over such a place, and nothing before it looks
+    beyond it. A stretch longer than ``leaf`` without one is cut into special tokens and the pre-tokenizer's own pieces, so that what it sees ahead is what it
+    sees in the text; a piece longer than ``leaf`` is halved until its parts are not. At a join the last tokens of the left part and the first of the right
+    one are encoded again. If that window starts with the left part's own token and ends with the right part's own, both sides agree:
+    inside one piece adjacent tokens of a byte-level BPE are valid or not whatever stands further away, so the window's tokens are those of the
+    whole piece. Else the window doubles, up to both whole parts.
     """
 
     def __init__(self, encoder: Encoder, lengths: np.ndarray, leaf: int = LEAF, first: int = FIRST_WINDOW):
         self.encoder, self.lengths, self.leaf, self.first = encoder, lengths, leaf, first
-
-    @staticmethod
-    def _cuts(n: int, leaf: int) -> list[int]:
-        """Bounds of the leaves of a text of ``n`` characters: halved until none is longer than ``leaf``."""
-        parts = 1
-        while n > parts * leaf:
-            parts *= 2
-        return [n * i // parts for i in range(parts + 1)]
-
-    def _join(self, text: bytes, jobs: list[tuple]) -> list[np.ndarray]:
-        """Join (text, left ids, right ids) triples; windows of one width are encoded together."""
+        special = sorted((t.content for t in encoder.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+
+    def _spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Bounds of parts of ``text``, of at most ``leaf`` characters where places to cut allow."""
+        i, n = 0, len(text)
+        while n - i > self.leaf:
+            j = text.rfind(" ", i + 1, i + self.leaf + 1)
+            while j > i and not _SOLID.match(text, j - 1):
+                j = text.rfind(" ", i + 1, j)
+            if j <= i:
+                found = _SURE.search(text, i + self.leaf)
+                j = found.end() if found else n
+            yield i, j
+            i = j
+        if i < n or not n:
+            yield i, n
+
+    def _pieces(self, text: str) -> list[tuple[str, bool]]:
+        """Special tokens and the pre-tokenizer's pieces of ``text``, and whether each is too long."""
+        out, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            out += [text[at : m.start()], m[0]]
+            at = m.end()
+        out.append(text[at:])
+        cut = self.encoder.library.pre_tokenizer.pre_tokenize_str
+        return [(p, k % 2 == 0 and len(p) > self.leaf) for k, part in enumerate(out) for p in ([part] if k % 2 else [part[a:z] for _, (a, z) in cut(part)])]
+
+    def _join(self, jobs: list[tuple[bytes, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Join (bytes of both parts, left ids, right ids); windows of one width are encoded together."""
         out: list = [None] * len(jobs)
         todo, width = list(range(len(jobs))), self.first
         while todo:
-            windows, sides = [], []
+            asked = []
             for j in todo:
-                data, left, right = jobs[j]
+                raw, left, right = jobs[j]
                 nl, nr = min(width, len(left)), min(width, len(right))
-                ll, lr = self.lengths[left[len(left) - nl :]], self.lengths[right[:nr]]
-                windows.append(data(int(ll.sum()), int(lr.sum())))
-                sides.append((nl, nr))
+                a, z = (int(self.lengths[x].sum()) for x in (left[: len(left) - nl], right[nr:]))
+                window = raw[a : len(raw) - z]
+                split = window[0] & 0xC0 == 0x80 or (z and raw[len(raw) - z] & 0xC0 == 0x80)  # inside a character: the window grows
+                asked.append((j, nl, nr, None if split else window.decode()))
+            encoded = iter(self.encoder.encode([w for *_, w in asked if w is not None]))
             again = []
-            good = [j for j, w in zip(todo, windows, strict=True) if w is not None]
-            encoded = dict(zip(good, self.encoder.encode([w for w in windows if w is not None]), strict=True))
-            for j, (nl, nr) in zip(todo, sides, strict=True):
+            for j, nl, nr, window in asked:
                 _, left, right = jobs[j]
-                whole = nl == len(left) and nr == len(right)
-                if j in encoded:
-                    ids = np.frombuffer(encoded[j], "<u4")
-                    at_left = nl == len(left) or (len(ids) and ids[0] == left[len(left) - nl])
-                    at_right = nr == len(right) or (len(ids) and ids[-1] == right[nr - 1])
-                    if whole or (at_left and at_right):
-                        out[j] = np.concatenate([left[: len(left) - nl], ids, right[nr:]])
-                        continue
-                if whole:
-                    raise AssertionError("a window over both whole parts must decide")
-                again.append(j)
+                ids = None if window is None else np.frombuffer(next(encoded), "<u4")
+                if ids is not None and (nl == len(left) or ids[0] == left[len(left) - nl]) and (nr == len(right) or ids[-1] == right[nr - 1]):
+                    out[j] = np.concatenate([left[: len(left) - nl], ids, right[nr:]])
+                else:
+                    again.append(j)
             todo, width = again, width * 2
         return out
 
+    def _tree(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of long pieces: all leaves are encoded together, then each level's joins."""
+        leaves = []
+        for p in pieces:
+            parts = 1
+            while len(p) > parts * self.leaf:
+                parts *= 2
+            leaves.append([p[len(p) * i // parts : len(p) * (i + 1) // parts] for i in range(parts)])
+        ids = iter(self.encoder.encode([x for own in leaves for x in own]))
+        parts = [[(x.encode(), np.frombuffer(next(ids), "<u4")) for x in own] for own in leaves]
+        while any(len(own) > 1 for own in parts):
+            pairs = [(own[i], own[i + 1]) for own in parts if len(own) > 1 for i in range(0, len(own), 2)]
+            joined = iter(self._join([(x[0] + y[0], x[1], y[1]) for x, y in pairs]))
+            parts = [[(own[i][0] + own[i + 1][0], next(joined)) for i in range(0, len(own), 2)] if len(own) > 1 else own for own in parts]
+        return [own[0][1] for own in parts]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. All leaves of the batch are encoded together, then each level's joins."""
-        bounds = [self._cuts(len(t), self.leaf) for t in texts]
-        leaves = [t[a:z] for t, b in zip(texts, bounds, strict=True) for a, z in zip(b, b[1:], strict=False)]
-        ids = iter([np.frombuffer(x, "<u4") for x in self.encoder.encode(leaves)])
-        parts = [[next(ids) for _ in b[1:]] for b in bounds]
-        raw = [t.encode() if len(p) > 1 else b"" for t, p in zip(texts, parts, strict=True)]
-        edges = [np.cumsum([0, *(len(t[a:z].encode()) for a, z in zip(b, b[1:], strict=False))]) if len(p) > 1 else None for t, b, p in zip(texts, bounds, parts, strict=True)]
-        while any(len(p) > 1 for p in parts):
-            jobs, where = [], []
-            for k, p in enumerate(parts):
-                if len(p) > 1:
-                    step = (len(edges[k]) - 1) // len(p)
-                    for i in range(0, len(p), 2):
-                        lo, mid, hi = (int(edges[k][min(x * step, len(edges[k]) - 1)]) for x in (i, i + 1, i + 2))
-                        jobs.append((self._window(raw[k], lo, mid, hi), p[i], p[i + 1]))
-                        where.append((k, i // 2))
-            for (k, i), x in zip(where, self._join(b"", jobs), strict=True):
-                if i == 0:
-                    parts[k] = parts[k][: 0]
-                parts[k].append(x)
-        return [p[0] for p in parts]
-
-    @staticmethod
-    def _window(raw: bytes, lo: int, mid: int, hi: int):
-        """Text of the given byte counts left and right of ``mid``; None where a bound splits a character (the window then grows)."""
-
-        def data(left: int, right: int) -> str | None:
-            a, z = mid - left, mid + right
-            if (a > lo and raw[a] & 0xC0 == 0x80) or (z < hi and raw[z] & 0xC0 == 0x80):
-                return None
-            return raw[max(a, lo) : min(z, hi)].decode()
-
-        return data
+        """Ids of each text."""
+        short: list[str] = []
+        long: list[str] = []
+        plan: list[list[tuple[bool, int]]] = []  # of each text: (is long, place among those)
+        for t in texts:
+            own = []
+            for a, z in self._spans(t):
+                for p, is_long in ((t[a:z], False),) if z - a <= self.leaf else self._pieces(t[a:z]):
+                    kind = long if is_long else short
+                    own.append((is_long, len(kind)))
+                    kind.append(p)
+            plan.append(own)
+        done = (self.encoder.encode(short), [x.astype("<u4").tobytes() for x in self._tree(long)])
+        return [np.frombuffer(b"".join(done[is_long][k] for is_long, k in own), "<u4") for own in plan]
 
 
 def token_lengths(library) -> np.ndarray:
@@ -225,7 +240,3 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(out, names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
-
-
-def ids_sha256(ids: np.ndarray) -> str:
-    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()

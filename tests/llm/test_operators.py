@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidentia.llm import bpe, decontam, graph, line_dedup, near_dedup, passages, quality_rules, sharding, token_blocks, token_rollup, url_filter
-from evidentia.llm.registry import ORACLE, QUERIES, TOKENIZERS
+from evidentia.llm.registry import ORACLE, QUERIES
+from evidentia.llm.shared import vocabulary
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
-needs_tokenizers = pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabularies")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _row string, _host string, kept_text string, n_words long, n_hit long, verdict string, component_id long, kept boolean, size long, shard int"
 
@@ -98,26 +98,36 @@ def test_quality_rules_on_edges(docs, clashing, spark):
     assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 8, 12}
 
 
-@needs_tokenizers
 @pytest.mark.parametrize("leaf,first", [(2048, 16), (64, 16), (7, 1), (32, 2)])
 def test_tree_concatenation_equals_the_library(leaf, first):
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = vocabulary("byte_bpe_50k.json")
     tree = bpe.byte_encoder(path, leaf, first)
     r = random.Random(4)
     texts = [t or "" for _, t, *_ in edge_rows()]
     texts += ["".join(r.choice("ab '\n!1é東 ") for _ in range(r.randrange(400))) for _ in range(150)]
     texts += ["a" * 5000, "ab" * 2500, " " * 3000, "\n" * 999 + "x", "é" * 1000, "!?" * 700, "0123456789" * 300, "<|endoftext|>" * 50, "the quick brown" * 200, "Ünïcödé" * 300]
-    if first < 16:  # narrower windows than a special token are for texts without one
-        texts = [t for t in texts if "<|" not in t]
     for t, ids in zip(texts, tree.encode(texts), strict=True):
         assert ids.tolist() == tree.encoder.library.encode(t, add_special_tokens=False).ids, t[:60]
 
 
-@needs_tokenizers
+@pytest.mark.parametrize("leaf,first", [(2048, 16), (64, 16), (16, 2), (7, 1), (1, 1)])
+def test_bpe_of_random_texts_equals_the_library(leaf, first):
+    """2,000 texts a setting: every white space character, contractions, special tokens, unsplit runs, characters of several bytes."""
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["\x1c", "\x85", "\u180e", "\u200b", "\ufeff"]
+    tree = bpe.byte_encoder(vocabulary("byte_bpe_50k.json"), leaf, first)
+    r, texts = random.Random(leaf), []
+    for k in range(2000):
+        alphabet = r.choice(["ab '\n!1é東 ", "aA  " + "".join(r.sample(spaces, 4)), "".join(spaces) + "ab.'s", "a", "ab", "!?'", "0123456789", "é東ñ", "'stll "])
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(4000 if k % 50 == 0 else 120)))
+        texts.append(text[: len(text) // 2] + "<|endoftext|>" * r.randrange(3) + text[len(text) // 2 :] if k % 7 == 0 else text)
+    wrong = [t for t, ids in zip(texts, tree.encode(texts), strict=True) if ids.tolist() != tree.encoder.library.encode(t, add_special_tokens=False).ids]
+    assert not wrong, wrong[:3]
+
+
 def test_bpe_rows_and_edges(docs, spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     got = bpe.encode_decode(docs, path, with_ids=True).collect()
     assert len(got) == 14
@@ -150,11 +160,10 @@ def test_blocks_use_exceptions_and_random_access():
     assert np.array_equal(np.concatenate([x for _, x in f.documents(chunk=1)]), a)
 
 
-@needs_tokenizers
 def test_token_files_of_edges(docs, spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     got = sorted(token_blocks.roundtrip(docs, path, tokens=True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, *sorted(i for i, _ in known(docs))]
@@ -372,6 +381,25 @@ def test_shards(docs, spark):
     assert sharding.shard(docs).count() == 14 and sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_shards_against_the_law(docs, spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, "é" * r.randrange(60)) for i in range(2000)]
+    frame = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, shard string").repartition(4)
+    key = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i, _ in rows}
+    total, before, want = sum(2 * len(t) + 8 for _, t in rows), 0, {}
+    for i, t in sorted(rows, key=lambda x: key[x[0]]):
+        want[i] = 24 * before // total
+        before += 2 * len(t) + 8
+    assert {g.doc_id: g.shard for g in sharding.shard(frame).collect()} == want
+    sharding.write_shards(frame, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert {g.doc_id: (g.shard, g.text) for g in back.collect()} == {i: (want[i], t) for i, t in rows}
+    own = [g.doc_id for g in spark.read.parquet(f"file://{tmp_path}/shards/shard=3").coalesce(1).collect()]
+    assert own == sorted(own, key=key.get) and len(own) == sum(s == 3 for s in want.values())
+    sharding.write_shards(docs, f"file://{tmp_path}/odd")
+    assert spark.read.parquet(f"file://{tmp_path}/odd").count() == 14
+
+
 def test_url_verdicts(spark):
     link = '<head><LINK href="{}" rel=canonical></head>'
     rows = [
@@ -440,7 +468,6 @@ def test_oracle(spark, name):
 
 
 @needs_tables
-@needs_tokenizers
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
