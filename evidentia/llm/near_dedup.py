@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evidentia.llm.graph import connected_components
-from evidentia.llm.shared import materialize, python_workers
+from evidentia.llm.shared import BROADCAST_IDS, by_id, materialize, python_workers
 from evidentia.llm.text_hash import STEP, Words, mix, shingle_set
 
 SHINGLE = 5
@@ -26,8 +26,6 @@ MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 SMALL_BUCKET = 8
 #: A shingle is rare if at most so many documents of the large buckets have it.
 RARE = 32
-#: Up to so many document ids (8 bytes each) are broadcast to pick texts out; beyond it texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 _SYMBOLS = CHUNKS * WIDTH
 _FACTORS = mix(np.arange(1, _SYMBOLS + 1, dtype=np.uint64) * STEP) | np.uint64(1)
@@ -55,24 +53,28 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.reshape(len(signatures), -1)
 
 
+def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, t): ids, a hash of the text and the text."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("binary")).alias("th"), F.col(text).cast("binary").alias("t"))
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig): h1 and h2 are hashes of the whole shingle set."""
+    """(doc_id, th, n_shingles, h1, h2, sig): th is a hash of the text, h1 and h2 are hashes of the whole shingle set."""
     python_workers(docs.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in rows:
             n, h1, h2, sig = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingle_set(words.hashes(t.as_py()), SHINGLE)
                 n.append(len(s))
                 h1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 h2.append(int(mix(s ^ STEP).sum(dtype=np.uint64).astype(np.int64)))
                 sig.append(signature(s).astype("<u2").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "th", "n_shingles", "h1", "h2", "sig"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return texts_of(docs, doc_id, text).mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def bucket_keys(sigs: DataFrame) -> DataFrame:
@@ -116,13 +118,16 @@ def within_distance(pairs: DataFrame, sigs: DataFrame, percent: int, distance: i
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, t) of the documents in ``ids`` (a written table with one column, id)."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def _texts(sets: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, t), once each, of the sets in ``ids`` (a written table of that one column): sets (id, doc_id, th) name a row of docs (doc_id, th, t)."""
+    wanted = materialize(by_id(sets.select("id", "doc_id", "th"), ids), "wanted")
+    n = wanted.count()
+    texts = materialize(docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["doc_id", "th"]).select("id", "t"), "texts")
+    return texts if texts.count() == n else materialize(texts.dropDuplicates(["id"]), "texts")  # rows may be repeated
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of ``pairs``, from the full shingle sets of both texts (docs: id, t)."""
+def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of ``pairs``, from the full shingle sets of both texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, held = Words(), None, None
@@ -138,13 +143,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    texts = materialize(_texts(docs, ids), "pair-texts")
+    texts = _texts(sets, docs, ids)
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
 
 
-def _rare_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(s, id, df) of the shingles that at most RARE of the documents ``ids`` have, df being how many have them."""
+def _rare_shingles(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(s, id, df) of the shingles that at most RARE of the sets ``ids`` have, df being how many have them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -153,7 +158,7 @@ def _rare_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 s = shingle_set(words.hashes(t.as_py()), SHINGLE).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), i, np.int64))], ["s", "id"])
 
-    shingles = materialize(_texts(docs, ids).select("id", "t").mapInArrow(run, "s long, id long"), "shingles")
+    shingles = materialize(_texts(sets, docs, ids).select("id", "t").mapInArrow(run, "s long, id long"), "shingles")
     few = materialize(shingles.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE), "rare-shingles")
     return materialize(shingles.join(few, "s"), "rare-postings")
 
@@ -167,7 +172,7 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(edges a, b; components node, component) that connect whatever is linked among ``sigs`` (id, n_shingles, sig), docs being (id, t).
+    """(edges a, b; components node, component) that connect whatever is linked among ``sigs`` (id, doc_id, th, n_shingles, sig), docs being (doc_id, th, t).
 
     1. Each bucket's members are compared with its smallest: one pair a member links most copies.
     2. Large buckets that are still in several components are compared with their cleanest member, the one with most common shingles.
@@ -178,14 +183,14 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[Dat
     """
     members = hamming_members(sigs)
     tried = materialize(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    edges = confirm(within_distance(tried, sigs, percent), docs, percent).filter("linked").select("a", "b")
+    edges = confirm(within_distance(tried, sigs, percent), sigs, docs, percent).filter("linked").select("a", "b")
     parts = connected_components(edges)
     wide = members.filter("n > 2")
     rest = _mixed(wide, parts)
     ids = materialize(rest.filter(F.col("n") > SMALL_BUCKET).select("id").distinct(), "large-ids")
     dense = not ids.isEmpty()
     if dense:
-        low = _rare_shingles(ids, docs)
+        low = _rare_shingles(ids, sigs, docs)
         lost = low.groupBy("id").agg(F.count("*").alias("low"), F.count_if(F.col("df") == 1).alias("lonely"))
         sized = ids.join(sigs.select("id", "n_shingles"), "id").join(lost, "id", "left").fillna(0, ["low", "lonely"])
         # A shingle that no other document of the large buckets has is in no intersection there.
@@ -194,7 +199,7 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[Dat
         cleanest = materialize(thin.groupBy("key").agg(F.max(F.struct("common", (-F.col("id")).alias("neg"), "c")).alias("p")).select("key", (-F.col("p.neg")).alias("p"), F.col("p.c").alias("pc")), "cleanest")
         star = thin.join(cleanest, "key").filter("c <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         star = materialize(star.join(tried, ["a", "b"], "left_anti"), "second-star")
-        second = confirm(within_distance(star, sigs, percent), docs, percent).filter("linked").select("a", "b")
+        second = confirm(within_distance(star, sigs, percent), sigs, docs, percent).filter("linked").select("a", "b")
         tried, edges = tried.unionByName(star), edges.unionByName(second)
         parts = connected_components(edges)
         rest = _mixed(wide, parts)
@@ -206,7 +211,9 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[Dat
         right = left.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("common").alias("common_b"))
         apart = (F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
         most = F.least("common", "common_b")
-        alike = left.join(right, "key").filter(apart & (100 * most >= percent * (F.col("size") + F.col("size_b") - most)))
+        # A pair that shares common shingles only needs enough of them on both sides.
+        enough = lambda n, common: 100 * F.col(common) >= percent * F.col(n)
+        alike = left.filter(enough("size", "common")).join(right.filter(enough("size_b", "common_b")), "key").filter(apart & (100 * most >= percent * (F.col("size") + F.col("size_b") - most)))
         known = left.select("id", "c", "size", "common").distinct()
         own = low.filter("df > 1").select("s", "id").join(known, "id")
         twin = own.select("s", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("common").alias("common_b"))
@@ -215,7 +222,7 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[Dat
         sharing = sharing.filter(100 * bound >= percent * (F.col("sizes") - bound))
         pairs = pairs.unionByName(alike.select(F.col("id").alias("a"), "b")).unionByName(sharing.select(F.col("id").alias("a"), "b"))
     pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-    last = confirm(within_distance(pairs, sigs, percent), docs, percent).filter("linked").select("a", "b")
+    last = confirm(within_distance(pairs, sigs, percent), sigs, docs, percent).filter("linked").select("a", "b")
     edges = edges.unionByName(last)
     return edges, connected_components(edges)
 
@@ -226,15 +233,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are split at ASCII white space with A-Z lower-cased; a document's set is its distinct 5-word shingles, a shorter text being one. Documents
     are linked if 100 * intersection >= percent * union, confirmed on the full sets; component_id is the smallest doc_id that can be reached
     over links, and kept marks that document. Null, empty or word-less texts have empty sets and stay alone. Rows with equal sets are linked
-    through one representative. Rows that repeat a doc_id get the same answer if their sets are equal; a null doc_id stays alone.
+    through one representative of the set. Rows that repeat a doc_id with other texts are one document that has several sets: whatever is linked with
+    one of them is linked with all. A null doc_id stays alone.
     """
     sketch = materialize(sketches(docs, doc_id, text), "sketches")
     same = ["h1", "h2", "n_shingles"]
-    reps = materialize(sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep")), "reps")
-    sigs = materialize(sketch.filter("n_shingles > 0").join(reps.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig").dropDuplicates(["id"]), "sigs")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    _, parts = links(sigs, rows, percent)
-    named = reps.join(parts, reps["rep"] == parts["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    known = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = known.groupBy(*same).agg(F.min(F.struct("doc_id", "th", "sig")).alias("r"))
+    # Written once, so the numbers of the sets stay as they are.
+    sigs = materialize(first.select(F.monotonically_increasing_id().alias("id"), *same, "r.*"), "sets")
+    edges, parts = links(sigs, texts_of(docs, doc_id, text), percent)
+    repeated = materialize(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    if not repeated.isEmpty():
+        own = materialize(known.join(repeated, "doc_id").join(sigs.select("id", *same), same).select("doc_id", "id").distinct(), "sets-of-ids")
+        least = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+        parts = connected_components(edges.unionByName(own.join(least, "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))))
+    reached = parts.join(sigs.select(F.col("id").alias("node"), "doc_id"), "node")
+    smallest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = sigs.join(reached.select("node", "component").join(smallest, "component"), sigs["id"] == F.col("node"), "left").select(*same, F.coalesce("component_id", sigs["doc_id"]).alias("component_id"))
     out = sketch.filter("doc_id IS NOT NULL").select("doc_id", *same).join(named, same, "left")
     lone = sketch.filter("doc_id IS NULL").select("doc_id", *same, F.lit(None).cast("long").alias("component_id"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(lone.select("doc_id", "n_shingles", "component_id"))

@@ -11,26 +11,25 @@ def words(text):
 
 
 def near_components(docs, percent=85):
-    """doc_id -> (set size, smallest reachable doc_id)."""
-    sets = {}
+    """doc_id -> (size of its last set, smallest reachable doc_id); an id may have several texts."""
+    sets = []
     for i, t in docs:
         w = words(t)
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-    parent = {i: i for i in sets}
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+    parent = {i: i for i, _ in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    for n, (a, x) in enumerate(sets):
+        for b, y in sets[n + 1 :]:
+            both = len(x & y)
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    return {i: (len(x), find(i)) for i, x in sets}
 
 
 def base_statistics(text):

@@ -65,11 +65,31 @@ def known(docs):
     return [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
 
 
-def test_components_of_long_path_and_star(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50)) and 7 in got
-    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 500, 10_000])
+def test_components_of_a_shuffled_path_settle(spark, n):
+    ids = random.Random(n).sample(range(10**6), n + 1)
+    got = graph.connected_components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")).collect()
+    assert len(got) == (n + 1 if n else 0) and {r.component for r in got} == ({min(ids)} if n else set())
+
+
+def test_components_of_random_links_stars_and_cycles(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000, 2000 + i) for i in range(500)] + [(3000 + i, 3000 + (i + 1) % 50) for i in range(50)] + [(7000, 7000), (None, 3), (5, None)] * 2
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        if x is not None and y is not None:
+            x, y = sorted((find(x), find(y)))
+            parent[y] = x
+    got = [(g.node, g.component) for g in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in parent) and (7000, 7000) in got
+    names = graph.connected_components(spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string")).collect()
+    assert {(g.node, g.component) for g in names} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
 
 def test_quality_statistics(docs):
@@ -190,6 +210,22 @@ def test_near_duplicates_against_all_pairs(docs, spark):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_duplicates_of_repeated_ids_and_long_chains(spark):
+    a, b = prose(31, 40, 10**6), prose(32, 40, 10**6)
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, a[:-1]), (4, ["one"]), (1, ["one"]), (5, prose(33, 40, 10**6)), (5, prose(34, 60, 10**6)), (6, []), (6, prose(35, 30, 10**6))]
+    base, at = prose(36, 300, 10**6), list(range(100, 400))
+    random.Random(1).shuffle(at)  # a chain: each document shares nine tenths of its words with the next one only
+    for k in range(120):
+        rows.append((at[k], base))
+        base = base[10:] + prose(1000 + k, 10, 10**6)
+    texts = [(i, " ".join(w)) for i, w in rows]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    want = brute.near_components(texts)
+    assert all(r.component_id == (want[r.doc_id][1] if r.n_shingles else r.doc_id) and r.kept == (r.component_id == r.doc_id) for r in got)
+    assert {want[i][1] for i in (1, 2, 3, 4)} == {1} and {r.component_id for r in got if r.doc_id >= 100} == {min(at[:120])}
+
+
 def test_near_duplicates_on_edges(docs, clashing):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == 14 and {r.doc_id for r in got if r.component_id == 1} == {1, 2, 3}
