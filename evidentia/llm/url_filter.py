@@ -42,24 +42,40 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return chain if chain is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def _without_dots(path: Column) -> Column:
+    """``path`` with its . and .. segments resolved, as browsers do; a path without a dot after a slash is taken as it is."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    parts = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.lit(1), F.size(a) - 1))).otherwise(a)  # noqa: E731  never above the root
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    return F.when(path.contains("/."), F.array_join(kept, "/")).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A URL as a graph node: no fragment, host lower-cased."""
-    bare = F.regexp_replace(url, r"(?s)#.*$", "")
+    """A URL as a graph node: no fragment, scheme and host in lower case, dot segments resolved, / for no path; null without ://."""
+    bare = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
     host = F.regexp_extract(bare, r"^(?s).*?://([^/?#]*)", 1)
-    rest = F.regexp_extract(bare, r"^(?s).*?://[^/?#]*(.*)$", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(F.lower(F.substring_index(bare, "://", 1)), F.lit("://"), F.lower(host), rest))
+    path = F.regexp_extract(bare, r"^(?s).*?://[^/?#]*([^?]*)", 1)
+    query = F.regexp_extract(bare, r"^(?s).*?://[^?]*(.*)$", 1)
+    full = F.concat(F.lower(F.substring_index(bare, "://", 1)), F.lit("://"), F.lower(host), F.when(path == "", F.lit("/")).otherwise(_without_dots(path)), query)
+    return F.when(F.instr(url, "://") > 0, full)
 
 
 def _resolved(base: Column, link: Column) -> Column:
-    """``link`` as an absolute URL, seen from the page ``base``."""
+    """``link`` as an absolute URL, seen from the page ``base``; null for schemes without an authority, such as mailto:."""
     scheme = F.substring_index(base, "://", 1)
     host = F.regexp_extract(base, r"^(?s).*?://([^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"^(?s).*?://[^/?#]*([^?#]*)", 1), r"[^/]*$", "")
+    path = F.regexp_extract(base, r"^(?s).*?://[^/?#]*([^?#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), host)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link))
-        .when(link != "", F.concat(scheme, F.lit("://"), host, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(site, path, link))
+        .when((link != "") & ~link.startswith("#"), F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link))
     )
 
 

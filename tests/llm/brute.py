@@ -88,3 +88,40 @@ def repeated_words(rows, window, least):
                     for s in np.flatnonzero((run[window:] - run[:-window] >= least) & same[: m - window + 1] & same[window - 1 :]):
                         out[i].update(range(max(0, shift) + int(s), max(0, shift) + int(s) + window))
     return out
+
+
+def url_verdicts(pages, links, redirects, rules):
+    """page id -> verdict; links (page url, link as written) and redirects (a, b) make aliases."""
+    from urllib.parse import urljoin, urlsplit
+
+    def node(u):
+        p = urlsplit(urljoin(u, urlsplit(u).path or "/") if "/." in u else u)
+        return f"{p.scheme.lower()}://{p.netloc.lower()}{p.path or '/'}" + (f"?{urlsplit(u).query}" if urlsplit(u).query else "")
+
+    def rule(u):
+        host, path = urlsplit(u).netloc.lower(), urlsplit(u).path
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    def link(a, b):
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+
+    for u, written in links:
+        if "://" in urljoin(u, written):
+            link(node(u), node(urljoin(u, written)))
+    for a, b in redirects:
+        link(node(a), node(b))
+    blocked = {find(x) for x in list(parent) if rule(x) == "block"}
+    out = {}
+    for i, u, _ in pages:
+        known = u and "://" in u
+        out[i] = (known and rule(u)) or ("block" if known and node(u) in parent and find(node(u)) in blocked else "allow")
+    return out

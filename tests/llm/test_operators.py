@@ -462,6 +462,28 @@ def test_url_verdicts(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0 and url_filter.judge(pages, html=None).filter("page_id = 5").first().verdict == "allow"
 
 
+def test_url_aliases_against_plain_python(spark):
+    """Canonical links, refreshes and redirects in every written form, in long chains, against the standard library's resolver."""
+    r = random.Random(12)
+    urls = [f"{r.choice(['http', 'HTTP', 'https'])}://{r.choice(['a.com', 'B.net', 'x.b.net', 'c.org'])}{r.choice(['', '/', '/de/', '/u/v/', '/fr/'])}{r.choice(['', 'p', 'q.html', 'p?x=1'])}{k % 40 if k % 3 else ''}" for k in range(300)]
+    forms = ["/de/{0}", "../w{0}", "./w{0}", "w{0}", "//b.net/w{0}", "http://A.com/u/../w{0}", "?y={0}", "#top", "mailto:me", "/u/v/../../w{0}/.", "https://c.org", ""]
+    rows, links = [], []
+    for k, u in enumerate(urls):
+        link = r.choice(forms).format(r.randrange(60))
+        kind = r.randrange(4)
+        html = (f'<link rel="canonical" href="{link}">', f"<META http-equiv=refresh content='3; URL={link}'>", f"<a href='{link}'>", None)[kind]
+        rows.append((k, u, html))
+        if kind < 2 and link and not link.startswith("#"):
+            links.append((u, link))
+    path = [f"http://h{k}.net/{k}" for k in r.sample(range(1000), 80)] + ["http://z.com/de/end"]
+    rows += [(1000 + k, u, None) for k, u in enumerate(path)] + [(2000, None, "<link rel=canonical href=/x>"), (2001, "http://long.net/" + "a/" * 20000, "<link rel=canonical href=/de>"), (2002, "no", "<link rel=canonical href=/x>")]
+    redirects = list(zip(path, path[1:], strict=False))
+    want = brute.url_verdicts(rows, links, redirects, url_filter.RULES)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {g.page_id: g.verdict for g in url_filter.judge(pages, redirects=spark.createDataFrame(redirects, "a string, b string")).collect()}
+    assert got == want and sum(v == "block" for v in want.values()) > 100
+
+
 def test_rollup_commits_once(spark, tmp_path):
     store = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
     schema = "op string, source string, lang string, version string, n_tokens long, old_tokens long"
