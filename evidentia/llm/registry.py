@@ -47,6 +47,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_rollup.Rollup(spark, new_folder(spark, "token-rollup"))
     for batch, changes in token_rollup.document_changes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).items():
         store.commit(batch, changes)
+    store.compact()
     return store.totals()
 
 
@@ -63,6 +64,5 @@ ORACLE = {
     "op5_decontamination": decontam.ORACLE,
     "op7_sharding": sharding.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
-    "op9_token_counts": token_rollup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

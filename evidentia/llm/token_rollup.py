@@ -1,27 +1,45 @@
-"""Token totals by source, language and tokenizer version, kept up to date by signed batches that commit once."""
+"""Token totals by source, language and tokenizer version, kept up to date by signed batches that count once."""
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm.shared import materialize
+from evidentia.llm.bpe import WORD_PIECES, Encoder, batches, byte_encoder
+from evidentia.llm.shared import materialize, python_workers, vocabulary
 
 KEYS = ("source", "lang", "version")
-#: Tokenizer versions that count without Python: name -> pattern of one token.
-PATTERNS = {
-    "words-1": r"[^\x20\x09-\x0D]+",
-    "pieces-1": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]",
-}
-#: What a revised count leaves out: words of symbols only.
-REVISED = r"[^\x20\x09-\x0D]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F][^\x20\x09-\x0D]*"
+#: Tokenizer versions: public vocabularies of the tokenizers library.
+VERSIONS = ("byte_bpe_50k", "word_bpe_49k")
+_DELTAS = "source string, lang string, version string, d_docs long, d_tokens long"
 
 
-def n_tokens(text: Column, pattern: str) -> Column:
-    """Tokens of ``text``; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+def count_tokens(rows: DataFrame, text: str = "text", paths: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` without ``text``, plus one column of token counts a version (``paths``: version -> vocabulary file).
+
+    Counts are those of the tokenizers library without special tokens added; null and empty texts have none. Whole texts are encoded, in slices
+    of about a megabyte; nothing is shuffled.
+    """
+    paths = paths or {v: vocabulary(f"{v}.json") for v in VERSIONS}
+    python_workers(rows.sparkSession)
+    kept = [c for c in rows.columns if c != text]
+    schema = rows.select(*kept).schema
+    for v in paths:
+        schema = schema.add(v, "long")
+
+    def run(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = {v: Encoder(p, WORD_PIECES, lower=True) if v.startswith("word") else byte_encoder(p) for v, p in paths.items()}
+        for batch, texts in batches(held, "_text"):
+            counts = []
+            for tool in tools.values():
+                counts.append(pa.array([len(x) // (4 if isinstance(x, bytes) else 1) for x in tool.encode(texts)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], [*kept, *tools])
+
+    return rows.select(*kept, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -37,67 +55,112 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Additive totals under ``path``: one folder of deltas a committed batch.
+    """Additive totals under ``path``.
 
-    A batch is written aside and moved to ``deltas/batch=<id>`` in one rename; that folder's presence is the commit. Committing an id again
-    changes nothing, so a job that is retried after losing its driver or executors counts nothing twice.
+    data/<name> holds the deltas of one attempt at a batch; commits/<batch id> is a small file with the one name that counts. An attempt writes its data
+    first and then creates that file, so a batch is there whole or not at all, and whoever commits it a second time, also at the same
+    moment, changes nothing: a batch has one file, and a file names one folder. ``compact`` sums what is committed into one folder and lists the batches in it
+    under snapshots/<number>, so totals need not read old batches again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        p, fs = self._fs(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _read(self, path: str) -> list[str]:
+        p, fs = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        finally:
+            stream.close()
+
+    def _create(self, path: str, lines: list[str]) -> bool:
+        """A new file with ``lines``; False if there is one already."""
+        p, fs = self._fs(path)
+        if fs.exists(p):
+            return False
+        try:
+            stream = fs.create(p, False)
+        except Exception as x:
+            if "exists" in str(x):
+                return False
+            raise
+        stream.write(bytearray("\n".join(lines).encode()))
+        stream.close()
+        return self._read(path)[0] == lines[0]
+
+    def _write(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{name}")
+        return name
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply ``changes`` as batch ``batch_id``; False, and no change, if that batch is there already."""
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
+        if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", batch_id):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        target, fs = self._fs(f"{self.path}/deltas/batch={batch_id}")
+        target, fs = self._fs(f"commits/{batch_id}")
         if fs.exists(target):
             return False
-        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        deltas(changes).write.parquet(staged)
-        fs.mkdirs(target.getParent())
-        source, _ = self._fs(staged)
-        if not fs.exists(target) and fs.rename(source, target):
+        name = self._write(deltas(changes))
+        if self._create(f"commits/{batch_id}", [name]):
             return True
-        fs.delete(source, True)
+        fs.delete(self._fs(f"data/{name}")[0], True)
         return False
 
+    def _sources(self) -> tuple[list[str], list[str]]:
+        """(folders that make up the totals, batches in them)."""
+        snapshots = self._names("snapshots")
+        folder, *known = self._read(f"snapshots/{snapshots[-1]}") if snapshots else [""]
+        batches = [b for b in self._names("commits") if not b.startswith(".")]
+        new = [b for b in batches if b not in set(known)]
+        return ([folder] if folder else []) + [self._read(f"commits/{b}")[0] for b in new], known + new
+
+    def _sums(self, folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/data/{f}" for f in folders]
+        rows = self.spark.read.schema(_DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTAS)
+        return rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+
+    def compact(self) -> None:
+        """Sum all committed batches into one snapshot. Two compactions at once are harmless: one of them makes the next snapshot."""
+        folders, batches = self._sources()
+        if len(folders) > 1:
+            self._create(f"snapshots/{len(self._names('snapshots')):09d}", [self._write(self._sums(folders)), *batches])
+
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all committed batches; groups that came to nothing are left out."""
-        schema = "source string, lang string, version string, d_docs long, d_tokens long"
-        root, fs = self._fs(f"{self.path}/deltas")
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/deltas") if fs.exists(root) else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 OR n_tokens <> 0")
+        sums = self._sums(self._sources()[0])
+        return sums.withColumnsRenamed({"d_docs": "n_docs", "d_tokens": "n_tokens"}).filter("n_docs <> 0 OR n_tokens <> 0")
 
 
 def document_changes(docs: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
-    """Batch id -> change rows: every document under each tokenizer version, then revised counts of documents labelled as low quality
-    (words of symbols only no longer count), then the deletion of those labelled toxic, with the counts they have by then."""
-    counted = docs.select("doc_id", "source", "lang", *(n_tokens(F.col("text"), p).alias(v) for v, p in PATTERNS.items()), n_tokens(F.col("text"), REVISED).alias("revised"))
-    counted = materialize(counted, "token-counts")
-    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    """Batch id -> change rows: every document under each tokenizer version, then revised counts of documents labelled as low quality (runs of
+    white space count as one blank), then the deletion of those labelled toxic, with the counts they have by then.
+
+    Every row of ``docs`` counts, repeated ones too. Of repeated labels the strictest counts; null ids have none."""
+    own = docs.select("doc_id", "source", "lang", "text")
+    counted = materialize(count_tokens(own), "token-counts")
+    known = materialize(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")), "marks")
     marked = materialize(counted.join(known, "doc_id"), "marked")
+    low = own.join(known.filter("quality = 0").select("doc_id", "toxic"), "doc_id").withColumn("squeezed", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    both = low.select("doc_id", "source", "lang", "toxic", F.explode(F.array(F.struct(F.lit(False).alias("new"), F.col("text").alias("t")), F.struct(F.lit(True).alias("new"), F.col("squeezed").alias("t")))).alias("v"))
+    counts = count_tokens(both.select("doc_id", "source", "lang", "toxic", F.col("v.new").alias("new"), F.col("v.t").alias("text")))
+    revised = materialize(counts, "revised-counts")
     none = F.lit(None).cast("long")
-    row = lambda df, op, v, n, old=none: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(v).alias("version"), n.alias("n_tokens"), old.alias("old_tokens"))
-    low, toxic = F.col("quality") == 0, marked.filter("toxic = 1")
-    now = F.when(low, F.col("revised")).otherwise(F.col("words-1"))
-    return {
-        "0-insert": row(counted, "insert", "words-1", F.col("words-1")).unionByName(row(counted, "insert", "pieces-1", F.col("pieces-1"))),
-        "1-revise": row(marked.filter(low), "revise", "words-1", F.col("revised"), F.col("words-1")),
-        "2-delete": row(toxic, "delete", "words-1", now).unionByName(row(toxic, "delete", "pieces-1", F.col("pieces-1"))),
-    }
 
+    def rows(df: DataFrame, op: str, n: str = "", old: str = "") -> DataFrame:
+        one = F.array(*(F.struct(F.lit(v).alias("version"), (F.col(v) if n else none).alias("n_tokens"), (F.col(v) if old else none).alias("old_tokens")) for v in VERSIONS))
+        return df.select(F.lit(op).alias("op"), "source", "lang", F.explode(one).alias("x")).select("op", "source", "lang", "x.*")
 
-ORACLE = f"""
-WITH k AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
-d AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{PATTERNS["words-1"]}')) AS w, len(regexp_extract_all(coalesce(text, ''), '{PATTERNS["pieces-1"]}')) AS p,
-  len(regexp_extract_all(coalesce(text, ''), '{REVISED}')) AS r, coalesce(toxic, 0) AS toxic, coalesce(quality, 1) AS quality FROM documents LEFT JOIN k USING (doc_id)),
-v AS (SELECT source, lang, 'words-1' AS version, CASE WHEN quality = 0 THEN r ELSE w END AS n FROM d WHERE toxic <> 1
-  UNION ALL SELECT source, lang, 'pieces-1', p FROM d WHERE toxic <> 1)
-SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM v GROUP BY ALL
-"""
+    return {
+        "0-insert": rows(counted, "insert", n="new"),
+        "1-revise": rows(revised.filter("new"), "revise", n="new").unionByName(rows(revised.filter("NOT new"), "revise", old="old")),
+        "2-delete": rows(marked.filter("toxic = 1 AND coalesce(quality, 1) <> 0"), "delete", n="new").unionByName(rows(revised.filter("new AND toxic = 1"), "delete", n="new")),
+    }

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -498,6 +499,45 @@ def test_rollup_commits_once(spark, tmp_path):
     with pytest.raises(Exception, match="unknown op"):
         store.commit("b3", spark.createDataFrame([("upsert", "s", "en", "v1", 1, 1)], schema))
     assert store.totals().count() == 2
+    before = {tuple(r) for r in store.totals().collect()}
+    store.compact()
+    store.compact()
+    assert {tuple(r) for r in store.totals().collect()} == before and not store.commit("b1", first)
+    assert store.commit("b4", first) and {tuple(r) for r in store.totals().collect()} == {("s", "en", "v1", 3, 22), (None, "en", "v1", 2, 0)}
+    store.compact()
+    assert {tuple(r) for r in store.totals().collect()} == {("s", "en", "v1", 3, 22), (None, "en", "v1", 2, 0)} and not store.commit("b4", first)
+
+
+def test_rollup_of_one_batch_by_many_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
+    rows = spark.createDataFrame([("insert", "s", "en", "v1", 10, None)], "op string, source string, lang string, version string, n_tokens long, old_tokens long")
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: store.commit("b", rows), range(4)))
+    assert sum(done) == 1 and [tuple(r) for r in store.totals().collect()] == [("s", "en", "v1", 1, 10)]
+
+
+def test_token_counts_of_documents(docs, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tools = {v: Tokenizer.from_file(vocabulary(f"{v}.json")) for v in token_rollup.VERSIONS}
+    size = lambda v, t: len(tools[v].encode(t or "", add_special_tokens=False).ids)
+    labels = [(1, 1, 0), (2, 0, 0), (3, 0, 1), (8, 1, 1), (10, 0, 0), (10, None, 0), (12, None, 1), (4, 0, 1), (None, 0, 1), (99, 0, 1)]
+    want = {}
+    low, toxic = {2, 3, 10, 4}, {3, 8, 12, 4}
+    for r in docs.collect():
+        if r.doc_id not in toxic:
+            text = re.sub("[ \t-\r]+", " ", r.text or "").strip(" ") if r.doc_id in low else r.text
+            for v in tools:
+                n, total = want.get((r.source, r.lang, v), (0, 0))
+                want[r.source, r.lang, v] = (n + 1, total + size(v, text))
+    store = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
+    for batch, changes in token_rollup.document_changes(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).items():
+        assert store.commit(batch, changes)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()} == want
+    none = token_rollup.document_changes(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert all(token_rollup.deltas(c).count() == 0 for c in none.values())
 
 
 def test_line_dedup(docs, clashing, spark):
