@@ -204,6 +204,10 @@ def byte_encoder(path: str, leaf: int = LEAF, first: int = FIRST_WINDOW) -> Tree
     return TreeEncoder(encoder, token_lengths(encoder.library), leaf, first)
 
 
+def word_encoder(path: str) -> Encoder:
+    return Encoder(path, WORD_PIECES, lower=True)
+
+
 def batches(rows: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts hold about ``size`` bytes, so that memory follows ``size`` and the longest text."""
     for batch in rows:

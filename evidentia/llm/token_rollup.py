@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm.bpe import WORD_PIECES, Encoder, batches, byte_encoder
+from evidentia.llm.bpe import batches, byte_encoder, word_encoder
 from evidentia.llm.shared import materialize, python_workers, vocabulary
 
 KEYS = ("source", "lang", "version")
@@ -32,7 +32,7 @@ def count_tokens(rows: DataFrame, text: str = "text", paths: dict[str, str] | No
         schema = schema.add(v, "long")
 
     def run(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = {v: Encoder(p, WORD_PIECES, lower=True) if v.startswith("word") else byte_encoder(p) for v, p in paths.items()}
+        tools = {v: word_encoder(p) if v.startswith("word") else byte_encoder(p) for v, p in paths.items()}
         for batch, texts in batches(held, "_text"):
             counts = []
             for tool in tools.values():

@@ -4,6 +4,7 @@ clashing column names."""
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import random
 import re
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from evidentia.llm import bpe, decontam, graph, line_dedup, near_dedup, passages, quality_rules, sharding, token_blocks, token_rollup, url_filter
 from evidentia.llm.registry import ORACLE, QUERIES
-from evidentia.llm.shared import vocabulary
+from evidentia.llm.shared import new_folder, vocabulary
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -176,7 +177,13 @@ def test_blocks_use_exceptions_and_random_access():
     data, _ = token_blocks.pack(a)
     assert len(data) < 1.4 * len(a)
     counts = np.array([0, 1, 4999, 0, 5000])
-    f = token_blocks.TokenFile(token_blocks.file_bytes(np.arange(5), np.ones(5), counts, a))
+    stream = io.BytesIO()
+    writer = token_blocks.Writer(stream)
+    for i, (start, n) in enumerate(zip(np.cumsum(counts) - counts, counts, strict=True)):
+        writer.add(i if i else None, a[start : start + n])
+    writer.close()
+    f = token_blocks.TokenFile(stream.getvalue())
+    assert f.known.tolist() == [0, 1, 1, 1, 1] and len(f.starts) == 11
     assert np.array_equal(f.ids(1500, 7300), a[1500:7300]) and [len(x) for _, x in f.documents(chunk=1)] == counts.tolist()
     assert np.array_equal(np.concatenate([x for _, x in f.documents(chunk=1)]), a)
 
@@ -194,6 +201,13 @@ def test_token_files_of_edges(docs, spark):
         assert (r.start, r.n_tokens, r.ids, r.ids_crc32) == (at, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_blocks.roundtrip(docs.limit(0), path).count() == 0
+    manifest = token_blocks.write(docs, new_folder(spark, "rolled"), path, file_bytes=1)  # a file is closed as soon as a slice is written
+    spread = spark.createDataFrame([(i, "w " * 200_000) for i in range(8)], "doc_id long, text string").repartition(1)
+    rolled = token_blocks.write(spread, new_folder(spark, "rolled"), path, file_bytes=1)
+    assert manifest.count() >= 1 and rolled.count() > 2 and rolled.agg({"n_docs": "sum"}).first()[0] == 8
+    assert [(r.doc_id, r.start, r.n_tokens) for r in token_blocks.read(rolled).orderBy("start").collect()] == [(i, i * 200_001, 200_001) for i in range(8)]
+    odd = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, _text string, _hash string")
+    assert [r.n_tokens for r in token_blocks.roundtrip(odd, path).collect()] == [3]
 
 
 def test_near_duplicates_against_all_pairs(docs, spark):
