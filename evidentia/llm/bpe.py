@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -199,11 +200,13 @@ def _utf8(value: bytes | None) -> str:
     return "" if value is None else value.decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=8)  # a worker process keeps its encoders, and the pieces they know, for its next tasks
 def byte_encoder(path: str, leaf: int = LEAF, first: int = FIRST_WINDOW) -> TreeEncoder:
     encoder = Encoder(path, BYTE_PIECES)
     return TreeEncoder(encoder, token_lengths(encoder.library), leaf, first)
 
 
+@functools.lru_cache(maxsize=8)
 def word_encoder(path: str) -> Encoder:
     return Encoder(path, WORD_PIECES, lower=True)
 
