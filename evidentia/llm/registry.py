@@ -27,8 +27,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    judged = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=decontam.NEAR)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

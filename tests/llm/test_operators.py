@@ -401,6 +401,11 @@ def test_contamination_against_plain_python(docs, spark):
     got = {r.doc_id: r for r in decontam.contamination(frame, items).collect()}
     assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == {i: (n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0) for i, (n, h, f) in want.items()}
     assert want[1][1] > 0 and want[51][1] == 10  # É is not é
+    stored = decontam.store_index(frame, f"{new_folder(spark, 'index')}")
+    again = {r.doc_id: (r.n_hit, r.items_sha256) for r in decontam.contamination(frame, items, index=stored).collect()}
+    assert again == {i: (r.n_hit, r.items_sha256) for i, r in got.items()}
+    twice = spark.createDataFrame([(1, "x " + item), (1, "nothing here"), (1, "x " + item), (None, item)], "doc_id long, text string")
+    assert sorted(r.n_hit for r in decontam.contamination(twice, items).collect()) == [0, 0, len(words), len(words)]
 
 
 def test_contamination_on_edges(clashing, spark):
