@@ -15,8 +15,6 @@ BROADCAST_BYTES = 32 << 20
 NEAR = 10
 #: Folders of a stored index, by a hash of the term.
 INDEX_PARTS = 64
-#: A word before A-Z are lower-cased.
-_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -158,7 +156,7 @@ def contamination(
     rest = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
     return done.select(
         *rest,
-        F.coalesce(F.regexp_count(F.col("_row")[text], F.lit(_CASED)), F.lit(0)).cast("long").alias("n_words"),
+        F.size(words_of(F.col("_row")[text])).cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(hit_items).cast("long").alias("n_items"),
         F.sha2(F.array_join(hit_items, ","), 256).alias("items_sha256"),
