@@ -189,6 +189,21 @@ def nearby_words(sections: DataFrame, functions: DataFrame, words: list[int], re
     return hits.join(spans, ["file_id", "bucket"]).filter("address >= lo AND address < hi AND (address - lo) % 4 = 0").select("file_id", "func", "value", "address").distinct()
 
 
+def nearby_strings(sections: DataFrame, functions: DataFrame, reach: int = 500, wanted: bytes = MAGIC) -> DataFrame:
+    """(file_id, func): functions that have the string ``wanted`` within ``reach`` bytes.
+
+    Sections without the string are left out first; in the others every place counts. Places and functions
+    meet in buckets of ``reach`` bytes, so the interval join is an equality join. Null sections are skipped.
+    """
+    hexed = F.lower(F.hex("data"))
+    places = F.filter(F.sequence(F.lit(0), F.octet_length("data") - len(wanted)), lambda i: F.substr(hexed, i * 2 + 1, F.lit(2 * len(wanted))) == wanted.hex())
+    able = sections.filter(F.col("data").isNotNull() & F.contains(hexed, F.lit(wanted.hex())))
+    at = able.select("file_id", "vaddr", F.explode(places).alias("place")).select("file_id", (F.col("vaddr") + F.col("place")).alias("address")).withColumn("bucket", F.floor(F.col("address") / reach))
+    spans = functions.select("file_id", "func", (F.col("addr") - reach).alias("lo"), (F.col("addr") + F.col("size") + reach).alias("hi"))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / reach), F.floor((F.col("hi") - 1) / reach))))
+    return at.join(spans, ["file_id", "bucket"]).filter(F.col("address").between(F.col("lo"), F.col("hi") - len(wanted))).select("file_id", "func").distinct()
+
+
 def hash_constants(insn: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Functions with at least 2 distinct words of the dictionary, in operands or near by; the last word found names the algorithm."""
     case = first_of([(F.col("value").isin(list(words)), name) for name, words in HASH_WORDS.items()], F.lit(None).cast("string"))

@@ -80,12 +80,13 @@ def proximity_pairs(functions: DataFrame, reach: int = 5, distance: int = 2000,
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3, by: str | None = "file_id") -> DataFrame:
     """(root, node, depth): what each root reaches over ``edges`` (src, dst) in at most ``depth`` steps, at its least depth."""
     keys = [by] if by else []
-    seen = roots.select(*keys, F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
+    seen = roots.select(*keys, F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     last, step = seen, edges.select(*keys, F.col("src").alias("node"), F.col("dst")).distinct()
     for d in range(1, depth + 1):
-        last = last.join(step, [*keys, "node"]).select(*keys, "root", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct()
+        new = last.join(step, [*keys, "node"]).select(*keys, "root", F.col("dst").alias("node")).distinct()
+        last = new.join(seen.select(*keys, "root", "node"), [*keys, "root", "node"], "left_anti").withColumn("depth", F.lit(d))  # each node is gone through once
         seen = seen.unionByName(last)
-    return seen.groupBy(*keys, "root", "node").agg(F.min("depth").alias("depth"))
+    return seen.select(*keys, "root", "node", "depth")
 
 
 def function_clusters(functions: DataFrame, edges: DataFrame, roots: int = 300, depth: int = 3, callee: int = 1000, caller: int = 500, near: int = 200) -> DataFrame:
@@ -106,6 +107,20 @@ def function_clusters(functions: DataFrame, edges: DataFrame, roots: int = 300,
     return owned.join(sizes, ["file_id", "root"]).select("file_id", "root", "func")
 
 
+def filtered_counts(functions: DataFrame, kept: DataFrame, least: int = MIN_COMPLEXITY, by: str = "file_id") -> DataFrame:
+    """(file, total_functions, analyzed_count, filtered_count, min_complexity_threshold) of ``functions`` of which ``kept`` were extracted."""
+    all_, own = functions.groupBy(by).agg(F.count("*").alias("total_functions")), kept.groupBy(by).agg(F.count("*").alias("analyzed_count"))
+    out = all_.join(own, by, "left").withColumn("analyzed_count", F.coalesce("analyzed_count", F.lit(0)))
+    return out.withColumn("filtered_count", F.col("total_functions") - F.col("analyzed_count")).withColumn("min_complexity_threshold", F.lit(least))
+
+
+def group_summary(scores: DataFrame, by: str = "file_id", first: int = 5) -> DataFrame:
+    """(file, n_groups, n_likely, best_score, top): groups of functions summed up; a group of 0.5 or more is likely, top names the ``first`` by score."""
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("crypto_score")).alias("neg"), "root"))), 1, first)
+    out = scores.groupBy(by).agg(F.count("*").alias("n_groups"), F.count_if(F.col("crypto_score") >= 0.5).alias("n_likely"), F.max("crypto_score").alias("best_score"), top.alias("t"))
+    return out.select(by, "n_groups", "n_likely", "best_score", F.array_join(F.transform("t", lambda x: x["root"].cast("string")), ",").alias("top"))
+
+
 def functions_from_groups(functions: DataFrame, groups: DataFrame, top: int = 5, first: int = 20) -> DataFrame:
     """For files without any extracted function: the ``first`` addresses of the members of their ``top`` largest groups."""
     bare = groups.join(functions.select("file_id").distinct(), "file_id", "left_anti")

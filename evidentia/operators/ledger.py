@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Fixed values: (key, model, provider, price per 1000 input tokens, per 1000 output tokens, temperature, max tokens, timeout s, retries).
@@ -122,28 +124,41 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 def token_batches(items: DataFrame, budget: int, by: str, order: str, tokens: str = "tokens") -> DataFrame:
     """``items`` with batch_number, total_batches, items_in_batch and estimated_tokens: greedy packing in order under ``budget``.
 
-    An item over the budget gets a batch of its own; it closes the batch before it. Each ``by`` is packed on its own: its token counts are folded
-    in order inside one row, without the items themselves, and batch numbers are joined back.
+    An item over the budget gets a batch of its own; it closes the batch before it. Each ``by`` is packed on its own, as a stream: rows are sorted
+    by (by, order) inside a partition and a task holds the running batch only, so a group of any size takes no memory. A null token count is 0.
     """
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        t = x["t"]
-        over = t > budget
-        fresh = over | (a["held"] + t > budget) | (a["n"] == 0)
-        n = F.when(fresh, a["n"] + 1).otherwise(a["n"])
-        # After an oversize item the next one starts anew, so the held count is set past the budget.
-        held = F.when(over, F.lit(budget + 1)).when(fresh, t).otherwise(a["held"] + t)
-        return F.struct(n.cast("int").alias("n"), held.cast("long").alias("held"), F.array_append(a["out"], n.cast("int")).alias("out"))
-
-    packed = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("xs"))
-    numbered = packed.select(by, "xs", F.aggregate("xs", start, step, lambda a: a["out"]).alias("b"))
-    flat = numbered.select(by, F.explode(F.arrays_zip("xs", "b")).alias("z")).select(by, F.col("z.xs.o").alias(order), F.col("z.xs.t").alias("_t"), F.col("z.b").alias("batch_number"))
+    rows = items.select(by, order, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_t"))
+    schema = rows.schema.add("batch_number", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, number, held = None, 0, 0
+        for batch in batches:
+            out = []
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if number == 0 or g != group:
+                    group, number, held = g, 1, t
+                elif t > budget or held + t > budget:
+                    number, held = number + 1, t
+                else:
+                    held += t
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [by, order, "_t", "batch_number"])
+
+    flat = rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
     info = flat.groupBy(by, "batch_number").agg(F.count("*").alias("items_in_batch"), F.sum("_t").alias("estimated_tokens"))
-    last = flat.groupBy(by).agg(F.max("batch_number").alias("total_batches"))
+    last = info.groupBy(by).agg(F.max("batch_number").alias("total_batches"))
     return items.join(flat.drop("_t"), [by, order]).join(info, [by, "batch_number"]).join(last, by)
 
 
+def stage_costs(calls: DataFrame, by: str = "file_id", stage: str = "stage") -> DataFrame:
+    """(file, stage, n_calls, cost, duration_seconds, share): what each stage of a file's analysis cost, and its share of the file's cost; the row
+    with a null stage sums the file up."""
+    cost, time = F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("duration_seconds")
+    sets = calls.groupingSets([[F.col(by)], [F.col(by), F.col(stage)]], F.col(by), F.col(stage)).agg(F.count("*").alias("n_calls"), cost, time)
+    whole = F.max(F.when(F.col(stage).isNull(), F.col("cost"))).over(Window.partitionBy(by))
+    return sets.withColumn("share", F.coalesce(F.try_divide("cost", whole), F.lit(0.0)))
+
+
 def chunks(items: DataFrame, size: int, by: str, order: list[str]) -> DataFrame:
     """``items`` with a chunk number: ``size`` in each, in order."""
     rn = F.row_number().over(Window.partitionBy(by).orderBy(*order))

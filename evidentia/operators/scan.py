@@ -119,26 +119,36 @@ def signature_scan(sections: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 ANCHOR_WORDS = 3
+#: Phrases without a whole inner word are looked for by a contains-join, up to so many of them.
+SHORT_PHRASES = 10_000
 
 
 def phrase_scan(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(id, item, position) of each phrase's first place in each text, if that is at the start of a word; for dictionaries of any size.
+    """(id, item, position) of each phrase's first place in each text, wherever it stands; for dictionaries of any size.
 
-    texts: (id, text); phrases: (item, phrase). A phrase's first words are its anchor; anchors of texts and phrases meet by equality and without the texts,
-    then the few candidates are checked whole. Phrases of fewer words than an anchor are looked for by a contains-join.
+    texts: (id, text); phrases: (item, phrase). A phrase's first and last word may be parts of words in a text, those between are whole ones; up to three of
+    them are its anchor. Anchors of texts and phrases meet by equality and without the texts, then the few candidates are checked whole.
+    Only phrases of one or two words are looked for in every text; more than SHORT_PHRASES of those are an error.
     """
-    words = lambda c: F.split(c, "[ \n]")
-    run = lambda w, i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(ANCHOR_WORDS)))
-    long_enough = F.size(words(F.col("phrase"))) >= ANCHOR_WORDS
-    own = phrases.filter(long_enough).select("item", run(words(F.col("phrase")), F.lit(0)).alias("anchor"))
-    cut = texts.select("id", words(F.col("text")).alias("w")).filter(F.size("w") >= ANCHOR_WORDS)
-    anchors = cut.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - ANCHOR_WORDS), lambda i: run(F.col("w"), i))).alias("anchor"))
-    pairs = anchors.join(own, "anchor").select("id", "item").distinct()
-    near = texts.join(pairs, "id").join(phrases, "item").filter("contains(text, phrase)")
-    short = texts.join(F.broadcast(phrases.filter(~long_enough & (F.col("phrase") != ""))), F.expr("contains(text, phrase)"))
-    found = near.select("id", "item", "text", "phrase").unionByName(short.select("id", "item", "text", "phrase"))
-    found = found.withColumn("position", F.expr("locate(phrase, text)").cast("long"))
-    return found.filter("position = 1 OR substr(text, position - 1, 1) IN (' ', '\n')").select("id", "item", "position")
+    words = lambda c: F.split(c, "[ \n]", -1)
+    run = lambda w, i, k: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k)))
+    own = phrases.filter("phrase <> ''").withColumn("w", words(F.col("phrase")))
+    short = own.filter(F.size("w") < 3).select("item", "phrase")
+    n_short = short.count()
+    if n_short > SHORT_PHRASES:
+        raise ValueError(f"{n_short} phrases of fewer than three words; at most {SHORT_PHRASES} can be looked for")
+    near = None
+    cut = texts.select("id", words(F.col("text")).alias("w"))
+    anchor_of = lambda k: lambda i: run(F.col("w"), i, k)
+    for k, some in ((1, own.filter(F.size("w").between(3, ANCHOR_WORDS + 1))), (ANCHOR_WORDS, own.filter(F.size("w") > ANCHOR_WORDS + 1))):
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
+        anchors = cut.select("id", F.explode(F.transform(starts, anchor_of(k))).alias("anchor"))
+        found = anchors.join(some.select("item", run(F.col("w"), F.lit(1), k).alias("anchor")), "anchor").select("id", "item").distinct()
+        near = found if near is None else near.unionByName(found)
+    whole = texts.join(near, "id").join(phrases, "item").filter("contains(text, phrase)").select("id", "item", "text", "phrase")
+    if n_short:
+        whole = whole.unionByName(texts.join(F.broadcast(short), F.expr("contains(text, phrase)")).select("id", "item", "text", "phrase"))
+    return whole.select("id", "item", F.expr("locate(phrase, text)").cast("long").alias("position"))
 
 
 def constant_groups(found: DataFrame, by: str = "file_id") -> DataFrame:

@@ -73,7 +73,7 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.phrase_scan(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("phrase")))
 
 
-@query("SELECT id, item, position FROM (" + _SCAN + ") s JOIN documents d ON d.doc_id = id WHERE position = 1 OR substr(d.text, position - 1, 1) IN (' ', chr(10))")
+@query(_SCAN)
 def constant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each dictionary phrase's first place in each document."""
     return _phrases(spark, sf_dir)
@@ -267,7 +267,7 @@ l AS (SELECT *, least(least(nx * 0.15::DOUBLE, 0.4::DOUBLE) + least(nr * 0.12::D
 
 
 def _pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = detect.function_counts(st.instructions(spark, sf_dir).filter(F.col("func") % 3 != 4))
+    counts = detect.function_counts(st.instructions(spark, sf_dir))
     kinds = sum((F.col(f"n_{k}") > 0).cast("int") for k in ("xor", "add", "sub", "mul", "rotate", "shift", "and", "or"))
     total = sum(F.col(f"n_{k}") for k in ("xor", "add", "sub", "mul", "rotate", "shift", "and", "or"))
     mixed = (kinds >= 3) & (total >= 10)
@@ -348,11 +348,11 @@ def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.proximity_pairs(table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("file_id"), F.col("p_partkey").alias("addr"), F.col("p_size").alias("size")), size=30)
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0), r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey <= 300 UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY ALL")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem), r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY ALL")
 def call_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each function reaches over call edges in three steps."""
-    edges = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 10 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"))
-    return inventory.reachable(edges, table(spark, sf_dir, "supplier").filter("s_suppkey <= 300").select(F.col("s_suppkey").alias("root")), 3, None)
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"))
+    return inventory.reachable(edges, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("root")), 3, None)
 
 
 _COUNTED = "count(*)::BIGINT AS n_calls, sum(cost) AS total_cost"
@@ -390,10 +390,10 @@ def model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("ts"), (F.col("user_id") * 40).alias("ttl"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("ts"), (F.col("user_id") * 40).alias("ttl"))
 
 
-_CACHE = "WITH e AS (SELECT user_id AS key, arg_max(props, event_id) AS value, max(event_id) AS ts, any_value(user_id) * 40 AS ttl FROM events WHERE event_type <> 'error' GROUP BY user_id), n AS (SELECT max(event_id) AS now FROM events), l AS (SELECT e.* FROM e, n WHERE now - ts <= ttl)"
+_CACHE = "WITH e AS (SELECT user_id AS key, arg_max(props, event_id) AS value, max(event_id) AS ts, any_value(user_id) * 40 AS ttl FROM events GROUP BY user_id), n AS (SELECT max(event_id) AS now FROM events), l AS (SELECT e.* FROM e, n WHERE now - ts <= ttl)"
 
 
 def _now(spark: SparkSession, sf_dir: str):
@@ -459,13 +459,13 @@ def triage_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
 
 
-_VULN = "v AS (SELECT p_partkey % 40 AS file_id, p_partkey, CASE p_size % 8 WHEN 0 THEN 'DES' WHEN 1 THEN 'RC4' WHEN 2 THEN 'MD5' WHEN 3 THEN 'AES-CBC' WHEN 4 THEN 'AES-256-GCM' WHEN 5 THEN 'SHA-256' ELSE 'other' END AS algorithm FROM part), s AS (SELECT *, CASE WHEN algorithm IN ('DES', 'RC4') THEN 'critical' WHEN algorithm = 'MD5' THEN 'high' WHEN algorithm = 'AES-CBC' THEN 'medium' END AS severity FROM v WHERE p_partkey % 37 < 3)"
+_VULN = "v AS (SELECT p_partkey // 2 AS file_id, p_partkey, CASE p_size % 8 WHEN 0 THEN 'DES' WHEN 1 THEN 'RC4' WHEN 2 THEN 'MD5' WHEN 3 THEN 'AES-CBC' WHEN 4 THEN 'AES-256-GCM' WHEN 5 THEN 'SHA-256' ELSE 'other' END AS algorithm FROM part), s AS (SELECT *, CASE WHEN algorithm IN ('DES', 'RC4') THEN 'critical' WHEN algorithm = 'MD5' THEN 'high' WHEN algorithm = 'AES-CBC' THEN 'medium' END AS severity FROM v)"
 
 
 def _algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(a) for a in ("DES", "RC4", "MD5", "AES-CBC", "AES-256-GCM", "SHA-256", "other", "other")))
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("file_id"), "p_partkey", F.get(names, (F.col("p_size") % 8).cast("int")).alias("algorithm"))
-    return rows.filter("p_partkey % 37 < 3").withColumn("severity", report.severity_of(F.col("algorithm")))
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 2).alias("file_id"), "p_partkey", F.get(names, (F.col("p_size") % 8).cast("int")).alias("algorithm"))
+    return rows.withColumn("severity", report.severity_of(F.col("algorithm")))
 
 
 @query(f"WITH {_VULN}, l AS (SELECT file_id, sum(CASE severity WHEN 'critical' THEN 50 WHEN 'high' THEN 25 WHEN 'medium' THEN 10 ELSE 0 END) AS lost, max((algorithm IN ('AES-256-GCM', 'SHA-256'))::INT) * 10 + max((algorithm = 'AES-256-GCM')::INT) * 10 AS won FROM s GROUP BY file_id) SELECT file_id, greatest(0, least(100, 100 - lost + won))::BIGINT AS security_score FROM l")
@@ -502,9 +502,16 @@ def group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.group_counts(insn.drop("block"), groups, per_block=1 << 30).select("file_id", "root", "xor_count", "rotation_count", "lookup_count", "shift_count", "and_or_count", "mod_count", "crypto_score")
 
 
-@query()
+@query("""WITH RECURSIVE {FACTS}, real AS (SELECT file_id, addr, size, row_number() OVER (PARTITION BY file_id ORDER BY addr) AS k FROM fn WHERE NOT is_plt AND NOT is_simproc),
+e AS (SELECT DISTINCT l_partkey % 7 AS file_id, l_partkey * 100 AS src, (l_partkey + 7 * (l_orderkey % 4)) * 100 AS dst FROM lineitem),
+c AS (SELECT e.*, d.size AS dst_size FROM e JOIN real d ON d.file_id = e.file_id AND d.addr = e.dst JOIN real s ON s.file_id = e.file_id AND s.addr = e.src),
+steps AS (SELECT file_id, src, dst FROM c WHERE dst_size < 1000 UNION SELECT file_id, dst, src FROM c WHERE dst_size < 500
+  UNION SELECT x.file_id, x.addr, y.addr FROM real x JOIN real y ON x.file_id = y.file_id AND abs(x.k - y.k) BETWEEN 1 AND 5 AND abs(x.addr - y.addr) < 2000 AND y.size < 300 WHERE x.size < 200),
+r(file_id, root, node, depth) AS (SELECT file_id, addr, addr, 0 FROM real WHERE k <= 300 UNION SELECT r.file_id, r.root, s.dst, r.depth + 1 FROM r JOIN steps s ON s.file_id = r.file_id AND s.src = r.node WHERE r.depth < 3),
+o AS (SELECT file_id, node AS func, min(root) AS root FROM r GROUP BY ALL)
+SELECT file_id, root, func FROM (SELECT *, count(*) OVER (PARTITION BY file_id, root) AS n FROM o) WHERE n >= 2""")
 def function_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters over calls and neighbourhood, each function under its smallest root."""
     fn = st.functions(spark, sf_dir)
-    edges = table(spark, sf_dir, "lineitem").filter("l_linenumber = 2 AND l_partkey % 7 = l_orderkey % 7").select((F.col("l_partkey") % 7).alias("file_id"), (F.col("l_partkey") * 100).alias("src"), (F.col("l_orderkey") * 100).alias("dst"))
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 7).alias("file_id"), (F.col("l_partkey") * 100).alias("src"), ((F.col("l_partkey") + 7 * (F.col("l_orderkey") % 4)) * 100).alias("dst"))
     return inventory.function_clusters(fn, edges)
