@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.llm.bpe import batches, byte_encoder, word_encoder
-from evidentia.llm.shared import materialize, python_workers, vocabulary
+from evidentia.llm.shared import by_id, materialize, python_workers, vocabulary
 
 KEYS = ("source", "lang", "version")
 #: Tokenizer versions: public vocabularies of the tokenizers library.
@@ -149,10 +149,11 @@ def document_changes(docs: DataFrame, labels: DataFrame) -> dict[str, DataFrame]
     counted = materialize(count_tokens(own), "token-counts")
     known = materialize(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")), "marks")
     marked = materialize(counted.join(known, "doc_id"), "marked")
-    low = own.join(known.filter("quality = 0").select("doc_id", "toxic"), "doc_id").withColumn("squeezed", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
-    both = low.select("doc_id", "source", "lang", "toxic", F.explode(F.array(F.struct(F.lit(False).alias("new"), F.col("text").alias("t")), F.struct(F.lit(True).alias("new"), F.col("squeezed").alias("t")))).alias("v"))
-    counts = count_tokens(both.select("doc_id", "source", "lang", "toxic", F.col("v.new").alias("new"), F.col("v.t").alias("text")))
-    revised = materialize(counts, "revised-counts")
+    # Texts are picked by id, which is broadcast up to a bound, so they are not exchanged; marks are joined to the counts.
+    low = by_id(own, materialize(known.filter("quality = 0").select("doc_id"), "low-ids"), "doc_id").withColumn("squeezed", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    both = low.select("doc_id", "source", "lang", F.explode(F.array(F.struct(F.lit(False).alias("new"), F.col("text").alias("t")), F.struct(F.lit(True).alias("new"), F.col("squeezed").alias("t")))).alias("v"))
+    counts = count_tokens(both.select("doc_id", "source", "lang", F.col("v.new").alias("new"), F.col("v.t").alias("text")))
+    revised = materialize(materialize(counts, "low-counts").join(known.select("doc_id", "toxic"), "doc_id"), "revised-counts")
     none = F.lit(None).cast("long")
 
     def rows(df: DataFrame, op: str, n: str = "", old: str = "") -> DataFrame:
