@@ -125,3 +125,27 @@ def url_verdicts(pages, links, redirects, rules):
         known = u and "://" in u
         out[i] = (known and rule(u)) or ("block" if known and node(u) in parent and find(node(u)) in blocked else "allow")
     return out
+
+
+def good(text, rules):
+    """Whether a text passes the base rules and a decision list of (terms, verdict)."""
+    n, chars, symbols, dup, repeat = base_statistics(text)
+    if n < 50 or 100 * repeat > 50 * n:
+        return False
+    n_lines = sum(1 for x in (text or "").split("\n") if x.encode().split())
+    share = lambda a, b: int(100 * a / b) if b else 0
+    row = {"n_words": n, "mean_word_100": share(chars, n), "symbols_100": share(symbols, n), "dup_lines_100": share(dup, n_lines), "repeat_100": share(repeat, n)}
+    for rule in rules:
+        if all(row[t.feature] <= t.value if t.op == "<=" else row[t.feature] > t.value for t in rule.terms):
+            return rule.verdict
+    return True
+
+
+def without_boilerplate(docs, ratio, least):
+    """doc_id -> text without the lines on more than ``ratio`` of their host's pages, and at least ``least``."""
+    pages, lines = collections.Counter(), collections.Counter()
+    for _, host, text in docs:
+        pages[host] += 1
+        lines.update({(host, x.strip(" ")) for x in (text or "").split("\n") if x.strip(" ")})
+    bad = {k for k, n in lines.items() if n >= least and n > ratio * pages[k[0]]}
+    return {i: text if text is None else "\n".join(x for x in text.split("\n") if (host, x.strip(" ")) not in bad) for i, host, text in docs}

@@ -585,19 +585,46 @@ def test_oracle(spark, name):
 
 
 @needs_tables
-def test_pipeline_stages_take_effect(spark):
+def test_pipeline_stages_against_plain_python(spark):
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rules = quality_rules.judge(docs, labels)[1]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, SF)
+        was = {r.doc_id: r for r in docs.collect()}
+        docs = stage(spark, docs, SF).cache()
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
-        ids = {r.doc_id for r in docs.select("doc_id").collect()}
-        was = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
-        assert ids <= set(was)
+        got = {r.doc_id: r.text for r in docs.collect()}
+        if name == "quality rules":
+            want = {i: r.text for i, r in was.items() if brute.good(r.text, rules)}
+            assert len(want) < len(was)
+        if name == "line dedup":
+            want = brute.without_boilerplate([(r.doc_id, r.source, r.text) for r in was.values()], line_dedup.MAX_RATIO, line_dedup.MIN_PAGES)
         if name == "near dedup":
-            assert ids == {i for i, (_, c) in brute.near_components(sorted(was.items())).items() if i == c}
+            parts = brute.near_components([(i, r.text) for i, r in sorted(was.items())], percent=80)
+            want = {i: was[i].text for i, (_, c) in parts.items() if i == c}
         if name == "decontamination":
-            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            assert ids == {i for i, (_, hit, _) in brute.contamination(sorted(was.items()), items).items() if not hit}
-        docs = docs.cache()
-    got = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in got} == ids and all(r.n_tokens for r in got)
+            hits = brute.contamination([(i, r.text) for i, r in sorted(was.items())], items)
+            want = {i: r.text for i, r in was.items() if not hits[i][1]}
+        assert got == want, name
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(rows) == set(got) and got
+    for i, text in got.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+@needs_tables
+def test_pipeline_stages_on_edges(docs, clashing, spark):
+    want = {"quality rules": {1, 2, 3, 8, 12}, "line dedup": {None, *range(1, 13)}, "near dedup": {None, 1, *range(4, 13)}, "decontamination": {None, *range(1, 13)}, "bpe": {None, *range(1, 13)}}
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (docs, clashing):
+            out = stage(spark, frame, SF)
+            rows = out.collect()
+            assert {r.doc_id for r in rows} <= want[name] if name == "quality rules" else {r.doc_id for r in rows} == want[name], name
+            assert name == "bpe" or out.columns == list(corpus_pipeline.COLUMNS)
+            assert sum(r.doc_id == 12 for r in rows) in ((0, 2) if name == "quality rules" else (2,))
+        assert stage(spark, docs.limit(0), SF).count() == 0
