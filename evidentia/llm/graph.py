@@ -7,34 +7,33 @@ from pyspark.sql import DataFrame, functions as F
 from evidentia.llm.shared import materialize
 
 
-def _state(links: DataFrame) -> tuple:
-    """A fingerprint of a set of links."""
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every a has one b that is no a itself, so that each component is one star round its smallest node."""
+    ends = links.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] == 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node in ``edges``; component is the smallest node that can be reached.
 
-    Large stars and small stars alternate until the links no longer change: a large star moves a node's larger neighbours to the smallest
-    node around it, a small star its smaller ones, and itself. Nodes stay connected throughout, links only ever point at smaller nodes, and what does
-    not change is one star for each component; the number of rounds grows with the logarithm of the nodes (squared at the worst), and there is no limit on it. Minima
-    are combined on the map side, and the join that brings them back can be split by adaptive skew handling, so a node with very many links is
-    no hot spot. Rows with a null end are ignored; repeated rows and rows that link a node with itself are allowed; no edges give no rows.
+    Large stars and small stars alternate until every component is one star, which one aggregate by node tells: a large star moves a node's larger
+    neighbours to the smallest node around it, a small star its smaller ones, and itself. Nodes stay connected throughout, links only ever point at
+    smaller nodes, and nothing but single stars stays as it is; the number of rounds grows with the logarithm of the nodes (squared at the worst),
+    and there is no limit on it. Minima are combined on the map side, and the join that brings them back can be split by adaptive skew handling, so
+    a node with very many links is no hot spot. Rows with a null end are ignored; repeated rows and rows that link a node with itself are allowed;
+    no edges give no rows.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     nodes = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     lone, links = nodes.filter("a = b").select("a"), nodes.filter("a > b")
-    state = _state(links)
-    while state[0]:
+    while not _stars(links):
         around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
         large = links.join(around.select(F.col("a").alias("b"), F.least("a", "m").alias("m")), "b").select("a", F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        state, last = _state(links), state
-        if state == last:
-            break
     known = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = links.select("b").unionByName(lone.select(F.col("a").alias("b"))).distinct().join(links.select(F.col("a").alias("b")), "b", "left_anti")
     return materialize(known.unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component"))), "components")
