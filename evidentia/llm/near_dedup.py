@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.graph import connected_components
+from evidentia.llm.graph import connected_components, joined_components
 from evidentia.llm.shared import BROADCAST_IDS, by_id, materialize, python_workers
 from evidentia.llm.text_hash import STEP, Words, mix, shingle_set
 
@@ -142,6 +142,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
     pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.withColumn("linked", F.lit(False))
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     texts = _texts(sets, docs, ids)
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
@@ -171,8 +173,8 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     return materialize(named.join(materialize(keys, "mixed-keys"), "key"), "mixed")
 
 
-def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(edges a, b; components node, component) that connect whatever is linked among ``sigs`` (id, doc_id, th, n_shingles, sig), docs being (doc_id, th, t).
+def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The components (node, component) that connect whatever is linked among ``sigs`` (id, doc_id, th, n_shingles, sig), docs being (doc_id, th, t).
 
     1. Each bucket's members are compared with its smallest: one pair a member links most copies.
     2. Large buckets that are still in several components are compared with their cleanest member, the one with most common shingles.
@@ -200,8 +202,8 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[Dat
         star = thin.join(cleanest, "key").filter("c <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         star = materialize(star.join(tried, ["a", "b"], "left_anti"), "second-star")
         second = confirm(within_distance(star, sigs, percent), sigs, docs, percent).filter("linked").select("a", "b")
-        tried, edges = tried.unionByName(star), edges.unionByName(second)
-        parts = connected_components(edges)
+        tried = tried.unionByName(star)
+        parts = joined_components(parts, second)
         rest = _mixed(wide, parts)
     small = rest.filter(F.col("n") <= SMALL_BUCKET).select("key", "id", "c")
     other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
@@ -223,8 +225,7 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[Dat
         pairs = pairs.unionByName(alike.select(F.col("id").alias("a"), "b")).unionByName(sharing.select(F.col("id").alias("a"), "b"))
     pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
     last = confirm(within_distance(pairs, sigs, percent), sigs, docs, percent).filter("linked").select("a", "b")
-    edges = edges.unionByName(last)
-    return edges, connected_components(edges)
+    return joined_components(parts, last)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -242,12 +243,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = known.groupBy(*same).agg(F.min(F.struct("doc_id", "th", "sig")).alias("r"))
     # Written once, so the numbers of the sets stay as they are.
     sigs = materialize(first.select(F.monotonically_increasing_id().alias("id"), *same, "r.*"), "sets")
-    edges, parts = links(sigs, texts_of(docs, doc_id, text), percent)
+    parts = links(sigs, texts_of(docs, doc_id, text), percent)
     repeated = materialize(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
     if not repeated.isEmpty():
         own = materialize(known.join(repeated, "doc_id").join(sigs.select("id", *same), same).select("doc_id", "id").distinct(), "sets-of-ids")
         least = own.groupBy("doc_id").agg(F.min("id").alias("a"))
-        parts = connected_components(edges.unionByName(own.join(least, "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))))
+        parts = joined_components(parts, own.join(least, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")))
     reached = parts.join(sigs.select(F.col("id").alias("node"), "doc_id"), "node")
     smallest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = sigs.join(reached.select("node", "component").join(smallest, "component"), sigs["id"] == F.col("node"), "left").select(*same, F.coalesce("component_id", sigs["doc_id"]).alias("component_id"))

@@ -94,6 +94,17 @@ def test_components_of_random_links_stars_and_cycles(spark):
     assert {(g.node, g.component) for g in names} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
 
+def test_components_grow_by_new_edges(spark):
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    parts = graph.connected_components(frame(links[:200]))
+    got = graph.joined_components(parts, frame(links[200:]))
+    want = graph.connected_components(frame(links))
+    assert sorted(map(tuple, got.select("node", "component").collect())) == sorted(map(tuple, want.select("node", "component").collect()))
+    assert graph.joined_components(parts, frame([])) is parts
+
+
 def test_quality_statistics(docs):
     got = quality_rules.statistics(docs).collect()
     for r in got:
