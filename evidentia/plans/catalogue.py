@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidentia.functions import classify, jsonfix, text as tx
-from evidentia.operators import detect, infer, inventory, ledger, report, scan
+from evidentia.operators import detect, infer, inventory, job, ledger, report, scan
 from evidentia.plans import standins as st
 from evidentia.session import table
 
@@ -244,9 +244,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {ORDER}) AS rn
 SELECT file_id, addr, size, num_blocks, cc AS complexity, round(cc / greatest(num_blocks, 1)::DOUBLE, 2) AS complexity_score, hit AS has_hit, row_number() OVER (PARTITION BY file_id ORDER BY cc DESC, addr)::INT AS ord FROM k WHERE rn <= 50"""
 
 
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of high quantity as rule hits inside functions."""
+    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity > 48").select((F.col("l_partkey") % 7).alias("file_id"), (F.col("l_partkey") * 100).alias("addr"), F.col("l_returnflag").alias("tag"))
+
+
 def _extract(spark: SparkSession, sf_dir: str, topk: bool) -> DataFrame:
-    tags = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity > 48").select((F.col("l_partkey") % 7).alias("file_id"), (F.col("l_partkey") * 100).alias("addr"), F.col("l_returnflag").alias("tag"))
-    return inventory.extract_functions(st.functions(spark, sf_dir), tags, topk=topk).drop("name", "tags")
+    return inventory.extract_functions(st.functions(spark, sf_dir), tags(spark, sf_dir), topk=topk).drop("name", "tags")
 
 
 @query(_FUNCTIONS.replace("{ORDER}", "addr"))
@@ -295,10 +299,7 @@ def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    insn, loops = st.instructions(spark, sf_dir), st.loops(spark, sf_dir)
-    counts = detect.function_counts(insn)
-    hot = detect.loop_instructions(st.loop_insn(spark, sf_dir), loops)
-    return {"feistel": detect.feistel_networks(hot), "arx": detect.arx_operations(counts), "tables": detect.table_lookups(counts), "loops": detect.round_loops(loops), "modular": detect.modular_arithmetic(counts), "hashes": detect.hash_constants(insn), "ratios": detect.memory_ratios(hot).filter("total_instructions >= 20"), "magic": detect.magic_constants(insn)}
+    return job.found_patterns(st.instructions(spark, sf_dir), st.loops(spark, sf_dir), st.loop_insn(spark, sf_dir))
 
 
 @query("""WITH {FACTS}, c AS (SELECT file_id, func, count(*) FILTER (mnemonic IN ('mov', 'orr')) AS r, count(*) FILTER (mnemonic = 'ldr') AS ms, count(*) FILTER (mnemonic IN ('xor', 'eor')) AS x, count(*) FILTER (mnemonic IN ('ldr', 'mov') AND contains(op_str, '[')) AS m, count(*) AS n FROM linsn GROUP BY ALL),

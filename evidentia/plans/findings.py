@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.functions import classify, text as tx
-from evidentia.operators import detect, inventory, ledger, report, scan
+from evidentia.operators import detect, inventory, job, ledger, report, scan
 from evidentia.plans import catalogue, standins as st
 from evidentia.plans.catalogue import ORACLE, query
 from evidentia.session import table
@@ -146,3 +146,24 @@ def named_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = F.get(F.array(*(F.lit(p) for p in ("EVP_", "SSL_", "mbedtls_", "crypto_", "wc_", "main"))), (F.col("p_size") % 6).cast("int"))
     rows = table(spark, sf_dir, "part")
     return rows.select("p_partkey", report.library_of(F.concat(prefix, F.col("p_name"))).alias("library"), classify.rotation_family(F.array((F.col("p_size") % 31).cast("int"))).alias("family"))
+
+
+def _analysis_sql(union: str) -> str:
+    """SQL of the whole job, ``union`` being that of the inferred algorithms."""
+    return f"""WITH f AS (SELECT DISTINCT s_suppkey % 12 AS file_id FROM supplier), s AS (SELECT (conv_id % 4) * 3 AS file_id, text FROM conversations),
+r AS (SELECT f.file_id, min(CASE WHEN regexp_matches(lower(text), '{catalogue._DEEP}') THEN 1 WHEN regexp_matches(lower(text), '{catalogue._QUICK}') THEN 2 ELSE 3 END) AS k FROM f LEFT JOIN s USING (file_id) GROUP BY f.file_id),
+a AS (SELECT file_id, algorithm, confidence, CASE WHEN algorithm = 'DES' OR algorithm LIKE 'DES %' THEN 50 WHEN algorithm LIKE '%SHA-1%' THEN 25 END AS lost FROM ({union}) WHERE confidence >= 0.5),
+g AS (SELECT file_id, string_agg(DISTINCT algorithm, ',' ORDER BY algorithm) AS algorithms, max(confidence) AS best_confidence, count(lost) AS n_vulnerabilities, greatest(0, least(100, 100 - coalesce(sum(lost), 0) + max(contains(algorithm, 'SHA-256')::INT) * 10))::BIGINT AS score FROM a GROUP BY file_id),
+p AS (SELECT file_id, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS protocols FROM s JOIN ({catalogue._PROTOCOLS}) ON contains(lower(text), lower(keyword)) GROUP BY file_id),
+n AS (SELECT file_id, count(*) AS n FROM ({ORACLE["function_extract"]}) GROUP BY file_id)
+SELECT r.file_id, ['deep', 'quick', 'skip'][k] AS route, k = 3 AS skipped, CASE WHEN k = 3 THEN '' ELSE concat_ws(',', CASE WHEN r.file_id NOT IN (SELECT l_suppkey % 10 FROM lineitem) THEN 'no instructions' END, CASE WHEN r.file_id NOT IN (SELECT p_partkey % 7 FROM part) THEN 'no functions' END) END AS errors,
+CASE WHEN k = 3 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_functions, CASE WHEN k < 3 THEN algorithms END AS algorithms, CASE WHEN k < 3 THEN best_confidence END AS best_confidence, CASE WHEN k = 3 THEN 0 ELSE coalesce(n_vulnerabilities, 0) END::BIGINT AS n_vulnerabilities,
+CASE WHEN k < 3 THEN protocols END AS protocols, CASE WHEN k < 3 THEN coalesce(score, 100) END AS security_score, (CASE WHEN k = 3 THEN 1 ELSE 7 END)::INT AS stages_completed FROM r LEFT JOIN g USING (file_id) LEFT JOIN p USING (file_id) LEFT JOIN n USING (file_id)"""
+
+
+@query(_analysis_sql(ORACLE["infer_union"]))
+def whole_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From facts to one row a file: routes, algorithms, weaknesses, protocols, score, and the facts that are missing."""
+    files = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 12).alias("file_id"))
+    strings = table(spark, sf_dir, "conversations").select(((F.col("conv_id") % 4) * 3).alias("file_id"), F.col("text").alias("string"))
+    return job.analysed(files, strings, st.instructions(spark, sf_dir), st.loops(spark, sf_dir), st.loop_insn(spark, sf_dir), st.functions(spark, sf_dir), catalogue.tags(spark, sf_dir))

@@ -353,3 +353,20 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT key FROM firsts").count() == 3
+
+
+def test_whole_analysis_skips_forces_and_names_missing_facts(spark):
+    from evidentia.operators import job
+
+    files = spark.createDataFrame([(1,), (2,), (3,), (1,)], "file_id long")
+    strings = spark.createDataFrame([(1, "nothing here"), (1, "AES key"), (2, "plain words"), (9, "cipher"), (1, None)], "file_id long, string string")
+    insn = spark.createDataFrame([(1, 10, b, b, "xor", "r0, r1", 0) for b in range(3)] + [(1, 20, 0, 9, "add", "r0, r1", 0)], "file_id long, func long, block long, ord long, mnemonic string, op_str string, offset long")
+    loops = spark.createDataFrame([], "file_id long, func long, loop_id long, block long")
+    functions = spark.createDataFrame([(1, 10, "f", 9, 4, 9, 3, False, False, False)], "file_id long, addr long, name string, size int, num_blocks int, edges int, nodes int, is_plt boolean, is_simproc boolean, is_blob boolean")
+    got = {r.file_id: r for r in job.analysed(files, strings, insn, loops, insn, functions).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert (got[1].route, got[1].skipped, got[1].errors, got[1].n_functions, got[1].security_score, got[1].stages_completed) == ("deep", False, "", 1, 100, 7)
+    assert [(r.route, r.skipped, r.errors, r.security_score, r.stages_completed) for r in (got[2], got[3])] == [("skip", True, "", None, 1)] * 2
+    forced = {r.file_id: r for r in job.analysed(files, strings, insn, loops, insn, functions, top=1, force_deep=True).collect()}
+    assert forced[3].route == "deep" and forced[3].errors == "no instructions,no functions"
+    assert [r.func for r in job.most_blocks(insn, 1).collect()] == [10]
