@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidentia.llm import bpe, decontam, line_dedup, near_dedup, passages, quality_rules, sharding, token_blocks, token_rollup, url_filter
+from evidentia.llm import bpe, centroids, decontam, html_text, line_dedup, near_dedup, passages, prefix_trie, quality_rules, sharding, token_blocks, token_rollup, url_filter
 from evidentia.llm.shared import new_folder, table, vocabulary
 
 
@@ -55,14 +55,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", F.col("kept_text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.labelled(table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_blocks, op3_near_dedup, op4_substring_dedup, op5_decontamination, op6_bpe, op7_sharding, op8_url_filter, op9_token_counts, op10_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_blocks, op3_near_dedup, op4_substring_dedup, op5_decontamination, op6_bpe, op7_sharding, op8_url_filter, op9_token_counts, op10_line_dedup, op11_prefix_trie, op12_centroids, op13_html_text, pipeline)}
 ORACLE = {
     "op5_decontamination": decontam.ORACLE,
     "op7_sharding": sharding.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

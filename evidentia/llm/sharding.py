@@ -143,10 +143,10 @@ def _nibbles() -> list[int]:
 
 
 #: CRC-32 as a fold over the text's half bytes, the low half of each byte first.
-_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g'), ''),
+CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g'), ''),
       lambda x: strpos('0123456789ABCDEF', x) - 1)), lambda c, x: xor(c >> 4, {_nibbles()}[((xor(c, x) & 15) + 1)::INT])), 4294967295)"""
 ORACLE = f"""
-WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_CRC} AS crc, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS k FROM documents),
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {CRC} AS crc, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS k FROM documents),
 b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, (sum(size) OVER ())::BIGINT AS total FROM d),
 s AS (SELECT *, ({N_SHARDS} * before // total)::INT AS shard FROM b)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, shard, (row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1)::BIGINT AS slot, 'bytes' AS law,
