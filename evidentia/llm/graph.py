@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.shared import materialize, partitions
+from evidentia.llm.shared import materialize, tasks_for
 
 
-#: A task handles so many links of a sparse graph, and a graph is dealt to FEWEST tasks at least, where partitions of the session would be nearly empty.
-LINKS_A_TASK, FEWEST = 50_000, 8
-
-
-def _shape(links: DataFrame) -> tuple[bool, int]:
+def _shape(links: DataFrame, tasks: int) -> tuple[bool, int]:
     """Whether every a has one b that is no a itself, so that each component is one star round its smallest node; and how many tasks ``links`` are worth."""
     ends = links.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    nodes = ends.coalesce(tasks).groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).coalesce(tasks)
     loose, n = nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))), F.coalesce(F.sum("up"), F.lit(0))).first()
-    return loose == 0, min(partitions(links.sparkSession), max(FEWEST, n // LINKS_A_TASK))
+    return loose == 0, tasks_for(links.sparkSession, n)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,21 +26,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     no edges give no rows.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    nodes = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    tasks = tasks_for(edges.sparkSession, edges.count())
+    nodes = materialize(edges.coalesce(tasks).distinct().coalesce(tasks), "nodes")
     lone, links = nodes.filter("a = b").select("a"), nodes.filter("a > b")
-    settled, tasks = _shape(links)
+    settled, tasks = _shape(links, tasks)
     while not settled:
-        around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
-        large = links.join(around.select(F.col("a").alias("b"), F.least("a", "m").alias("m")), "b").select("a", F.col("m").alias("b")).distinct()
+        # Every stage has as many tasks as the graph is worth, whatever the session's partitions.
+        around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks).groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+        large = links.join(around.select(F.col("a").alias("b"), F.least("a", "m").alias("m")), "b").select("a", F.col("m").alias("b")).coalesce(tasks).distinct()
         large = materialize(large.coalesce(tasks), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = materialize(moved.unionByName(least.select("a", F.col("m").alias("b")).coalesce(tasks)).distinct().coalesce(tasks), "small-star")
-        settled, tasks = _shape(links)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+        moved = large.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+        links = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks), "small-star")
+        settled, tasks = _shape(links, tasks)
     known = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = links.select("b").unionByName(lone.select(F.col("a").alias("b"))).distinct().join(links.select(F.col("a").alias("b")), "b", "left_anti")
+    roots = links.select("b").unionByName(lone.select(F.col("a").alias("b"))).coalesce(tasks).distinct().coalesce(tasks).join(links.select(F.col("a").alias("b")), "b", "left_anti")
     roots = roots.select(F.col("b").alias("node"), F.col("b").alias("component")).coalesce(tasks)
-    return materialize(known.unionByName(roots), "components")
+    return materialize(known.unionByName(roots).coalesce(tasks), "components")
 
 
 def joined_components(parts: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evidentia.llm.graph import connected_components, joined_components
-from evidentia.llm.shared import BROADCAST_IDS, by_id, materialize, python_workers
+from evidentia.llm.shared import BROADCAST_IDS, by_id, materialize, python_workers, tasks_for
 from evidentia.llm.text_hash import STEP, Words, mix, shingle_set
 
 SHINGLE = 5
@@ -27,6 +27,9 @@ SMALL_BUCKET = 8
 #: A shingle is rare if at most so many documents of the large buckets have it.
 RARE = 32
 
+#: Pairs whose texts one task compares.
+PAIRS_A_TASK = 2_000
+
 _SYMBOLS = CHUNKS * WIDTH
 _FACTORS = mix(np.arange(1, _SYMBOLS + 1, dtype=np.uint64) * STEP) | np.uint64(1)
 
@@ -102,7 +105,7 @@ def hamming_members(sigs: DataFrame) -> DataFrame:
     return materialize(keys.join(materialize(shared, "shared-keys"), "key").select("key", "pivot", "n", "id"), "members")
 
 
-def within_distance(pairs: DataFrame, sigs: DataFrame, percent: int, distance: int = MAX_DISTANCE) -> DataFrame:
+def within_distance(pairs: DataFrame, sigs: DataFrame, percent: int, distance: int = MAX_DISTANCE, tasks: int = 0) -> DataFrame:
     """The pairs (a, b) whose set sizes allow a link and whose signatures differ in at most ``distance`` symbols."""
     left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
     right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
@@ -115,7 +118,8 @@ def within_distance(pairs: DataFrame, sigs: DataFrame, percent: int, distance: i
                 near = pa.array((x != y).sum(axis=1) <= distance)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    sized = sized.select("a", "b", "sa", "sb")
+    return (sized.coalesce(tasks) if tasks else sized).mapInArrow(run, "a long, b long")
 
 
 def _texts(sets: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -142,12 +146,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
     pairs = materialize(pairs, "pairs")
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs.withColumn("linked", F.lit(False))
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    tasks = tasks_for(pairs.sparkSession, n)
+    ids = materialize(pairs.coalesce(tasks).select(F.explode(F.array("a", "b")).alias("id")).distinct().coalesce(tasks), "pair-ids")
     texts = _texts(sets, docs, ids)
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
+    # Texts are compared a few thousand pairs a task.
+    joined = joined.select("a", "b", "ta", "tb").coalesce(tasks_for(pairs.sparkSession, n, PAIRS_A_TASK))
+    return materialize(joined.mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
 
 
 def _rare_shingles(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,8 +177,9 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, n, id, c) of the buckets of more than two documents that lie in several components c."""
     named = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("c"))
     named = materialize(named, "named")
-    keys = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
-    return materialize(named.join(materialize(keys, "mixed-keys"), "key"), "mixed")
+    tasks = tasks_for(named.sparkSession, named.count())
+    keys = named.coalesce(tasks).groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
+    return materialize(named.join(materialize(keys.coalesce(tasks), "mixed-keys"), "key"), "mixed")
 
 
 def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,24 +193,26 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame
        group of loose copies does not give all its pairs.
     """
     members = hamming_members(sigs)
-    tried = materialize(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    edges = confirm(within_distance(tried, sigs, percent), sigs, docs, percent).filter("linked").select("a", "b")
+    tasks = tasks_for(members.sparkSession, members.count())
+    tried = materialize(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).coalesce(tasks).distinct().coalesce(tasks), "star")
+    edges = confirm(within_distance(tried, sigs, percent, tasks=tasks), sigs, docs, percent).filter("linked").select("a", "b")
     parts = connected_components(edges)
     wide = members.filter("n > 2")
     rest = _mixed(wide, parts)
-    ids = materialize(rest.filter(F.col("n") > SMALL_BUCKET).select("id").distinct(), "large-ids")
+    tasks = tasks_for(rest.sparkSession, rest.count())
+    ids = materialize(rest.filter(F.col("n") > SMALL_BUCKET).select("id").coalesce(tasks).distinct().coalesce(tasks), "large-ids")
     dense = not ids.isEmpty()
     if dense:
         low = _rare_shingles(ids, sigs, docs)
         lost = low.groupBy("id").agg(F.count("*").alias("low"), F.count_if(F.col("df") == 1).alias("lonely"))
         sized = ids.join(sigs.select("id", "n_shingles"), "id").join(lost, "id", "left").fillna(0, ["low", "lonely"])
         # A shingle that no other document of the large buckets has is in no intersection there.
-        able = materialize(sized.filter(100 * (F.col("n_shingles") - F.col("lonely")) >= percent * F.col("n_shingles")).select("id", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.col("low")).alias("common")), "able")
+        able = materialize(sized.filter(100 * (F.col("n_shingles") - F.col("lonely")) >= percent * F.col("n_shingles")).select("id", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.col("low")).alias("common")).coalesce(tasks), "able")
         thin = rest.filter(F.col("n") > SMALL_BUCKET).join(able, "id")
-        cleanest = materialize(thin.groupBy("key").agg(F.max(F.struct("common", (-F.col("id")).alias("neg"), "c")).alias("p")).select("key", (-F.col("p.neg")).alias("p"), F.col("p.c").alias("pc")), "cleanest")
-        star = thin.join(cleanest, "key").filter("c <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        star = materialize(star.join(tried, ["a", "b"], "left_anti"), "second-star")
-        second = confirm(within_distance(star, sigs, percent), sigs, docs, percent).filter("linked").select("a", "b")
+        cleanest = materialize(thin.groupBy("key").agg(F.max(F.struct("common", (-F.col("id")).alias("neg"), "c")).alias("p")).select("key", (-F.col("p.neg")).alias("p"), F.col("p.c").alias("pc")).coalesce(tasks), "cleanest")
+        star = thin.join(cleanest, "key").filter("c <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+        star = materialize(star.join(tried, ["a", "b"], "left_anti").coalesce(tasks), "second-star")
+        second = confirm(within_distance(star, sigs, percent, tasks=tasks), sigs, docs, percent).filter("linked").select("a", "b")
         tried = tried.unionByName(star)
         parts = joined_components(parts, second)
         rest = _mixed(wide, parts)

@@ -14,8 +14,7 @@ FEATURES = ("n_words", "mean_word_100", "symbols_100", "dup_lines_100", "repeat_
 GRID = 24
 #: Labelled rows used for fitting: about this many of more, chosen by a hash of the id, so the same rows whatever the partitioning.
 FIT_ROWS = 200_000
-MAX_RULES, MAX_TERMS = 8, 3
-#: A rejecting rule must be this precise on the pruning rows and cover this many of them.
+#: A rule of either verdict must be this precise on the pruning rows and cover this many of them; the list ends where no rule does.
 MIN_PRECISION, MIN_COVER = 0.9, 5
 
 
@@ -112,19 +111,43 @@ def _counts(rows: DataFrame, cuts: dict[str, list[int]]) -> dict[Term, tuple[int
 
 
 def _gain(b: int, g: int, b0: int, g0: int) -> float:
-    """FOIL gain of narrowing (b0, g0) to (b, g)."""
+    """FOIL gain of narrowing a rule from b0 rows of its verdict and g0 others to b and g."""
     from math import log2
 
     return b * (log2(b / (b + g)) - log2(b0 / (b0 + g0))) if b and b0 else 0.0
 
 
+def _grown(grow: DataFrame, prune: DataFrame, cuts: dict[str, list[int]], bad: int, most: int) -> tuple[float, int, Rule] | None:
+    """(precision, rows covered, rule) on the pruning rows of the rule for verdict ``bad`` (1: reject), or None.
+
+    Terms are added by FOIL gain until the rule covers no row of the other verdict or nothing gains; then the last terms go that do not make it more precise.
+    """
+    own, other = grow.agg(F.count_if(F.col("_bad") == bad), F.count_if(F.col("_bad") == 1 - bad)).first()
+    terms: list[Term] = []
+    while own >= most and other:
+        covers = {t: (c if bad else c[::-1]) for t, c in _counts(grow, cuts).items()}
+        best = max(covers, key=lambda t: (_gain(*covers[t], own, other), t.feature, t.op, -t.value), default=None)
+        if best is None or _gain(*covers[best], own, other) <= 0:
+            break
+        terms.append(best)
+        grow, (own, other) = grow.filter(best.column()), covers[best]
+    if not terms:
+        return None
+    held = [F.when(Rule(tuple(terms[:n]), False).column(), F.col("_bad")) for n in range(1, len(terms) + 1)]
+    found = prune.agg(*(f(x) for x in held for f in (lambda x: F.count_if(x == bad), F.count))).first()
+    sizes = [(found[2 * n], found[2 * n + 1]) for n in range(len(terms))]
+    score = [(b / n if n else 0.0) for b, n in sizes]
+    length = max(range(len(terms)), key=lambda i: (score[i], -i))
+    return score[length], sizes[length][1], Rule(tuple(terms[: length + 1]), not bad)
+
+
 def learn(labelled: DataFrame, bad: str = "_bad", names: tuple[str, ...] = FEATURES, fit_rows: int = FIT_ROWS, id_: str = "doc_id") -> list[Rule]:
     """An ordered decision list from rows with ``names`` and ``bad`` (1: reject, 0: keep).
 
-    Sequential covering: grow a conjunction of thresholds by FOIL gain on two thirds of the rows, prune its last terms while precision on the
-    other third does not fall, keep it if it is precise there, remove the rows that it covers, go on. Every count is one aggregation over
-    the rows; only counts reach the driver. With no labels, or labels of one kind, the list is empty and everything is kept.
-    Rows: all, or about ``fit_rows`` of more, chosen by a hash of the id. Nulls in a label drop the row.
+    Sequential covering: grow a conjunction of thresholds that rejects by FOIL gain on two thirds of the rows, prune its last terms while it is more precise
+    so on the other third, take it if it is precise there, remove the rows that it covers, go on until no rule is precise. Among the rows of such a rule,
+    rules that keep are grown and pruned likewise; as its exceptions they stand before it, so the order of the list decides. What no rule covers is kept. Every count is one aggregation over the rows; only counts reach the driver. With no labels, or labels of one kind, the
+    list is empty and everything is kept. Rows: all, or about ``fit_rows`` of more, chosen by a hash of the id. Nulls in a label drop the row.
     """
     fit = labelled.filter(F.col(bad).isNotNull()).select(F.col(bad).cast("int").alias("_bad"), F.xxhash64(F.col(id_)).alias("_h"), *names)
     fit = materialize(fit, "labelled")
@@ -137,28 +160,17 @@ def learn(labelled: DataFrame, bad: str = "_bad", names: tuple[str, ...] = FEATU
     bins = [_bin(F.col(n), cuts[n]).alias(f"_bin_{n}") for n in names]
     rest, rules = materialize(fit.select("*", *bins), "fit"), []
     third = F.pmod(F.col("_h"), F.lit(3)) == 0
-    while len(rules) < MAX_RULES:
-        grow, prune = rest.filter(~third), rest.filter(third)
-        b0, g0 = grow.agg(F.count_if(F.col("_bad") == 1), F.count_if(F.col("_bad") == 0)).first()
-        if b0 < MIN_COVER or not g0:
-            break
-        terms: list[Term] = []
-        while len(terms) < MAX_TERMS and g0:
-            covers = _counts(grow, cuts)
-            best = max(covers, key=lambda t: (_gain(*covers[t], b0, g0), t.feature, t.op, -t.value), default=None)
-            if best is None or _gain(*covers[best], b0, g0) <= 0:
-                break
-            terms.append(best)
-            grow, (b0, g0) = grow.filter(best.column()), covers[best]
-        if not terms:
-            break
-        sizes = [prune.filter(Rule(tuple(terms[:n]), False).column()).agg(F.count_if(F.col("_bad") == 1), F.count("*")).first() for n in range(1, len(terms) + 1)]
-        score = [(b / n if n else 0.0) for b, n in sizes]
-        length = max(range(len(terms)), key=lambda i: (score[i], -i)) + 1
-        if score[length - 1] < MIN_PRECISION or sizes[length - 1][1] < MIN_COVER:
-            break
-        rules.append(Rule(tuple(terms[:length]), False))
-        rest = rest.filter(~rules[-1].column())
+    def rule_for(rows: DataFrame, verdict: int) -> Rule | None:
+        precision, covered, rule = _grown(rows.filter(~third), rows.filter(third), cuts, verdict, MIN_COVER) or (0.0, 0, None)
+        return rule if precision >= MIN_PRECISION and covered >= MIN_COVER else None
+
+    while (reject := rule_for(rest, 1)) is not None:
+        inside = rest.filter(reject.column())
+        while (keep := rule_for(inside, 0)) is not None:
+            rules.append(Rule(reject.terms + keep.terms, True))
+            inside = inside.filter(~keep.column())
+        rules.append(reject)
+        rest = rest.filter(~reject.column())
     return rules
 
 

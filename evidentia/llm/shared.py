@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidentia.session import python_workers, table
 
-__all__ = ["ascii_lower", "by_id", "cleanup", "dealt", "materialize", "new_folder", "partitions", "shared_root", "python_workers", "table", "vocabulary", "WORD"]
+__all__ = ["ascii_lower", "by_id", "cleanup", "dealt", "materialize", "new_folder", "partitions", "shared_root", "python_workers", "table", "tasks_for", "vocabulary", "WORD"]
 
 #: Up to so many ids (8 bytes each) are broadcast to pick rows out; beyond it rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Small steps are dealt to so many tasks at least.
+FEWEST = 8
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,6 +64,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def tasks_for(spark: SparkSession, rows: int, a_task: int = 50_000) -> int:
+    """How many tasks ``rows`` rows are worth: the session's partitions at most, and FEWEST at least, where those partitions would be nearly empty."""
+    return min(partitions(spark), max(FEWEST, rows // a_task))
+
+
 def dealt(df: DataFrame, *keys) -> DataFrame:
     """``df`` hash-partitioned by ``keys`` into the session's number of shuffle partitions."""
     return df.repartition(partitions(df.sparkSession), *keys)

@@ -15,31 +15,34 @@ from evidentia.llm.shared import by_id, materialize, python_workers, vocabulary
 KEYS = ("source", "lang", "version")
 #: Tokenizer versions: public vocabularies of the tokenizers library.
 VERSIONS = ("byte_bpe_50k", "word_bpe_49k")
+#: A folder's name.
+_NAME = "[0-9a-f]{32}"
 _DELTAS = "source string, lang string, version string, d_docs long, d_tokens long"
 
 
 def count_tokens(rows: DataFrame, text: str = "text", paths: dict[str, str] | None = None) -> DataFrame:
     """``rows`` without ``text``, plus one column of token counts a version (``paths``: version -> vocabulary file).
 
-    Counts are those of the tokenizers library without special tokens added; null and empty texts have none. Whole texts are encoded, in slices
+    Columns of ``rows`` named like a version are replaced; no other name clashes. Counts are those of the tokenizers library without special tokens added; null and empty texts have none. Whole texts are encoded, in slices
     of about a megabyte; nothing is shuffled.
     """
     paths = paths or {v: vocabulary(f"{v}.json") for v in VERSIONS}
     python_workers(rows.sparkSession)
-    kept = [c for c in rows.columns if c != text]
+    kept = [c for c in rows.columns if c != text and c not in paths]
     schema = rows.select(*kept).schema
+    held_as = "_text" + "_" * max((len(c) for c in kept), default=0)
     for v in paths:
         schema = schema.add(v, "long")
 
     def run(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = {v: word_encoder(p) if v.startswith("word") else byte_encoder(p) for v, p in paths.items()}
-        for batch, texts in batches(held, "_text"):
+        for batch, texts in batches(held, held_as):
             counts = []
             for tool in tools.values():
                 counts.append(pa.array([len(x) // (4 if isinstance(x, bytes) else 1) for x in tool.encode(texts)], pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], [*kept, *tools])
 
-    return rows.select(*kept, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return rows.select(*kept, F.col(text).cast("binary").alias(held_as)).mapInArrow(run, schema)
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -58,9 +61,11 @@ class Rollup:
     """Additive totals under ``path``.
 
     data/<name> holds the deltas of one attempt at a batch; commits/<batch id> is a small file with the one name that counts. An attempt writes its data
-    first and then creates that file, so a batch is there whole or not at all, and whoever commits it a second time, also at the same
-    moment, changes nothing: a batch has one file, and a file names one folder. ``compact`` sums what is committed into one folder and lists the batches in it
-    under snapshots/<number>, so totals need not read old batches again.
+    first, then that file under another name (pending/<name>), and renames it, which does not replace a file that is there. So a commit file is there with
+    all its content or not at all, and whoever commits a batch a second time, also at the same moment, changes nothing: a batch has one file, and a file
+    names one folder. A commit file without a whole name (of a writer that did not rename) is no commit, and the next attempt replaces it. ``compact``
+    sums what is committed into one folder under data and writes the batches in it to batches/<same name>; snapshots/<number> names that folder. Totals read the
+    last snapshot and the commits after it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -74,28 +79,41 @@ class Rollup:
         p, fs = self._fs(folder)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _read(self, path: str) -> list[str]:
+    def _read(self, path: str) -> str:
         p, fs = self._fs(path)
         stream = fs.open(p)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def _create(self, path: str, lines: list[str]) -> bool:
-        """A new file with ``lines``; False if there is one already."""
+    def _whole(self, path: str) -> bool:
+        """Whether there is a file with the whole name of a folder."""
         p, fs = self._fs(path)
-        if fs.exists(p):
+        return fs.exists(p) and bool(re.fullmatch(_NAME, self._read(path)))
+
+    def _create(self, path: str, name: str) -> bool:
+        """A file at ``path`` with ``name``; False if there is a whole one already."""
+        jvm = self.spark._jvm
+        if self._whole(path):
             return False
+        source, fs = self._fs(f"pending/{name}")
+        stream = fs.create(source, True)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        target, _ = self._fs(path)
+        fs.mkdirs(target.getParent())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if fs.exists(target) and not self._whole(path) else rename.NONE
         try:
-            stream = fs.create(p, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, how)
         except Exception as x:
-            if "exists" in str(x):
+            fs.delete(source, False)
+            if "exist" in str(x):
                 return False
             raise
-        stream.write(bytearray("\n".join(lines).encode()))
-        stream.close()
-        return self._read(path)[0] == lines[0]
+        return self._read(path) == name
 
     def _write(self, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -104,24 +122,35 @@ class Rollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply ``changes`` as batch ``batch_id``; False, and no change, if that batch is there already."""
-        if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", batch_id):
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch_id):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        target, fs = self._fs(f"commits/{batch_id}")
-        if fs.exists(target):
+        if self._whole(f"commits/{batch_id}"):
             return False
         name = self._write(deltas(changes))
-        if self._create(f"commits/{batch_id}", [name]):
+        if self._create(f"commits/{batch_id}", name):
             return True
-        fs.delete(self._fs(f"data/{name}")[0], True)
+        folder, fs = self._fs(f"data/{name}")
+        fs.delete(folder, True)
         return False
 
-    def _sources(self) -> tuple[list[str], list[str]]:
-        """(folders that make up the totals, batches in them)."""
-        snapshots = self._names("snapshots")
-        folder, *known = self._read(f"snapshots/{snapshots[-1]}") if snapshots else [""]
-        batches = [b for b in self._names("commits") if not b.startswith(".")]
-        new = [b for b in batches if b not in set(known)]
-        return ([folder] if folder else []) + [self._read(f"commits/{b}")[0] for b in new], known + new
+    def _snapshot(self) -> str:
+        """The folder of the last whole snapshot; '' if there is none."""
+        for number in reversed(self._names("snapshots")):
+            if self._whole(f"snapshots/{number}"):
+                return self._read(f"snapshots/{number}")
+        return ""
+
+    def _commits(self, snapshot: str) -> DataFrame:
+        """(batch, folder) of the commits that are not in the snapshot: their files are read as one table."""
+        if not self._names("commits"):
+            return self.spark.createDataFrame([], "batch string, folder string")
+        files = self.spark.read.schema("value string").text(f"{self.path}/commits", wholetext=True)
+        found = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("batch"), F.col("value").alias("folder")).filter(F.col("folder").rlike(f"^{_NAME}$"))
+        return found.join(self.spark.read.schema("batch string").parquet(f"{self.path}/batches/{snapshot}"), "batch", "left_anti") if snapshot else found
+
+    def _sources(self, snapshot: str) -> list[str]:
+        """The folders that make up the totals: the snapshot's, and one for each batch committed since."""
+        return [snapshot] * bool(snapshot) + sorted(r["folder"] for r in self._commits(snapshot).select("folder").collect())
 
     def _sums(self, folders: list[str]) -> DataFrame:
         paths = [f"{self.path}/data/{f}" for f in folders]
@@ -130,13 +159,20 @@ class Rollup:
 
     def compact(self) -> None:
         """Sum all committed batches into one snapshot. Two compactions at once are harmless: one of them makes the next snapshot."""
-        folders, batches = self._sources()
-        if len(folders) > 1:
-            self._create(f"snapshots/{len(self._names('snapshots')):09d}", [self._write(self._sums(folders)), *batches])
+        last = self._snapshot()
+        new = [(r["batch"], r["folder"]) for r in self._commits(last).collect()]
+        if not new:
+            return
+        name = self._write(self._sums([last] * bool(last) + sorted(folder for _, folder in new)))
+        batches = self.spark.createDataFrame([(b,) for b, _ in new], "batch string")
+        if last:
+            batches = batches.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/batches/{last}"))
+        batches.write.parquet(f"{self.path}/batches/{name}")
+        self._create(f"snapshots/{len(self._names('snapshots')):09d}", name)
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all committed batches; groups that came to nothing are left out."""
-        sums = self._sums(self._sources()[0])
+        sums = self._sums(self._sources(self._snapshot()))
         return sums.withColumnsRenamed({"d_docs": "n_docs", "d_tokens": "n_tokens"}).filter("n_docs <> 0 OR n_tokens <> 0")
 
 

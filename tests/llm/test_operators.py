@@ -639,3 +639,63 @@ def test_pipeline_stages_on_edges(docs, clashing, spark):
             assert name == "bpe" or out.columns == list(corpus_pipeline.COLUMNS)
             assert sum(r.doc_id == 12 for r in rows) in ((0, 2) if name == "quality rules" else (2,))
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_the_rules_of_both_verdicts_follow_each_other(spark):
+    """Symbols reject, but not in long texts with few repeats: the exception stands before the rule, and every row is judged as planted."""
+    r = random.Random(8)
+    rows = []
+    for i in range(3000):
+        symbols, words, repeat = r.choice([0, 0, 0, 5, 9]), r.randrange(50, 400), r.randrange(30)
+        spared = words > 250
+        bad = symbols > 0 and (not spared or r.random() < 0.02)
+        rows.append((i, words, 500, symbols, 0, repeat, int(bad)))
+    frame = spark.createDataFrame(rows, "doc_id long, n_words long, mean_word_100 long, symbols_100 long, dup_lines_100 long, repeat_100 long, _bad int")
+    for shuffled in (frame.repartition(1), frame.repartition(7)):
+        rules = quality_rules.learn(shuffled)
+        assert {x.verdict for x in rules} == {False} or rules[-1].verdict is False
+        judged = frame.withColumn("keep", quality_rules.verdict(rules))
+        assert judged.filter("keep = (_bad = 1)").count() < 0.02 * len(rows)
+        assert [str(x) for x in rules] == [str(x) for x in quality_rules.learn(frame)]
+    # The list as plain Python: the first rule that holds decides.
+    kept = {x["doc_id"]: x["keep"] for x in judged.collect()}
+    names = ("n_words", "mean_word_100", "symbols_100", "dup_lines_100", "repeat_100")
+    for i, *values, _ in rows:
+        row = dict(zip(names, values, strict=True))
+        hit = [x.verdict for x in rules if all(row[t.feature] <= t.value if t.op == "<=" else row[t.feature] > t.value for t in x.terms)]
+        assert kept[i] == (hit[0] if hit else True)
+
+
+def test_a_keeping_exception_is_learned_and_comes_first(spark):
+    rows = [(i, 100 + i % 200, 500, 5 if i % 3 == 0 else 0, 0, 0, int(i % 3 == 0)) for i in range(3000)]
+    rows += [(5000 + i, 900 + i % 50, 500, 5, 0, 0, 0) for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_words long, mean_word_100 long, symbols_100 long, dup_lines_100 long, repeat_100 long, _bad int")
+    grown = quality_rules._grown(frame.filter("doc_id % 2 = 0").select("*", *(quality_rules._bin(F.col(n), c).alias(f"_bin_{n}") for n, c in {"n_words": [100, 400, 950], "symbols_100": [0, 5]}.items())), frame.filter("doc_id % 2 = 1"), {"n_words": [100, 400, 950], "symbols_100": [0, 5]}, 0, 5)
+    assert grown[0] > 0.9 and grown[2].verdict
+    judged = frame.withColumn("keep", quality_rules.verdict(quality_rules.learn(frame)))
+    assert judged.filter("keep = (_bad = 1)").count() <= 20  # thresholds are quantiles
+
+
+@pytest.mark.parametrize("left", [b"", b"0123", b"not a folder's name"])
+def test_a_torn_commit_file_is_no_commit(spark, tmp_path, left):
+    store = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
+    schema = "op string, source string, lang string, version string, n_tokens long, old_tokens long"
+    rows = spark.createDataFrame([("insert", "s", "en", "v1", 10, None)], schema)
+    (tmp_path / "rollup/commits").mkdir(parents=True)
+    (tmp_path / "rollup/commits/b1").write_bytes(left)
+    (tmp_path / "rollup/snapshots").mkdir()
+    (tmp_path / "rollup/snapshots/000000000").write_bytes(left)
+    assert store.totals().count() == 0
+    store.compact()
+    assert store.commit("b1", rows) and not store.commit("b1", rows)
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v1", 1, 10)]
+    store.compact()
+    assert store.commit("b2", rows) and [tuple(r) for r in store.totals().collect()] == [("s", "en", "v1", 2, 20)]
+    store.compact()
+    assert not store.commit("b1", rows) and not store.commit("b2", rows) and [tuple(r) for r in store.totals().collect()] == [("s", "en", "v1", 2, 20)]
+
+
+def test_counting_tokens_beside_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", 7, "y", 8)], "doc_id long, text string, _text string, byte_bpe_50k long, __text string, n long")
+    got = token_rollup.count_tokens(rows)
+    assert got.columns == ["doc_id", "_text", "__text", "n", "byte_bpe_50k", "word_bpe_49k"] and got.first()["_text"] == "x" and got.first()["byte_bpe_50k"] == 2
