@@ -5,9 +5,14 @@ insn: (file_id, func, ord, mnemonic, op_str[, offset]); ord orders a function's
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidentia.functions.classify import first_of, mixing_pattern, rotation_family, rounds, xor_pattern
+from evidentia.session import python_workers
 
 KEY = ("file_id", "func")
 # 32-bit words that name a hash function, and those of the stream cipher's magic string.
@@ -54,6 +59,27 @@ def rotation_amount(m: Column, operands: Column) -> Column:
     return F.when(_has(m, "rol", "ror"), number.try_cast("int"))
 
 
+def first_of_function(rows: DataFrame, value: Column, name: str, first: int = 10) -> DataFrame:
+    """(file_id, func, name): the values of the ``first`` rows of each function by ord, ties by value, as a list; null values are left out.
+
+    Rows are ranked and cut on both sides of the exchange before they are collected, so a function with any number of rows costs ``first`` rows a task.
+    """
+    some = rows.select(*KEY, "ord", value.alias("_v")).filter("_v IS NOT NULL")
+    kept = some.withColumn("_rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("ord", "_v"))).filter(F.col("_rn") <= first)
+    return kept.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"]).alias(name))
+
+
+def first_rotations(insn: DataFrame, first: int = 10) -> DataFrame:
+    """(file_id, func, rotation_amounts): the ``first`` rotation amounts of each function that has any."""
+    return first_of_function(insn, rotation_amount(F.lower("mnemonic"), F.coalesce(F.col("op_str"), F.lit(""))), "rotation_amounts", first)
+
+
+def first_operations(insn: DataFrame, first: int = 10) -> DataFrame:
+    """(file_id, func, operations): the text of the ``first`` xors of each function that has any."""
+    m = F.lower("mnemonic")
+    return first_of_function(insn, F.when(_has(m, "xor") | m.startswith("eor"), F.concat_ws(" ", "mnemonic", "op_str")), "operations", first)
+
+
 def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800) -> DataFrame:
     """One row a function with every count that the detectors need: one shuffle, partial sums on the map side.
 
@@ -68,8 +94,6 @@ def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800
     add = _has(m, "add")
     mul = _has(m, "mul")
     div = ~mul & _has(m, "div")
-    amount = F.when(rotation_amount(m, ops).isNotNull(), F.struct("ord", rotation_amount(m, ops).alias("amount")))
-    operation = F.when(xor, F.struct("ord", F.concat_ws(" ", "mnemonic", "op_str").alias("text")))
     named = {
         "xor_count": _count(xor),
         "rotation_count_x2": F.sum(F.when(rotate, 2).when(shift, 1).otherwise(0)),
@@ -83,21 +107,28 @@ def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800
         "wide_ops": _count(wide & (ops.contains("qword") | ops.contains("r64") | ops.contains("x"))),
     }
     named |= {f"n_{k}": _count(near & (kind == k)) for k in ("xor", "add", "sub", "mul", "rotate", "shift", "and", "or")}
-    first = lambda x: F.slice(F.array_sort(F.collect_list(x)), 1, 10)
-    lists = [first(amount)["amount"].alias("rotation_amounts"), first(operation)["text"].alias("operations")]
-    return insn.groupBy(*KEY).agg(*(v.cast("long").alias(k) for k, v in named.items()), F.count("*").alias("n_insn"), *lists)
+    return insn.groupBy(*KEY).agg(*(v.cast("long").alias(k) for k, v in named.items()), F.count("*").alias("n_insn"))
+
 
+def _with(rows: DataFrame, lists: DataFrame | None, name: str) -> DataFrame:
+    """``rows`` with the list ``name`` of each function, empty where it has none or no lists are given."""
+    kind = "array<int>" if lists is None else lists.schema[name].dataType
+    joined = rows.withColumn(name, F.array().cast(kind)) if lists is None else rows.join(lists, list(KEY), "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
-def xor_chains(counts: DataFrame) -> DataFrame:
-    """Functions with at least 2 xors."""
+
+def xor_chains(counts: DataFrame, operations: DataFrame | None = None) -> DataFrame:
+    """Functions with at least 2 xors, with their ``first_operations`` where these are given."""
     n = F.col("xor_count")
-    return counts.filter(n >= 2).select(*KEY, "xor_count", "operations", xor_pattern(n).alias("pattern_type"), F.when(n >= 5, "strong").otherwise("moderate").alias("crypto_indicator"))
+    found = counts.filter(n >= 2) if operations is None else _with(counts.filter(n >= 2), operations, "operations")
+    return found.select(*KEY, "xor_count", *(["operations"] if operations is not None else []), xor_pattern(n).alias("pattern_type"), F.when(n >= 5, "strong").otherwise("moderate").alias("crypto_indicator"))
 
 
-def bit_rotations(counts: DataFrame) -> DataFrame:
-    """Functions with a weight of at least 1, a rotation weighing 1 and a shift a half."""
+def bit_rotations(counts: DataFrame, amounts: DataFrame | None = None) -> DataFrame:
+    """Functions with a weight of at least 1, a rotation weighing 1 and a shift a half; ``first_rotations`` name the likely algorithm."""
     n = F.col("rotation_count_x2")
-    return counts.filter(n >= 2).select(*KEY, F.floor(n / 2).cast("long").alias("rotation_count"), "rotation_amounts", rotation_family(F.col("rotation_amounts")).alias("likely_algorithm"), F.when(n >= 8, "strong").otherwise("moderate").alias("crypto_indicator"))
+    found = _with(counts.filter(n >= 2), amounts, "rotation_amounts")
+    return found.select(*KEY, F.floor(n / 2).cast("long").alias("rotation_count"), "rotation_amounts", rotation_family(F.col("rotation_amounts")).alias("likely_algorithm"), F.when(n >= 8, "strong").otherwise("moderate").alias("crypto_indicator"))
 
 
 def data_mixing(counts: DataFrame) -> DataFrame:
@@ -174,34 +205,55 @@ def immediates(insn: DataFrame) -> DataFrame:
     return found.filter(F.length("h") <= 15).select(*KEY, "ord", F.conv("h", 16, 10).cast("long").alias("value"))
 
 
-def nearby_words(sections: DataFrame, functions: DataFrame, words: list[int], reach: int = 500) -> DataFrame:
-    """(file_id, func, value, address): dictionary words, little-endian on the function's grid of 4 bytes, within ``reach`` bytes of a function.
+def places(sections: DataFrame, wanted: list[bytes]) -> DataFrame:
+    """(file_id, address, which): every place of every byte string of ``wanted`` in the sections (file_id, vaddr, data), overlapping ones too.
 
-    sections: (file_id, vaddr, data); functions: (file_id, func, addr, size). Words are found once by equality; functions and words then meet in
-    buckets of ``reach`` bytes, so the interval join is an equality join.
+    A task goes once over each section's bytes, whatever their number, and gives out hits only; ``which`` is the place in the list. Null sections have none.
     """
-    sized = sections.filter("data IS NOT NULL AND octet_length(data) >= 4").select("file_id", "vaddr", F.hex("data").alias("h"), F.octet_length("data").alias("n"))
-    at = sized.select("file_id", "vaddr", "h", F.explode(F.sequence(F.lit(0), F.col("n") - 4)).alias("o")).select("file_id", (F.col("vaddr") + F.col("o")).alias("address"), F.expr("substr(h, o * 2 + 1, 8)").alias("w"))
-    value = F.conv(F.concat(*(F.substring("w", i, 2) for i in (7, 5, 3, 1))), 16, 10).cast("long")
-    hits = at.select("file_id", "address", value.alias("value")).filter(F.col("value").isin(words)).withColumn("bucket", F.floor(F.col("address") / reach))
-    spans = functions.select("file_id", "func", "addr", (F.col("addr") - reach).alias("lo"), (F.col("addr") + F.col("size") + reach).alias("hi"))
+    python_workers(sections.sparkSession)
+    rows = sections.filter("data IS NOT NULL").select("file_id", F.col("vaddr").cast("long").alias("vaddr"), F.col("data").cast("binary").alias("data"))
+    schema = rows.select("file_id").schema.add("address", "long").add("which", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A look-ahead takes no bytes, so a hit hides none that overlaps it; equally long strings cannot hide each other either.
+        finders = [re.compile(b"(?=(" + b"|".join(re.escape(w) for w in own) + b"))", re.S) for own in by_length]
+        for batch in batches:
+            row, at, which = [], [], []
+            for k, (base, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                view = memoryview(data.as_buffer())
+                for m in (m for f in finders for m in f.finditer(view)):
+                    for n in number[bytes(m[1])]:
+                        row.append(k)
+                        at.append(base + m.start())
+                        which.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(which, pa.int32())], ["file_id", "address", "which"])
+
+    number: dict[bytes, list[int]] = {}
+    for n, w in enumerate(wanted):
+        number.setdefault(bytes(w), []).append(n)
+    by_length = [sorted(w for w in number if len(w) == k) for k in sorted({len(w) for w in number if w})]
+    return rows.mapInArrow(run, schema)
+
+
+def _near(hits: DataFrame, functions: DataFrame, reach: int) -> DataFrame:
+    """Hits (file_id, address, ...) beside each function (func, lo, hi) that has them at lo <= address < hi, ``reach`` bytes around it: both sides are
+    dealt to buckets of ``reach`` bytes, so the interval join is an equality join."""
+    spans = functions.select("file_id", "func", (F.col("addr") - reach).alias("lo"), (F.col("addr") + F.col("size") + reach).alias("hi")).filter("hi > lo")
     spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / reach), F.floor((F.col("hi") - 1) / reach))))
-    return hits.join(spans, ["file_id", "bucket"]).filter("address >= lo AND address < hi AND (address - lo) % 4 = 0").select("file_id", "func", "value", "address").distinct()
+    return hits.withColumn("bucket", F.floor(F.col("address") / reach)).join(spans, ["file_id", "bucket"]).filter("address >= lo AND address < hi").drop("bucket")
 
 
-def nearby_strings(sections: DataFrame, functions: DataFrame, reach: int = 500, wanted: bytes = MAGIC) -> DataFrame:
-    """(file_id, func): functions that have the string ``wanted`` within ``reach`` bytes.
+def nearby_words(sections: DataFrame, functions: DataFrame, words: list[int], reach: int = 500) -> DataFrame:
+    """(file_id, func, value, address): dictionary words of 32 bits, little-endian on the function's grid of 4 bytes, that start at most ``reach`` bytes
+    before a function or less than ``reach`` bytes after it. sections: (file_id, vaddr, data); functions: (file_id, func, addr, size)."""
+    hits = places(sections, [w.to_bytes(4, "little") for w in words]).withColumn("value", F.get(F.array(*(F.lit(w).cast("long") for w in words)), F.col("which")))
+    return _near(hits, functions, reach).filter("(address - lo) % 4 = 0").select("file_id", "func", "value", "address").distinct()
 
-    Sections without the string are left out first; in the others every place counts. Places and functions
-    meet in buckets of ``reach`` bytes, so the interval join is an equality join. Null sections are skipped.
-    """
-    hexed = F.lower(F.hex("data"))
-    places = F.filter(F.sequence(F.lit(0), F.octet_length("data") - len(wanted)), lambda i: F.substr(hexed, i * 2 + 1, F.lit(2 * len(wanted))) == wanted.hex())
-    able = sections.filter(F.col("data").isNotNull() & F.contains(hexed, F.lit(wanted.hex())))
-    at = able.select("file_id", "vaddr", F.explode(places).alias("place")).select("file_id", (F.col("vaddr") + F.col("place")).alias("address")).withColumn("bucket", F.floor(F.col("address") / reach))
-    spans = functions.select("file_id", "func", (F.col("addr") - reach).alias("lo"), (F.col("addr") + F.col("size") + reach).alias("hi"))
-    spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / reach), F.floor((F.col("hi") - 1) / reach))))
-    return at.join(spans, ["file_id", "bucket"]).filter(F.col("address").between(F.col("lo"), F.col("hi") - len(wanted))).select("file_id", "func").distinct()
+
+def nearby_strings(sections: DataFrame, functions: DataFrame, reach: int = 1000, wanted: bytes = MAGIC) -> DataFrame:
+    """(file_id, func): functions that have the string ``wanted`` in a section, starting at most ``reach`` bytes before them or less than ``reach`` bytes
+    after them. Its end may lie further off."""
+    return _near(places(sections, [wanted]), functions, reach).select("file_id", "func").distinct()
 
 
 def hash_constants(insn: DataFrame, near: DataFrame | None = None) -> DataFrame:

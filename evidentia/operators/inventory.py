@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidentia.functions.text import complexity
+from evidentia.session import python_workers, written
 
+#: A file with up to so many steps between functions (16 bytes each) is walked through in one task.
+HELD_STEPS = 1_000_000
 MIN_COMPLEXITY, BLOB_COMPLEXITY, BLOB_FUNCTIONS, ALL_FUNCTIONS = 3, 8, 500, 100_000
 
 
@@ -89,20 +95,69 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3, by: str | None
     return seen.select(*keys, "root", "node", "depth")
 
 
-def function_clusters(functions: DataFrame, edges: DataFrame, roots: int = 300, depth: int = 3, callee: int = 1000, caller: int = 500, near: int = 200) -> DataFrame:
-    """(file_id, root, func) of clusters with at least 2 functions.
-
-    A step goes to callees smaller than ``callee``, to callers of functions smaller than ``caller``, and from functions smaller than ``near`` to close
-    neighbours. Each function belongs to the smallest root that reaches it, so the result does not hang on an order of visits.
-    """
-    real = functions.filter(~F.col("is_plt") & ~F.col("is_simproc")).select("file_id", "addr", "size")
+def cluster_steps(functions: DataFrame, edges: DataFrame, callee: int = 1000, caller: int = 500, near: int = 200, neighbour: int = 300, distance: int = 2000) -> DataFrame:
+    """(file_id, src, dst): one step of a cluster: to callees smaller than ``callee``, from functions smaller than ``caller`` to their callers, and from
+    functions smaller than ``near`` to close neighbours smaller than ``neighbour``. Simulated procedures take no part."""
+    real = functions.filter(~F.coalesce("is_simproc", F.lit(False))).select("file_id", "addr", "size")
     sized = lambda c, n: real.select("file_id", F.col("addr").alias(c), F.col("size").alias(n))
-    calls = edges.join(sized("dst", "dst_size"), ["file_id", "dst"]).join(sized("src", "src_size"), ["file_id", "src"])
+    calls = edges.select("file_id", "src", "dst").distinct().join(sized("dst", "dst_size"), ["file_id", "dst"]).join(sized("src", "src_size"), ["file_id", "src"])
     down = calls.filter(F.col("dst_size") < callee).select("file_id", "src", "dst")
     up = calls.filter(F.col("dst_size") < caller).select("file_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    beside = proximity_pairs(real).join(sized("a", "a_size"), ["file_id", "a"]).filter(F.col("a_size") < near).select("file_id", F.col("a").alias("src"), F.col("b").alias("dst"))
-    first = real.withColumn("_rn", F.row_number().over(Window.partitionBy("file_id").orderBy("addr"))).filter(F.col("_rn") <= roots).select("file_id", F.col("addr").alias("root"))
-    owned = reachable(down.unionByName(up).unionByName(beside).distinct(), first, depth).groupBy("file_id", F.col("node").alias("func")).agg(F.min("root").alias("root"))
+    beside = proximity_pairs(real, distance=distance, size=neighbour).join(sized("a", "a_size"), ["file_id", "a"]).filter(F.col("a_size") < near).select("file_id", F.col("a").alias("src"), F.col("b").alias("dst"))
+    return down.unionByName(up).unionByName(beside).filter("src <> dst").distinct()
+
+
+def _walk(roots: pd.DataFrame, steps: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """The clusters of one file, as ``function_clusters`` describes them."""
+    own, taken, out = {k: g.tolist() for k, g in steps.groupby("src")["dst"]}, set(), []
+    for root in sorted(roots["root"]):
+        if root in taken:
+            continue
+        last = found = {root}
+        for _ in range(depth):
+            last = {d for n in last for d in own.get(n, ())} - found - taken
+            found = found | last
+        taken |= found
+        out += [(root, n) for n in sorted(found)]
+    return pd.DataFrame(out, columns=["root", "func"])
+
+
+def function_clusters(functions: DataFrame, edges: DataFrame, roots: int = 300, blob_roots: int = 100, depth: int = 3, held_steps: int = HELD_STEPS, **limits: int) -> DataFrame:
+    """(file_id, root, func) of clusters with at least 2 functions, as a walk in order of address grows them.
+
+    Each of a file's first ``roots`` functions (``blob_roots`` of a blob) that is no stub and in no cluster yet starts one: whatever it reaches over
+    ``cluster_steps`` (with ``limits``) in ``depth`` steps through functions that are in no cluster yet. So a cluster hangs on all smaller roots. It is found in
+    rounds, for all files and roots at once: what every open root reaches through free functions is computed, and a root that shares none of it with a
+    smaller open root has its cluster for good, as those can take nothing away from it. The smallest open root of a file is always one of them, so there are
+    at most ``roots`` rounds, and far fewer where clusters lie apart. Files with up to HELD_STEPS steps need no rounds: a task walks through each of them as
+    it is, with the same result.
+    """
+    python_workers(functions.sparkSession)
+    blob = F.coalesce(F.col("is_blob"), F.lit(False)) if "is_blob" in functions.columns else F.lit(False)
+    ranked = functions.withColumn("_rn", F.row_number().over(Window.partitionBy("file_id").orderBy("addr"))).filter(F.col("_rn") <= roots).filter(F.col("_rn") <= F.when(blob, blob_roots).otherwise(roots))
+    able = ranked.filter(~F.coalesce("is_plt", F.lit(False)) & ~F.coalesce("is_simproc", F.lit(False)))
+    open_ = written(able.select("file_id", F.col("addr").alias("root")).distinct(), "roots")
+    steps, done = written(cluster_steps(functions, edges, **limits), "steps"), []
+    sizes = steps.groupBy("file_id").agg(F.count("*").alias("n"))
+    small = written(open_.select("file_id").distinct().join(sizes, "file_id", "left").filter(F.coalesce("n", F.lit(0)) <= held_steps).select("file_id"), "small-files")
+    if not small.isEmpty():
+        mine, own = (rows.join(small, "file_id", "left_semi").groupBy("file_id") for rows in (open_, steps))
+        schema = open_.schema.add("func", open_.schema["root"].dataType)
+        done.append(written(mine.cogroup(own).applyInPandas(lambda key, a, b: _walk(a, b, depth).assign(file_id=key[0])[["file_id", "root", "func"]], schema), "clusters"))
+        open_, steps = written(open_.join(small, "file_id", "left_anti"), "roots"), steps.join(small, "file_id", "left_anti")
+    while not open_.isEmpty():
+        seen = written(reachable(steps, open_, depth), "reach")
+        least = seen.groupBy("file_id", "node").agg(F.min("root").alias("least"))
+        shared = seen.join(least, ["file_id", "node"]).withColumn("late", F.col("least") < F.col("root"))
+        sure = shared.groupBy("file_id", "root").agg(F.max("late").alias("late")).filter("NOT late").select("file_id", "root")
+        new = written(seen.join(sure, ["file_id", "root"], "left_semi").select("file_id", "root", F.col("node").alias("func")), "clusters")
+        done.append(new)
+        taken = new.select("file_id", "func")
+        open_ = written(open_.join(taken.withColumnRenamed("func", "root"), ["file_id", "root"], "left_anti"), "roots")
+        steps = written(steps.join(taken.withColumnRenamed("func", "src"), ["file_id", "src"], "left_anti").join(taken.withColumnRenamed("func", "dst"), ["file_id", "dst"], "left_anti"), "steps")
+    if not done:
+        return open_.select("file_id", "root", F.col("root").alias("func"))
+    owned = reduce(DataFrame.unionByName, done)
     sizes = owned.groupBy("file_id", "root").agg(F.count("*").alias("n")).filter("n >= 2").select("file_id", "root")
     return owned.join(sizes, ["file_id", "root"]).select("file_id", "root", "func")
 

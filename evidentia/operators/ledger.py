@@ -125,16 +125,20 @@ def token_batches(items: DataFrame, budget: int, by: str, order: str, tokens: st
     """``items`` with batch_number, total_batches, items_in_batch and estimated_tokens: greedy packing in order under ``budget``.
 
     An item over the budget gets a batch of its own; it closes the batch before it. Each ``by`` is packed on its own, as a stream: rows are sorted
-    by (by, order) inside a partition and a task holds the running batch only, so a group of any size takes no memory. A null token count is 0.
+    by (by, order) inside a partition and a task holds the running batch only, so a group of any size takes no memory. Each row goes through once, whole, so
+    equal orders and null groups or orders (which come first) keep their rows; equal orders are packed by ascending tokens. A null token count is 0.
+    Columns of ``items`` named like the outputs are replaced.
     """
-    rows = items.select(by, order, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_t"))
-    schema = rows.schema.add("batch_number", "integer")
+    new = ("batch_number", "total_batches", "items_in_batch", "estimated_tokens")
+    rest = [c for c in items.columns if c not in new]
+    rows = items.select(F.col(by).alias("_g"), F.col(order).alias("_o"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_t"), F.struct(*rest).alias("_row"))
+    schema = rows.select("_g", "_t", "_row").schema.add("_n", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, number, held = None, 0, 0
         for batch in batches:
             out = []
-            for g, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if number == 0 or g != group:
                     group, number, held = g, 1, t
                 elif t > budget or held + t > budget:
@@ -142,12 +146,14 @@ def token_batches(items: DataFrame, budget: int, by: str, order: str, tokens: st
                 else:
                     held += t
                 out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [by, order, "_t", "batch_number"])
-
-    flat = rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
-    info = flat.groupBy(by, "batch_number").agg(F.count("*").alias("items_in_batch"), F.sum("_t").alias("estimated_tokens"))
-    last = info.groupBy(by).agg(F.max("batch_number").alias("total_batches"))
-    return items.join(flat.drop("_t"), [by, order]).join(info, [by, "batch_number"]).join(last, by)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], ["_g", "_t", "_row", "_n"])
+
+    flat = rows.repartition("_g").sortWithinPartitions("_g", "_o", "_t").select("_g", "_t", "_row").mapInArrow(run, schema)
+    info = flat.groupBy("_g", "_n").agg(F.count("*").alias("_items"), F.sum("_t").alias("_sum"))
+    last = info.groupBy(F.col("_g").alias("_h")).agg(F.max("_n").alias("_last"))
+    info = info.join(last, F.col("_g").eqNullSafe(F.col("_h"))).select(F.col("_g").alias("_h"), F.col("_n").alias("_m"), "_items", "_sum", "_last")
+    joined = flat.join(info, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_n") == F.col("_m")))
+    return joined.select(*(F.col("_row")[c].alias(c) for c in rest), F.col("_n").alias("batch_number"), F.col("_last").alias("total_batches"), F.col("_items").alias("items_in_batch"), F.col("_sum").alias("estimated_tokens"))
 
 
 def stage_costs(calls: DataFrame, by: str = "file_id", stage: str = "stage") -> DataFrame:

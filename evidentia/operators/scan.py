@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evidentia.functions.classify import algorithm_of_constant, constant_confidence, key_type
 from evidentia.functions.text import byte_values, entropy_of, has_keyword, hex_address, latin1, printable_runs
+from evidentia.session import python_workers
 
 # Byte signatures by name, in hexadecimal.
 SIGNATURES = {
@@ -175,6 +179,99 @@ def rule_matches(blobs: DataFrame, rules=RULES) -> DataFrame:
     return rows.filter("r.fires").select("file_id", "r.rule", "r.algorithm", "r.severity", "r.match_count")
 
 
+#: Longest anchor of a pattern, in bytes, and up to how many anchors (8 bytes each) a task is given to look for; beyond it every text's own runs of bytes are
+#: joined with the anchors.
+ANCHOR_BYTES, HELD_ANCHORS = 4, 1_000_000
+_PATTERNS = "array<struct<rule:string,ident:string,regex:string>>"
+#: How much a byte tells, roughly: zeros, ff, letters and blanks are in most blobs.
+_COMMON = frozenset(b"\x00\xff \n" + bytes(range(0x61, 0x7B)))
+
+
+def anchor_of(pattern: str) -> tuple[int, int]:
+    """(length, value) of a pattern's anchor: its most telling run of up to ANCHOR_BYTES sure bytes, A-Z as a-z, little-endian; (0, 0) if no byte is sure."""
+    kind, _, rest = pattern.partition(":")
+    if kind == "regex":
+        return 0, 0
+    if kind in ("text", "nocase"):
+        runs = [rest.encode("latin-1")]
+    else:
+        sure = [int(t, 16) if "?" not in t and t[0] != "[" else -1 for t in pattern.split()]
+        runs = [bytes(int(x) for x in r.split(",") if x) for r in ",".join(map(str, sure)).split("-1")]
+    found = [r.lower()[i : i + n] for r in runs for n in (min(ANCHOR_BYTES, len(r)),) if n for i in range(len(r) - n + 1)]
+    best = max(found, key=lambda a: (len(a), len(set(a) - _COMMON)), default=b"")
+    return len(best), int.from_bytes(best, "little")
+
+
+def rule_tables(spark: SparkSession, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(rules, patterns) as tables: (rule, algorithm, severity, kind, n, n_patterns) and (rule, ident, regex, length, anchor)."""
+    patterns = [(r[0], ident, rule_regex(p), *anchor_of(p)) for r in rules for ident, p in r[5].items()]
+    names = [(*r[:5], len(r[5])) for r in rules]
+    return spark.createDataFrame(names, "rule string, algorithm string, severity string, kind string, n int, n_patterns int"), spark.createDataFrame(patterns, "rule string, ident string, regex string, length int, anchor long")
+
+
+def _anchors_in(blobs: DataFrame, held: dict[int, list[int]] | None) -> DataFrame:
+    """(file_id, length, anchor): the distinct runs of 1 to ANCHOR_BYTES bytes of each blob, A-Z as a-z; only those in ``held`` (by length) if it is given.
+
+    One pass over the bytes a length; what goes on is distinct, so a blob gives at most its number of anchors, or of bytes.
+    """
+    python_workers(blobs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = {k: np.array(sorted(v), np.uint32) for k, v in held.items()} if held is not None else None
+        fold = np.arange(256, dtype=np.uint8)
+        fold[0x41:0x5B] += 32
+        for batch in batches:
+            for k, data in enumerate(batch.column(1)):
+                raw = fold[np.frombuffer(data.as_buffer(), np.uint8)]
+                value = np.zeros(len(raw), np.uint32)
+                for length in range(1, ANCHOR_BYTES + 1):
+                    n = len(raw) - length + 1
+                    if n <= 0:
+                        break
+                    value = value[:n] | (raw[length - 1 :].astype(np.uint32) << np.uint32(8 * (length - 1)))
+                    if wanted is None:
+                        found = np.unique(value)
+                    elif length in wanted:
+                        place = np.searchsorted(wanted[length], value)
+                        found = np.unique(value[wanted[length][np.minimum(place, len(wanted[length]) - 1)] == value])
+                    else:
+                        continue
+                    ids = batch.column(0).take(pa.array(np.full(len(found), k)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(found), length, np.int32)), pa.array(found.astype(np.int64))], ["file_id", "length", "anchor"])
+
+    schema = blobs.select("file_id").schema.add("length", "integer").add("anchor", "long")
+    return blobs.select("file_id", F.col("data").cast("binary").alias("data")).mapInArrow(run, schema)
+
+
+def rule_scan(blobs: DataFrame, rules: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(file_id, rule, algorithm, severity, match_count) as ``rule_matches`` gives, for rule lists of any size (``rule_tables``).
+
+    Each blob's bytes are gone over once for the anchors of all patterns; anchors and patterns meet by equality, and a blob is searched by the patterns
+    whose anchor it has and by no others. A pattern without a sure byte is searched in every blob. file_id must be unique; null blobs have no match.
+    """
+    blobs = blobs.filter("data IS NOT NULL").select("file_id", "data")
+    known = patterns.filter("length > 0").select("length", "anchor").distinct()
+    n = known.count()
+    held: dict[int, list[int]] | None = None
+    if n <= HELD_ANCHORS:
+        held = {}
+        for r in known.collect():
+            held.setdefault(r["length"], []).append(r["anchor"])
+    found = _anchors_in(blobs, held)
+    small = (lambda df: F.broadcast(df)) if n <= SHORT_PHRASES else (lambda df: df)
+    named = patterns.select("length", "anchor", F.struct("rule", "ident", "regex").alias("p"))
+    asked = found.join(small(named), ["length", "anchor"]).groupBy("file_id").agg(F.collect_list("p").alias("ps"))
+    always = patterns.filter("length = 0").agg(F.collect_list(F.struct("rule", "ident", "regex")).alias("always"))
+    # One row of patterns without any sure byte, for every blob; the list is a setting of the job and short.
+    rest = [tuple(x) for x in always.first()["always"]]
+    every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("rule", "ident", "regex"), x, strict=True))) for x in rest)).cast(_PATTERNS)
+    text = blobs.join(asked, "file_id", "left").select("file_id", latin1(F.col("data")).alias("t"), F.concat(F.coalesce("ps", F.array().cast(_PATTERNS)), every).alias("ps"))
+    counted = text.select("file_id", F.explode(F.transform("ps", lambda p: F.struct(p["rule"].alias("rule"), F.regexp_count(F.col("t"), p["regex"]).cast("long").alias("c")))).alias("x"))
+    sums = counted.select("file_id", "x.*").filter("c > 0").groupBy("file_id", "rule").agg(F.count("*").alias("held"), F.sum("c").alias("match_count"))
+    fires = F.when(F.col("kind") == "any", F.col("held") >= 1).when(F.col("kind") == "all", F.col("held") == F.col("n_patterns")).when(F.col("kind") == "n_of", F.col("held") >= F.col("n")).otherwise(F.col("match_count") > F.col("n"))
+    return sums.join(small(rules), "rule").filter(fires).select("file_id", "rule", "algorithm", "severity", "match_count")
+
+
 def rule_summary(found: DataFrame, by: str = "file_id") -> DataFrame:
     """Per file: rules, distinct algorithms, severity histogram and the confidence score."""
     weight = F.when(F.col("severity") == "high", 1.0).when(F.col("severity") == "medium", 0.6).otherwise(0.3)

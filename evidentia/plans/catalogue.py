@@ -153,7 +153,7 @@ def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH {FACTS} SELECT file_id, func, x AS xor_count, CASE WHEN x >= 8 THEN 'key_schedule or stream_cipher' WHEN x >= 5 THEN 'key_mixing or round_function' WHEN x >= 3 THEN 'basic_crypto_operation' ELSE 'unknown' END AS pattern_type, CASE WHEN x >= 5 THEN 'strong' ELSE 'moderate' END AS crypto_indicator FROM counts WHERE x >= 2")
 def xor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.xor_chains(detect.function_counts(st.instructions(spark, sf_dir))).drop("operations")
+    return detect.xor_chains(detect.function_counts(st.instructions(spark, sf_dir)))
 
 
 @query("WITH {FACTS} SELECT file_id, func, r2 // 2 AS rotation_count, CASE WHEN r2 >= 8 THEN 'strong' ELSE 'moderate' END AS crypto_indicator FROM counts WHERE r2 >= 2")
@@ -161,11 +161,23 @@ def weighted_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.bit_rotations(detect.function_counts(st.instructions(spark, sf_dir))).drop("rotation_amounts", "likely_algorithm")
 
 
-@query("WITH {FACTS}, a AS (SELECT file_id, func, (string_split(op_str, ', ')[2])::INT AS amount, row_number() OVER (PARTITION BY file_id, func ORDER BY ord, (string_split(op_str, ', ')[2])::INT) AS rn FROM insn WHERE mnemonic = 'ror' AND NOT contains(op_str, '0x')) SELECT file_id, func, string_agg(amount::VARCHAR, ',' ORDER BY rn) AS amounts FROM a WHERE rn <= 10 GROUP BY file_id, func")
+@query("""WITH {FACTS}, a AS (SELECT file_id, func, ord, TRY_CAST(string_split(op_str, ', ')[2] AS BIGINT) AS amount FROM insn WHERE mnemonic = 'ror'),
+b AS (SELECT *, row_number() OVER (PARTITION BY file_id, func ORDER BY ord, amount) AS rn FROM a WHERE amount < 2147483648)
+SELECT file_id, func, string_agg(amount::VARCHAR, ',' ORDER BY rn) AS amounts FROM b WHERE rn <= 10 GROUP BY file_id, func""")
 def rotation_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 10 decimal rotation amounts of each function."""
-    insn = st.instructions(spark, sf_dir).filter(~F.col("op_str").contains("0x"))
-    return detect.bit_rotations(detect.function_counts(insn)).filter(F.size("rotation_amounts") > 0).select("file_id", "func", F.array_join("rotation_amounts", ",").alias("amounts"))
+    """The first 10 rotation amounts of each function, decimal or hexadecimal; the cap is the feature."""
+    insn = st.instructions(spark, sf_dir)
+    found = detect.bit_rotations(detect.function_counts(insn), detect.first_rotations(insn)).filter(F.size("rotation_amounts") > 0)
+    return found.select("file_id", "func", F.array_join("rotation_amounts", ",").alias("amounts"))
+
+
+@query("""WITH {FACTS}, a AS (SELECT file_id, func, concat_ws(' ', mnemonic, op_str) AS t, row_number() OVER (PARTITION BY file_id, func ORDER BY ord, concat_ws(' ', mnemonic, op_str)) AS rn, count(*) OVER (PARTITION BY file_id, func) AS n FROM insn WHERE mnemonic IN ('xor', 'eor'))
+SELECT file_id, func, any_value(n)::BIGINT AS xor_count, string_agg(t, ';' ORDER BY rn) AS operations FROM a WHERE rn <= 10 GROUP BY file_id, func HAVING any_value(n) >= 2""")
+def xor_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10 xors of each function that has two, as text; the cap is the feature."""
+    insn = st.instructions(spark, sf_dir)
+    found = detect.xor_chains(detect.function_counts(insn), detect.first_operations(insn))
+    return found.select("file_id", "func", "xor_count", F.array_join("operations", ";").alias("operations"))
 
 
 @query("""WITH {FACTS}, m AS (SELECT *, (n_xor > 0)::INT + (n_add > 0)::INT + (n_sub > 0)::INT + (n_mul > 0)::INT + (n_rotate > 0)::INT + (n_shift > 0)::INT + (n_and > 0)::INT + (n_or > 0)::INT AS d, n_xor + n_add + n_sub + n_mul + n_rotate + n_shift + n_and + n_or AS tt FROM counts)
@@ -503,16 +515,22 @@ def group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.group_counts(insn.drop("block"), groups, per_block=1 << 30).select("file_id", "root", "xor_count", "rotation_count", "lookup_count", "shift_count", "and_or_count", "mod_count", "crypto_score")
 
 
-@query("""WITH RECURSIVE {FACTS}, real AS (SELECT file_id, addr, size, row_number() OVER (PARTITION BY file_id ORDER BY addr) AS k FROM fn WHERE NOT is_plt AND NOT is_simproc),
+@query("""WITH RECURSIVE {FACTS}, real AS (SELECT file_id, addr, size, row_number() OVER (PARTITION BY file_id ORDER BY addr) AS k FROM fn WHERE NOT is_simproc),
 e AS (SELECT DISTINCT l_partkey % 7 AS file_id, l_partkey * 100 AS src, (l_partkey + 7 * (l_orderkey % 4)) * 100 AS dst FROM lineitem),
 c AS (SELECT e.*, d.size AS dst_size FROM e JOIN real d ON d.file_id = e.file_id AND d.addr = e.dst JOIN real s ON s.file_id = e.file_id AND s.addr = e.src),
-steps AS (SELECT file_id, src, dst FROM c WHERE dst_size < 1000 UNION SELECT file_id, dst, src FROM c WHERE dst_size < 500
+steps AS MATERIALIZED (SELECT file_id, src, dst FROM c WHERE dst_size < 1000 UNION SELECT file_id, dst, src FROM c WHERE dst_size < 500
   UNION SELECT x.file_id, x.addr, y.addr FROM real x JOIN real y ON x.file_id = y.file_id AND abs(x.k - y.k) BETWEEN 1 AND 5 AND abs(x.addr - y.addr) < 2000 AND y.size < 300 WHERE x.size < 200),
-r(file_id, root, node, depth) AS (SELECT file_id, addr, addr, 0 FROM real WHERE k <= 300 UNION SELECT r.file_id, r.root, s.dst, r.depth + 1 FROM r JOIN steps s ON s.file_id = r.file_id AND s.src = r.node WHERE r.depth < 3),
-o AS (SELECT file_id, node AS func, min(root) AS root FROM r GROUP BY ALL)
-SELECT file_id, root, func FROM (SELECT *, count(*) OVER (PARTITION BY file_id, root) AS n FROM o) WHERE n >= 2""")
+turns AS MATERIALIZED (SELECT * FROM (SELECT file_id, addr, NOT is_plt AND NOT is_simproc AS able, row_number() OVER (PARTITION BY file_id ORDER BY addr) AS k, is_blob FROM fn) WHERE k <= CASE WHEN is_blob THEN 100 ELSE 300 END),
+one AS MATERIALIZED (SELECT file_id, src, list(dst) AS ds FROM steps GROUP BY ALL),
+g(file_id, k, root, own, taken) AS (SELECT DISTINCT file_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] FROM turns
+  UNION ALL SELECT file_id, k, root, own, list_concat(taken, own) FROM (
+    SELECT z.file_id, z.k, z.root, z.taken, list_distinct(list_concat(list_concat([z.root], z.n1), list_concat(z.n2, coalesce((SELECT list_distinct(flatten(list(list_filter(ds, lambda d: NOT list_contains(z.taken, d))))) FROM one WHERE one.file_id = z.file_id AND list_contains(z.n2, src)), [])))) AS own FROM (
+      SELECT y.*, coalesce((SELECT list_distinct(flatten(list(list_filter(ds, lambda d: NOT list_contains(y.taken, d))))) FROM one WHERE one.file_id = y.file_id AND list_contains(y.n1, src)), []) AS n2 FROM (
+        SELECT x.*, coalesce((SELECT list_distinct(flatten(list(list_filter(ds, lambda d: NOT list_contains(x.taken, d))))) FROM one WHERE one.file_id = x.file_id AND src = x.root), []) AS n1 FROM (
+          SELECT g.file_id, g.k + t.skip AS k, t.addr AS root, g.taken FROM g JOIN LATERAL (SELECT min(k) - g.k AS skip, arg_min(addr, k) AS addr FROM turns WHERE turns.file_id = g.file_id AND turns.k > g.k AND able AND NOT list_contains(g.taken, addr)) t ON true WHERE t.addr IS NOT NULL) x) y) z))
+SELECT file_id, root, unnest(own) AS func FROM g WHERE len(own) >= 2""")
 def function_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters over calls and neighbourhood, each function under its smallest root."""
+    """Clusters over calls and neighbourhood, grown in order of address through functions that are in none yet."""
     fn = st.functions(spark, sf_dir)
     edges = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 7).alias("file_id"), (F.col("l_partkey") * 100).alias("src"), ((F.col("l_partkey") + 7 * (F.col("l_orderkey") % 4)) * 100).alias("dst"))
     return inventory.function_clusters(fn, edges)

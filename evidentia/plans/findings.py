@@ -76,28 +76,90 @@ def linked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as sections that hold two hash words and a magic string after some zeros, and as functions close by."""
-    key, zeros = F.col("s_suppkey"), F.repeat(F.lit("00"), (F.col("s_suppkey") % 64).cast("int"))
-    rows = table(spark, sf_dir, "supplier")
-    data = F.unhex(F.concat(zeros, F.lit("67e6096a85ae67bb" + detect.MAGIC.hex())))
-    sections = rows.select((key % 10).alias("file_id"), (key * 10_000).alias("vaddr"), data.alias("data"))
-    return sections, rows.select((key % 10).alias("file_id"), key.alias("func"), (key * 10_000 + 480 + key % 37).alias("addr"), F.lit(40).alias("size"))
-
-
-_PLACED = "s AS (SELECT s_suppkey % 10 AS file_id, s_suppkey AS func, s_suppkey * 10000 + s_suppkey % 64 AS place, s_suppkey * 10000 + 480 + s_suppkey % 37 AS addr FROM supplier)"
-
-
-@query(f"""WITH {_PLACED}, w AS (SELECT file_id, func, 1779033703 AS value, place AS address, addr FROM s UNION ALL SELECT file_id, func, 3144134277, place + 4, addr FROM s)
-SELECT file_id, func, value::BIGINT AS value, address FROM w WHERE address >= addr - 500 AND address < addr + 540 AND (address - (addr - 500)) % 4 = 0""")
+    """Documents as sections of 100,000 addresses each that hold hash words and the magic string before, between and behind their text's bytes; and suppliers
+    as functions of all sizes, anywhere in the documents' addresses."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    words = F.unhex(F.lit("67e6096a85ae67bb" + detect.MAGIC.hex()))
+    data = F.concat(F.substring(text, 1, 700), words, F.expr("substring(cast(coalesce(text, '') AS binary), 701)"), words)
+    sections = docs.select((F.col("doc_id") % 10).alias("file_id"), (F.col("doc_id") * 100_000).alias("vaddr"), data.alias("data"))
+    key = F.col("s_suppkey")
+    at = (key % 100) * 100_000 + (key * 7919) % 4_000
+    return sections, table(spark, sf_dir, "supplier").select(((key % 100) % 10).alias("file_id"), key.alias("func"), at.alias("addr"), (key % 300).cast("int").alias("size"))
+
+
+# The words stand behind the first 700 bytes of a text, or all of it, and at its end; a section starts at its document's number times 100,000.
+_PLACED = """d AS (SELECT doc_id, doc_id * 100000 AS base, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id % 10 AS file_id, base + least(n, 700) AS place FROM d UNION ALL SELECT doc_id % 10, base + n + 24 FROM d),
+s AS (SELECT (s_suppkey % 100) % 10 AS file_id, s_suppkey AS func, (s_suppkey % 100) * 100000 + (s_suppkey * 7919) % 4000 AS addr, s_suppkey % 300 AS size FROM supplier)"""
+
+
+@query(f"""WITH {_PLACED}, v AS (SELECT file_id, 1779033703 AS value, place AS address FROM w UNION ALL SELECT file_id, 3144134277, place + 4 FROM w)
+SELECT DISTINCT s.file_id, func, value::BIGINT AS value, address FROM s JOIN v ON v.file_id = s.file_id AND address >= addr - 500 AND address < addr + size + 500 AND (address - (addr - 500)) % 4 = 0""")
 def nearby_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash words close to functions, on the function's grid of four bytes."""
     return detect.nearby_words(*_word_sections(spark, sf_dir), [0x6A09E667, 0xBB67AE85, 0x67452301])
 
 
-@query(f"WITH {_PLACED} SELECT file_id, func FROM s WHERE place + 8 >= addr - 500 AND place + 8 + 16 <= addr + 540")
+@query(f"""WITH {{FACTS}}, {_PLACED}, m AS (SELECT file_id, func FROM insn WHERE contains(op_str, '0x61707865') OR contains(op_str, '0x3320646e') GROUP BY ALL HAVING count(DISTINCT regexp_extract(op_str, '0x([0-9a-f]+)', 1)) >= 2)
+SELECT file_id, func FROM m UNION SELECT s.file_id, func FROM s JOIN w ON w.file_id = s.file_id AND place + 8 >= addr - 1000 AND place + 8 < addr + size + 1000""")
 def magic_near_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions with the whole magic string close by."""
-    return detect.magic_constants(st.instructions(spark, sf_dir).limit(0), detect.nearby_strings(*_word_sections(spark, sf_dir)))
+    """Functions with two magic words as operands, or with the whole magic string starting at most 1000 bytes off."""
+    return detect.magic_constants(st.instructions(spark, sf_dir), detect.nearby_strings(*_word_sections(spark, sf_dir)))
+
+
+@query(f"WITH {_PLACED} SELECT DISTINCT s.file_id, func FROM s JOIN w ON w.file_id = s.file_id AND place + 8 >= addr - 1000 AND place + 8 < addr + size + 1000")
+def nearby_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with the whole magic string starting at most 1000 bytes off."""
+    return detect.nearby_strings(*_word_sections(spark, sf_dir))
+
+
+# Every pattern of every rule as bytes that it fits: unknown bytes are aa, unknown halves a, jumps are zeros; texts in mixed case where it does not count.
+def _planted(pattern: str) -> str:
+    kind, _, rest = pattern.partition(":")
+    if kind == "regex":
+        return "ab" * 300
+    if kind in ("text", "nocase"):
+        return (rest.swapcase() if kind == "nocase" else rest).encode().hex()
+    return "".join("00" * int(t[1:-1]) if t[0] == "[" else t.replace("?", "a") for t in pattern.split())
+
+
+def _hex_regex(pattern: str) -> str:
+    """A pattern over bytes written as two digits and a blank each."""
+    kind, _, rest = pattern.partition(":")
+    if kind == "regex":
+        return "(?:.. ){256,}"
+    if kind == "text":
+        return "".join(f"{b:02X} " for b in rest.encode())
+    if kind == "nocase":
+        return "".join(f"(?:{ord(c.upper()):02X}|{ord(c.lower()):02X}) " for c in rest)
+    return "".join(f"(?:.. ){{{t[1:-1]}}}" if t[0] == "[" else t.upper().replace("?", ".") + " " for t in pattern.split())
+
+
+#: Document i gets the patterns of rule i modulo this behind its text, each after a byte fe; one in so many gets none.
+_PLANTS = len(scan.RULES) + 1
+_RULE_BYTES = {i: "".join("fe" + _planted(p) for p in r[5].values()) for i, r in enumerate(scan.RULES)}
+
+
+def _crypto_rules_sql() -> str:
+    plants = " ".join(f"WHEN {i} THEN '{h.upper()}'" for i, h in _RULE_BYTES.items())
+    counts = ", ".join(f"len(regexp_extract_all(h, '{_hex_regex(p)}')) AS c{i}_{k}" for i, r in enumerate(scan.RULES) for k, p in enumerate(r[5].values()))
+    found = []
+    for i, (name, algorithm, severity, kind, n, patterns) in enumerate(scan.RULES):
+        held = " + ".join(f"(c{i}_{k} > 0)::INT" for k in range(len(patterns)))
+        total = " + ".join(f"c{i}_{k}" for k in range(len(patterns)))
+        fires = {"any": f"{held} >= 1", "all": f"{held} = {len(patterns)}", "n_of": f"{held} >= {n}", "count_over": f"{total} > {n}"}[kind]
+        found.append(f"SELECT doc_id AS file_id, '{name}' AS rule, '{algorithm}' AS algorithm, '{severity}' AS severity, ({total})::BIGINT AS match_count FROM c WHERE {fires}")
+    return f"""WITH b AS (SELECT doc_id, regexp_replace(hex(encode(coalesce(text, ''))) || CASE doc_id % {_PLANTS} {plants} ELSE '' END, '(..)', '\\1 ', 'g') AS h FROM documents),
+c AS MATERIALIZED (SELECT doc_id, {counts} FROM b) {" UNION ALL ".join(found)}"""
+
+
+@query(_crypto_rules_sql())
+def crypto_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule list over every document's bytes, with each rule's patterns planted behind some of them."""
+    planted = F.create_map(*(F.lit(x) for i, h in _RULE_BYTES.items() for x in (i, h)))[(F.col("doc_id") % _PLANTS).cast("int")]
+    data = F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.unhex(F.coalesce(planted, F.lit(""))))
+    return scan.rule_scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), data.alias("data")), *scan.rule_tables(spark))
 
 
 @query("""WITH {FACTS}, c AS (SELECT event_id % 100 AS file_id, model AS stage, cost, duration_seconds AS d FROM calls), g AS (SELECT file_id, stage, count(*)::BIGINT AS n_calls, sum(cost) AS cost, sum(d) AS duration_seconds FROM c GROUP BY GROUPING SETS ((file_id), (file_id, stage)))

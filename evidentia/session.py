@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "evidentia", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read again: it is computed once, lineage ends there, and a lost executor costs nothing of it.
+
+    Where that setting is unset, a local master takes a temporary folder; a cluster must name one that the driver and all executors share.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/evidentia-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def python_workers(spark: SparkSession, rows: int = 256) -> None:
     """Set this session up for Python in tasks: Arrow batches of at most ``rows`` rows, so that a task's memory follows a few texts and not
     thousands, and this library on the workers' path, where it is not installed."""
