@@ -80,9 +80,18 @@ def first_operations(insn: DataFrame, first: int = 10) -> DataFrame:
     return first_of_function(insn, F.when(_has(m, "xor") | m.startswith("eor"), F.concat_ws(" ", "mnemonic", "op_str")), "operations", first)
 
 
-def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800) -> DataFrame:
+def operand_values(op_str: Column) -> Column:
+    """The hexadecimal numbers of an operand string as an array of longs; those of more than 15 digits are left out."""
+    digits = F.regexp_extract_all(op_str, F.lit("0x([0-9a-fA-F]+)"), F.lit(1))
+    return F.transform(F.filter(digits, lambda h: F.length(h) <= 15), lambda h: F.conv(h, 16, 10).cast("long"))
+
+
+def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800, words: tuple[int, ...] = ()) -> DataFrame:
     """One row a function with every count that the detectors need: one shuffle, partial sums on the map side.
 
+    ``words`` adds a column of that name: a struct (value, ord) for each of these numbers that stands in an operand, with its last place, so that one pass
+    over the instructions feeds the detectors of constants too.
+
     Mixing counts take the function's first ``mix_bytes`` bytes, the modular ones its first ``wide_bytes`` (all of it without an offset column).
     """
     m, ops = F.lower("mnemonic"), F.coalesce(F.col("op_str"), F.lit(""))
@@ -107,7 +116,13 @@ def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800
         "wide_ops": _count(wide & (ops.contains("qword") | ops.contains("r64") | ops.contains("x"))),
     }
     named |= {f"n_{k}": _count(near & (kind == k)) for k in ("xor", "add", "sub", "mul", "rotate", "shift", "and", "or")}
-    return insn.groupBy(*KEY).agg(*(v.cast("long").alias(k) for k, v in named.items()), F.count("*").alias("n_insn"))
+    sums = [*(v.cast("long").alias(k) for k, v in named.items()), F.count("*").alias("n_insn")]
+    if not words:
+        return insn.groupBy(*KEY).agg(*sums)
+    held = insn.withColumn("_values", F.when(ops.contains("0x"), operand_values(ops)))
+    last = [F.max(F.when(F.array_contains("_values", F.lit(w).cast("long")), F.col("ord"))).alias(f"_at{k}") for k, w in enumerate(words)]
+    found = F.filter(F.array(*(F.struct(F.lit(w).cast("long").alias("value"), F.col(f"_at{k}").alias("ord")) for k, w in enumerate(words))), lambda x: x["ord"].isNotNull())
+    return held.groupBy(*KEY).agg(*sums, *last).withColumn("words", found).drop(*(f"_at{k}" for k in range(len(words))))
 
 
 def _with(rows: DataFrame, lists: DataFrame | None, name: str) -> DataFrame:
@@ -155,11 +170,16 @@ def modular_arithmetic(counts: DataFrame) -> DataFrame:
     return counts.filter((mul >= 3) & ((div >= 1) | (shift >= 2))).select(*KEY, mul.alias("multiplications"), div.alias("divisions"), shift.alias("shifts"), F.col("wide_ops").alias("wide_operations"), F.lit("RSA or ECC").alias("likely_algorithm"), F.when(mul >= 10, 0.75).otherwise(0.65).alias("confidence"))
 
 
+def loop_blocks(loops: DataFrame) -> DataFrame:
+    """(file_id, func, loop_id, block), each once. loops: (file_id, func, loop_id, block)."""
+    return loops.select(*KEY, "loop_id", "block").distinct()
+
+
 def hottest_loops(loops: DataFrame) -> DataFrame:
     """(file_id, func, loop_id, n_blocks): each function's loop with most blocks, the first of equals. loops: (file_id, func, loop_id, block)."""
     sizes = loops.groupBy(*KEY, "loop_id").agg(F.count_distinct("block").alias("n_blocks"))
-    best = Window.partitionBy(*KEY).orderBy(F.desc("n_blocks"), "loop_id")
-    return sizes.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
+    best = F.max(F.struct("n_blocks", (-F.col("loop_id")).alias("_neg"), "loop_id")).alias("best")
+    return sizes.groupBy(*KEY).agg(best).select(*KEY, "best.loop_id", "best.n_blocks")
 
 
 def loop_instructions(insn: DataFrame, loops: DataFrame, block_bytes: int = 200) -> DataFrame:
@@ -170,11 +190,27 @@ def loop_instructions(insn: DataFrame, loops: DataFrame, block_bytes: int = 200)
     return own.filter(F.col("block_offset") < block_bytes) if "block_offset" in insn.columns else own
 
 
-def feistel_networks(loop_insn: DataFrame) -> DataFrame:
-    """Loops that keep half of their state: register copies, memory moves and xors."""
+def loop_counts(loop_insn: DataFrame) -> DataFrame:
+    """One row a function with the counts over its hottest loop that ``feistel_networks`` and ``memory_ratios`` need."""
     m, ops = F.lower("mnemonic"), F.coalesce(F.col("op_str"), F.lit(""))
-    copies = _count(m.isin("mov", "movz", "orr") & ~ops.rlike("wzr|xzr"))
-    counts = loop_insn.groupBy(*KEY).agg(copies.alias("register_copies"), _count(m.isin("ldr", "str", "ldp", "stp")).alias("memory_swaps"), _count(m.isin("eor", "xor", "eors")).alias("xor_operations"))
+    memory = m.isin(*LOADS) & ops.contains("[")
+    return loop_insn.groupBy(*KEY).agg(
+        _count(m.isin("mov", "movz", "orr") & ~ops.rlike("wzr|xzr")).alias("register_copies"),
+        _count(m.isin("ldr", "str", "ldp", "stp")).alias("memory_swaps"),
+        _count(m.isin("eor", "xor", "eors")).alias("xor_operations"),
+        _count(memory).alias("memory_ops"),
+        _count(~memory & m.isin(*ALU)).alias("alu_ops"),
+        F.count("*").alias("total_instructions"),
+    )
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows if "register_copies" in rows.columns else loop_counts(rows)
+
+
+def feistel_networks(loop_insn: DataFrame) -> DataFrame:
+    """Loops that keep half of their state: register copies, memory moves and xors. Takes instructions or their ``loop_counts``."""
+    counts = _counted(loop_insn).select(*KEY, "register_copies", "memory_swaps", "xor_operations")
     kept, x = F.col("register_copies") + F.floor(F.col("memory_swaps") / 4), F.col("xor_operations")
     strong, weak = (kept >= 2) & (x >= 2), (kept >= 1) & (x >= 3)
     confidence = F.when(strong, F.least(F.lit(0.90), 0.70 + kept * 0.05)).otherwise(0.65)
@@ -183,10 +219,8 @@ def feistel_networks(loop_insn: DataFrame) -> DataFrame:
 
 
 def memory_ratios(loop_insn: DataFrame) -> DataFrame:
-    """The share of memory operations in each hottest loop, and what it speaks for."""
-    m, ops = F.lower("mnemonic"), F.coalesce(F.col("op_str"), F.lit(""))
-    memory = m.isin(*LOADS) & ops.contains("[")
-    counts = loop_insn.groupBy(*KEY).agg(_count(memory).alias("memory_ops"), _count(~memory & m.isin(*ALU)).alias("alu_ops"), F.count("*").alias("total_instructions"))
+    """The share of memory operations in each hottest loop, and what it speaks for. Takes instructions or their ``loop_counts``."""
+    counts = _counted(loop_insn).select(*KEY, "memory_ops", "alu_ops", "total_instructions")
     ratio = F.col("memory_ops") / F.col("total_instructions")
     kind = F.when(ratio > 0.25, "S-box cipher (High memory usage)").when(ratio < 0.15, "ARX cipher (Low memory usage)").otherwise("Hybrid/Uncertain (Do not suppress)")
     return counts.select("*", F.round(ratio, 3).alias("memory_ratio"), kind.alias("classification"))
@@ -200,9 +234,10 @@ def round_loops(loops: DataFrame) -> DataFrame:
 
 
 def immediates(insn: DataFrame) -> DataFrame:
-    """(file_id, func, ord, value) of every hexadecimal number in the operands."""
-    found = insn.select(*KEY, "ord", F.explode(F.regexp_extract_all(F.coalesce("op_str", F.lit("")), F.lit("0x([0-9a-fA-F]+)"), F.lit(1))).alias("h"))
-    return found.filter(F.length("h") <= 15).select(*KEY, "ord", F.conv("h", 16, 10).cast("long").alias("value"))
+    """(file_id, func, ord, value) of every hexadecimal number in the operands; the ``words`` of ``function_counts`` where these are given."""
+    if "words" in insn.columns:
+        return insn.select(*KEY, F.explode("words").alias("w")).select(*KEY, "w.ord", "w.value")
+    return insn.select(*KEY, "ord", F.explode(operand_values(F.coalesce("op_str", F.lit("")))).alias("value"))
 
 
 def places(sections: DataFrame, wanted: list[bytes]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidentia.functions.classify import round_algorithm
+from evidentia.session import written
 
 CANDIDATE = ("file_id", "func", "algorithm", "confidence", "evidence", "category", "structure")
 
@@ -25,13 +26,14 @@ def candidates(found: dict[str, DataFrame]) -> DataFrame:
     flags = evidence_flags(found["ratios"])
     flags = flags.join(found["feistel"].select("file_id").distinct().withColumn("feistel", F.lit(True)), "file_id", "full_outer")
     flags = flags.join(found["magic"].select("file_id").distinct().withColumn("magic", F.lit(True)), "file_id", "full_outer")
-    flags = flags.select("file_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("sbox", "arx", "hybrid", "feistel", "magic")))
+    flags = written(flags.select("file_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("sbox", "arx", "hybrid", "feistel", "magic"))), "evidence-flags")
 
     def told(name: str, algorithm: Column, confidence: Column, evidence: Column, category: str, structure: Column | None = None) -> DataFrame:
         own = found[name].drop("sbox", "arx", "hybrid", "feistel", "magic").withColumnRenamed("confidence", "_confidence").withColumnRenamed("structure", "_structure")
         own = own.join(flags, "file_id", "left").fillna(False, ["sbox", "arx", "hybrid", "feistel", "magic"])
         shape = structure if structure is not None else F.lit(None).cast("string")
-        return own.select("file_id", "func", algorithm.alias("algorithm"), confidence.cast("double").alias("confidence"), evidence.alias("evidence"), F.lit(category).alias("category"), shape.alias("structure"))
+        flagged = [F.col(c) for c in ("sbox", "arx", "hybrid", "feistel", "magic")]
+        return own.select("file_id", "func", algorithm.alias("algorithm"), confidence.cast("double").alias("confidence"), evidence.alias("evidence"), F.lit(category).alias("category"), shape.alias("structure"), *flagged)
 
     c = F.col
     raised = lambda x: F.when(c("sbox"), F.least(F.lit(0.98), x + 0.10)).otherwise(x)
@@ -48,7 +50,7 @@ def candidates(found: dict[str, DataFrame]) -> DataFrame:
         told("modular", c("likely_algorithm"), c("_confidence"), F.format_string("Modular arithmetic (MUL:%d, DIV:%d, SHIFT:%d)", "multiplications", "divisions", "shifts"), "asymmetric"),
         told("hashes", c("algorithm"), F.lit(0.85), F.format_string("%d hash constants", "constant_count"), "hash"),
     ]
-    return reduce(DataFrame.unionByName, parts).join(flags, "file_id", "left").fillna(False, ["sbox", "arx", "hybrid", "feistel", "magic"])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def resolve(rows: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def dominate(rows: DataFrame, by: str = "category", score: str = "confidence", f
 def inferred(found: dict[str, DataFrame]) -> DataFrame:
     """CANDIDATE rows after resolution and suppression; a file with nothing left but several table functions gets one binary-wide row."""
     rows = candidates(found)
-    kept = dominate(resolve(rows)).select(*CANDIDATE)
+    kept = written(dominate(resolve(rows)).select(*CANDIDATE), "candidates")
     tables = found["tables"].groupBy("file_id").agg(F.count("*").alias("n")).filter("n >= 2").join(kept.select("file_id").distinct(), "file_id", "left_anti")
     tables = tables.join(found["feistel"].select("file_id").distinct().withColumn("feistel", F.lit(True)), "file_id", "left")
     wide = tables.select(

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from evidentia.operators import detect, infer, inventory, report
+from evidentia.session import written
 
+#: Numbers that the detectors of constants look for in operands.
+WORDS = (*dict.fromkeys(w for ws in detect.HASH_WORDS.values() for w in ws), *detect.MAGIC_WORDS)
 ROUTES = ("deep", "quick", "skip")
 STAGES = 7
 
@@ -26,20 +29,29 @@ def found_patterns(insn: DataFrame, loops: DataFrame, loop_insn: DataFrame, top:
     if top is not None:
         most = most_blocks(insn, top)
         insn, loops, loop_insn = (rows.join(most, ["file_id", "func"], "left_semi") for rows in (insn, loops, loop_insn))
-    counts = detect.function_counts(insn)
-    hot = detect.loop_instructions(loop_insn, loops)
+    counts, blocks, hot = facts(insn, loops, loop_insn)
     return {
         "feistel": detect.feistel_networks(hot),
         "arx": detect.arx_operations(counts),
         "tables": detect.table_lookups(counts),
-        "loops": detect.round_loops(loops),
+        "loops": detect.round_loops(blocks),
         "modular": detect.modular_arithmetic(counts),
-        "hashes": detect.hash_constants(insn),
+        "hashes": detect.hash_constants(counts),
         "ratios": detect.memory_ratios(hot).filter("total_instructions >= 20"),
-        "magic": detect.magic_constants(insn),
+        "magic": detect.magic_constants(counts),
     }
 
 
+def facts(insn: DataFrame, loops: DataFrame, loop_insn: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What all detectors need, written once: counts and dictionary words of each function, the blocks of each loop, counts over each hottest loop.
+
+    Each source is read once, whatever the number of detectors.
+    """
+    counts = written(detect.function_counts(insn, words=WORDS), "function-counts")
+    blocks = written(detect.loop_blocks(loops), "loop-blocks")
+    return counts, blocks, written(detect.loop_counts(detect.loop_instructions(loop_insn, blocks)), "loop-counts")
+
+
 def routes(files: DataFrame, strings: DataFrame, force_deep: bool = False) -> DataFrame:
     """(file_id, route) of every file: the deepest route that any of its strings asks for; a file without strings is skipped."""
     if force_deep:
