@@ -221,12 +221,16 @@ def links(sigs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame
     pairs = small.join(other, "key").filter("id < b AND c <> cb").select(F.col("id").alias("a"), "b")
     if dense:
         left = rest.filter(F.col("n") > SMALL_BUCKET).join(able, "id").select("key", "id", "c", "size", "common")
-        right = left.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("common").alias("common_b"))
         apart = (F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
         most = F.least("common", "common_b")
         # A pair that shares common shingles only needs enough of them on both sides.
         enough = lambda n, common: 100 * F.col(common) >= percent * F.col(n)
-        alike = left.filter(enough("size", "common")).join(right.filter(enough("size_b", "common_b")), "key").filter(apart & (100 * most >= percent * (F.col("size") + F.col("size_b") - most)))
+        able = left.filter(enough("size", "common"))
+        # A pair meets in each key that both have, and is given out by the smallest of them only; a document has at most CHUNKS * WIDTH keys.
+        able = able.join(able.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+        right = able.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("common").alias("common_b"), F.col("keys").alias("keys_b"))
+        bounded = apart & (100 * most >= percent * (F.col("size") + F.col("size_b") - most))
+        alike = able.join(right, "key").filter(bounded & (F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")))
         known = left.select("id", "c", "size", "common").distinct()
         own = low.filter("df > 1").select("s", "id").join(known, "id")
         twin = own.select("s", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("common").alias("common_b"))
