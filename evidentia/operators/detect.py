@@ -86,11 +86,12 @@ def operand_values(op_str: Column) -> Column:
     return F.transform(F.filter(digits, lambda h: F.length(h) <= 15), lambda h: F.conv(h, 16, 10).cast("long"))
 
 
-def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800, words: tuple[int, ...] = ()) -> DataFrame:
+def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800, words: tuple[int, ...] = (), lists: bool = True) -> DataFrame:
     """One row a function with every count that the detectors need: one shuffle, partial sums on the map side.
 
     ``words`` adds a column of that name: a struct (value, ord) for each of these numbers that stands in an operand, with its last place, so that one pass
-    over the instructions feeds the detectors of constants too.
+    over the instructions feeds the detectors of constants too. ``lists`` adds ``first_rotations`` and ``first_operations``, each one more exchange of
+    the rows concerned.
 
     Mixing counts take the function's first ``mix_bytes`` bytes, the modular ones its first ``wide_bytes`` (all of it without an offset column).
     """
@@ -117,6 +118,8 @@ def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800
     }
     named |= {f"n_{k}": _count(near & (kind == k)) for k in ("xor", "add", "sub", "mul", "rotate", "shift", "and", "or")}
     sums = [*(v.cast("long").alias(k) for k, v in named.items()), F.count("*").alias("n_insn")]
+    if lists:
+        return _with(_with(function_counts(insn, mix_bytes, wide_bytes, words, False), first_rotations(insn), "rotation_amounts"), first_operations(insn), "operations")
     if not words:
         return insn.groupBy(*KEY).agg(*sums)
     held = insn.withColumn("_values", F.when(ops.contains("0x"), operand_values(ops)))
@@ -126,17 +129,17 @@ def function_counts(insn: DataFrame, mix_bytes: int = 500, wide_bytes: int = 800
 
 
 def _with(rows: DataFrame, lists: DataFrame | None, name: str) -> DataFrame:
-    """``rows`` with the list ``name`` of each function, empty where it has none or no lists are given."""
-    kind = "array<int>" if lists is None else lists.schema[name].dataType
-    joined = rows.withColumn(name, F.array().cast(kind)) if lists is None else rows.join(lists, list(KEY), "left")
-    return joined.withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    """``rows`` with the list ``name`` of each function: that of ``lists``, else its own, else an empty one."""
+    if lists is None:
+        return rows if name in rows.columns else rows.withColumn(name, F.array().cast("array<int>"))
+    return rows.drop(name).join(lists, list(KEY), "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
 
 
 def xor_chains(counts: DataFrame, operations: DataFrame | None = None) -> DataFrame:
-    """Functions with at least 2 xors, with their ``first_operations`` where these are given."""
+    """Functions with at least 2 xors, with their ``first_operations`` where these are given or among the counts."""
     n = F.col("xor_count")
     found = counts.filter(n >= 2) if operations is None else _with(counts.filter(n >= 2), operations, "operations")
-    return found.select(*KEY, "xor_count", *(["operations"] if operations is not None else []), xor_pattern(n).alias("pattern_type"), F.when(n >= 5, "strong").otherwise("moderate").alias("crypto_indicator"))
+    return found.select(*KEY, "xor_count", *(["operations"] if "operations" in found.columns else []), xor_pattern(n).alias("pattern_type"), F.when(n >= 5, "strong").otherwise("moderate").alias("crypto_indicator"))
 
 
 def bit_rotations(counts: DataFrame, amounts: DataFrame | None = None) -> DataFrame:

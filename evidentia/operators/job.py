@@ -47,7 +47,7 @@ def facts(insn: DataFrame, loops: DataFrame, loop_insn: DataFrame) -> tuple[Data
 
     Each source is read once, whatever the number of detectors.
     """
-    counts = written(detect.function_counts(insn, words=WORDS), "function-counts")
+    counts = written(detect.function_counts(insn, words=WORDS, lists=False), "function-counts")
     blocks = written(detect.loop_blocks(loops), "loop-blocks")
     return counts, blocks, written(detect.loop_counts(detect.loop_instructions(loop_insn, blocks)), "loop-counts")
 

@@ -153,12 +153,12 @@ def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH {FACTS} SELECT file_id, func, x AS xor_count, CASE WHEN x >= 8 THEN 'key_schedule or stream_cipher' WHEN x >= 5 THEN 'key_mixing or round_function' WHEN x >= 3 THEN 'basic_crypto_operation' ELSE 'unknown' END AS pattern_type, CASE WHEN x >= 5 THEN 'strong' ELSE 'moderate' END AS crypto_indicator FROM counts WHERE x >= 2")
 def xor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.xor_chains(detect.function_counts(st.instructions(spark, sf_dir)))
+    return detect.xor_chains(detect.function_counts(st.instructions(spark, sf_dir), lists=False))
 
 
 @query("WITH {FACTS} SELECT file_id, func, r2 // 2 AS rotation_count, CASE WHEN r2 >= 8 THEN 'strong' ELSE 'moderate' END AS crypto_indicator FROM counts WHERE r2 >= 2")
 def weighted_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.bit_rotations(detect.function_counts(st.instructions(spark, sf_dir))).drop("rotation_amounts", "likely_algorithm")
+    return detect.bit_rotations(detect.function_counts(st.instructions(spark, sf_dir), lists=False)).drop("rotation_amounts", "likely_algorithm")
 
 
 @query("""WITH {FACTS}, a AS (SELECT file_id, func, ord, TRY_CAST(string_split(op_str, ', ')[2] AS BIGINT) AS amount FROM insn WHERE mnemonic = 'ror'),
@@ -167,7 +167,7 @@ SELECT file_id, func, string_agg(amount::VARCHAR, ',' ORDER BY rn) AS amounts FR
 def rotation_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 rotation amounts of each function, decimal or hexadecimal; the cap is the feature."""
     insn = st.instructions(spark, sf_dir)
-    found = detect.bit_rotations(detect.function_counts(insn), detect.first_rotations(insn)).filter(F.size("rotation_amounts") > 0)
+    found = detect.bit_rotations(detect.function_counts(insn, lists=False), detect.first_rotations(insn)).filter(F.size("rotation_amounts") > 0)
     return found.select("file_id", "func", F.array_join("rotation_amounts", ",").alias("amounts"))
 
 
@@ -176,7 +176,7 @@ SELECT file_id, func, any_value(n)::BIGINT AS xor_count, string_agg(t, ';' ORDER
 def xor_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 xors of each function that has two, as text; the cap is the feature."""
     insn = st.instructions(spark, sf_dir)
-    found = detect.xor_chains(detect.function_counts(insn), detect.first_operations(insn))
+    found = detect.xor_chains(detect.function_counts(insn, lists=False), detect.first_operations(insn))
     return found.select("file_id", "func", "xor_count", F.array_join("operations", ";").alias("operations"))
 
 
@@ -184,22 +184,22 @@ def xor_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_id, func, d::BIGINT AS operation_diversity, tt AS total_operations, n_xor, n_add, n_sub, n_mul, n_rotate, n_shift, n_and, n_or, round(d * tt / 100.0::DOUBLE, 2) AS mixing_score, CASE WHEN d * tt > 500 THEN 'very_strong' ELSE 'strong' END AS crypto_indicator,
 CASE WHEN n_add >= 3 AND n_xor >= 3 AND n_rotate >= 2 THEN 'ARX_cipher (ChaCha20/Salsa20 style)' WHEN n_xor >= 4 AND n_shift + n_rotate >= 3 THEN 'SPN_cipher (AES style)' WHEN n_xor >= 3 AND n_and >= 2 AND n_or >= 2 THEN 'hash_function (SHA/MD5 style)' ELSE 'general_crypto_mixing' END AS pattern_type FROM m WHERE d >= 3 AND tt >= 10""")
 def mixing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.data_mixing(detect.function_counts(st.instructions(spark, sf_dir)))
+    return detect.data_mixing(detect.function_counts(st.instructions(spark, sf_dir), lists=False))
 
 
 @query("WITH {FACTS} SELECT file_id, func, a AS add_operations, x AS xor_operations, rot AS rotate_operations, (a + x + rot) / 3.0::DOUBLE AS arx_score, 'ChaCha20/Salsa20/BLAKE2' AS likely_algorithm FROM counts WHERE a >= 2 AND x >= 2 AND rot >= 1")
 def arx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.arx_operations(detect.function_counts(st.instructions(spark, sf_dir)))
+    return detect.arx_operations(detect.function_counts(st.instructions(spark, sf_dir), lists=False))
 
 
 @query("WITH {FACTS} SELECT file_id, func, t AS table_accesses, 'S-box substitution or permutation' AS likely_operation, CASE WHEN t >= 8 THEN 'high' ELSE 'medium' END AS confidence FROM counts WHERE t >= 2")
 def table_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.table_lookups(detect.function_counts(st.instructions(spark, sf_dir)))
+    return detect.table_lookups(detect.function_counts(st.instructions(spark, sf_dir), lists=False))
 
 
 @query("WITH {FACTS} SELECT file_id, func, mul AS multiplications, div AS divisions, 0::BIGINT AS shifts, wide AS wide_operations, 'RSA or ECC' AS likely_algorithm, CASE WHEN mul >= 10 THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS confidence FROM counts WHERE mul >= 3 AND div >= 1")
 def modular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.modular_arithmetic(detect.function_counts(st.instructions(spark, sf_dir)))
+    return detect.modular_arithmetic(detect.function_counts(st.instructions(spark, sf_dir), lists=False))
 
 
 @query("WITH {FACTS} SELECT file_id, func, loop_id, n_blocks::BIGINT AS n_blocks FROM hot")
@@ -283,7 +283,7 @@ l AS (SELECT *, least(least(nx * 0.15::DOUBLE, 0.4::DOUBLE) + least(nr * 0.12::D
 
 
 def _pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = detect.function_counts(st.instructions(spark, sf_dir))
+    counts = detect.function_counts(st.instructions(spark, sf_dir), lists=False)
     kinds = sum((F.col(f"n_{k}") > 0).cast("int") for k in ("xor", "add", "sub", "mul", "rotate", "shift", "and", "or"))
     total = sum(F.col(f"n_{k}") for k in ("xor", "add", "sub", "mul", "rotate", "shift", "and", "or"))
     mixed = (kinds >= 3) & (total >= 10)
