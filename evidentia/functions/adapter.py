@@ -6,9 +6,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
-from evidentia.session import python_workers
+from evidentia.operators import ledger
+from evidentia.session import python_workers, written
 
 SCHEMA = "key string, content string, input_tokens long, output_tokens long, duration_seconds double, attempts int, success boolean, error_message string"
 
@@ -43,3 +44,22 @@ def complete(requests: DataFrame, client: Callable[[str, str], tuple[str, int, i
 
     python_workers(requests.sparkSession)
     return requests.select("key", "model", "prompt").mapInPandas(run, SCHEMA)
+
+
+def answered(requests: DataFrame, cache: DataFrame, client: Callable[[str, str], tuple[str, int, int]], now: Column, ttl: int = ledger.TTL_SECONDS, **kw) -> tuple[DataFrame, DataFrame]:
+    """(answers, new entries): ``requests`` (id, key, model, prompt) through a cache (key, value, ts, ttl) in front of the client.
+
+    A live entry answers without a call. Of other requests each key is asked once, whatever number of them share it; the answers are written before they
+    are joined back, so that a lost executor or a second action does not ask again. New entries hold the successful answers only, to be appended to the
+    cache. Requests with a null key are never cached: each is asked on its own and has no entry. An id must be unique.
+    answers: id, key, content, success, cached, attempts, error_message.
+    """
+    requests = requests.withColumn("_key", F.coalesce(F.col("key"), F.concat(F.lit("\0"), F.col("id").cast("string"))))
+    known = ledger.live(ledger.latest(cache), now).select(F.col("key").alias("_key"), "value")
+    held = requests.join(known, "_key").select("id", "key", F.col("value").alias("content"), F.lit(True).alias("success"), F.lit(True).alias("cached"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_message"))
+    missing = requests.join(known, "_key", "left_anti")
+    asked = missing.groupBy("_key").agg(F.min(F.struct("model", "prompt")).alias("r")).select(F.col("_key").alias("key"), "r.model", "r.prompt")
+    done = written(complete(asked, client, **kw), "answers")
+    fresh = missing.join(done.withColumnRenamed("key", "_key"), "_key").select("id", "key", "content", "success", F.lit(False).alias("cached"), "attempts", "error_message")
+    entries = done.filter("success AND NOT startswith(key, '\0')").select("key", F.col("content").alias("value"), now.alias("ts"), F.lit(ttl).alias("ttl"))
+    return held.unionByName(fresh), entries

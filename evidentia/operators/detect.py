@@ -312,9 +312,15 @@ def magic_constants(insn: DataFrame, near: DataFrame | None = None) -> DataFrame
 
 
 def isa_patterns(insn: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(file_id, func, pattern, n, confidence) of the instruction patterns (pattern, mnemonic, min_occurrences, confidence) that occur often enough."""
-    own = insn.withColumn("_m", F.upper("mnemonic")).join(F.broadcast(patterns), F.col("_m") == F.upper(patterns["mnemonic"]))
-    return own.groupBy(*KEY, "pattern", "min_occurrences", "confidence").agg(F.count("*").alias("n")).filter("n >= min_occurrences").select(*KEY, "pattern", "n", "confidence")
+    """(file_id, func, pattern, n, confidence) of the instruction patterns (pattern, mnemonic, min_occurrences, confidence) that occur often enough.
+
+    Patterns with a column isa count for instructions of that column's value only. Instructions are counted by mnemonic before they meet the patterns.
+    """
+    isa = ["isa"] if "isa" in patterns.columns and "isa" in insn.columns else []
+    counted = insn.groupBy(*KEY, *isa, F.upper("mnemonic").alias("_m")).agg(F.count("*").alias("_n"))
+    rules = patterns.select(*isa, "pattern", F.upper("mnemonic").alias("_m"), "min_occurrences", "confidence")
+    own = counted.join(rules, [*isa, "_m"])
+    return own.groupBy(*KEY, "pattern", "min_occurrences", "confidence").agg(F.sum("_n").alias("n")).filter("n >= min_occurrences").select(*KEY, "pattern", "n", "confidence")
 
 
 def legacy_block_flags(counts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evidentia.functions.classify import algorithm_of_constant, constant_confidence, key_type
-from evidentia.functions.text import byte_values, entropy_of, has_keyword, hex_address, latin1, printable_runs
+from evidentia.functions.text import has_keyword, hex_address, latin1, printable_runs
 from evidentia.session import python_workers
 
 # Byte signatures by name, in hexadecimal.
@@ -310,28 +310,45 @@ def is_public_constant(hexed: Column) -> Column:
 def key_windows(sections: DataFrame, sizes=KEY_SIZES) -> DataFrame:
     """(file_id, section, offset, size, hexed): every byte window of every size that is a key candidate; the smallest size at each offset is kept.
 
-    A window has at least 4 distinct bytes, three tenths of it outside printable ASCII, an entropy of 3 bits or more, and is no public constant.
-    Windows are made and tested inside each row, cheap tests first; only candidates are exploded.
+    A window has three tenths of its bytes outside printable ASCII, an entropy of 3 bits or more, and is no public constant. A section's bytes are gone
+    over once a size: running counts of bytes outside ASCII leave few windows, which are tested some thousands at a time, so time and memory are linear
+    in a section. Null data and sections that are not longer than a window give none.
     """
+    python_workers(sections.sparkSession, 16)
     named = sections.filter(F.lower(F.col("name")).rlike(DATA_SECTIONS) & F.col("data").isNotNull())
-    rows = named.select("file_id", F.col("name").alias("section"), "vaddr", F.lower(F.hex("data")).alias("h"), byte_values(F.lower(F.hex("data"))).alias("all"), F.octet_length("data").alias("n"))
-    kept = None
-    for size in sizes:
-        starts = F.when(F.col("n") > size, F.sequence(F.lit(0), F.col("n") - size - 1)).otherwise(F.array().cast("array<int>"))
-        # 3 bits of entropy need 8 distinct values, which is cheap to test before a window is made.
-        good = F.filter(starts, _variety(size))
-        one = rows.select("file_id", "section", "vaddr", "h", "all", F.explode(good).alias("o"))
-        one = one.select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), F.lit(size).alias("size"), F.expr(f"substr(h, o * 2 + 1, {2 * size})").alias("hexed"), F.slice("all", F.col("o") + 1, size).alias("b"))
-        kept = one if kept is None else kept.unionByName(one)
-    odd = F.size(F.filter("b", lambda x: (x < 32) | (x > 126)))
-    valued = kept.filter((odd >= F.col("size") * 0.3) & ~is_public_constant(F.col("hexed")))
-    good = valued.filter((F.col("size") == 8) | (entropy_of(F.col("b")) >= 3.0 - 1e-9))
-    least = good.groupBy("file_id", "section", "offset").agg(F.min_by(F.struct("size", "hexed"), "size").alias("k"))
+    rows = named.select("file_id", F.col("name").alias("section"), F.col("vaddr").cast("long").alias("vaddr"), F.col("data").cast("binary").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch.column(3)):
+                raw = np.frombuffer(data.as_buffer(), np.uint8)
+                for size in sizes:
+                    for starts, windows in _key_like(raw, size):
+                        place = pa.array(np.full(len(starts), k))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(batch.column(c).take(place) for c in range(3)), pa.array(starts.astype(np.int64)), pa.array(np.full(len(starts), size, np.int32)), pa.array([w.tobytes() for w in windows], pa.binary())],
+                            ["file_id", "section", "vaddr", "o", "size", "window"],
+                        )
+
+    schema = rows.select("file_id", "section", "vaddr").schema.add("o", "long").add("size", "integer").add("window", "binary")
+    found = rows.mapInArrow(run, schema).select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), "size", F.lower(F.hex("window")).alias("hexed"))
+    least = found.filter(~is_public_constant(F.col("hexed"))).groupBy("file_id", "section", "offset").agg(F.min_by(F.struct("size", "hexed"), "size").alias("k"))
     return least.select("file_id", "section", "offset", "k.size", "k.hexed", key_type(F.col("k.size")).alias("key_type"))
 
 
-def _variety(size: int):
-    return lambda o: F.size(F.array_distinct(F.slice("all", o + 1, size))) >= 8
+def _key_like(raw: np.ndarray, size: int, step: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, windows) of the windows of ``size`` bytes that pass both tests, ``step`` at a time; the last window of all is left out."""
+    if len(raw) <= size:
+        return
+    odd = np.concatenate(([0], np.cumsum((raw < 32) | (raw > 126))))
+    starts = np.flatnonzero(odd[size : len(raw)] - odd[: len(raw) - size] >= size * 0.3)
+    views = np.lib.stride_tricks.sliding_window_view(raw, size)
+    for i in range(0, len(starts), step):
+        windows = views[starts[i : i + step]]
+        equal = (windows[:, :, None] == windows[:, None, :]).sum(axis=2)
+        good = -np.log2(equal / size).mean(axis=1) >= 3.0 - 1e-9
+        if good.any():
+            yield starts[i : i + step][good], windows[good]
 
 
 def first_keys(candidates: DataFrame, first: int = 10) -> DataFrame:

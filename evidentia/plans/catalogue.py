@@ -10,6 +10,7 @@ from evidentia.functions import classify, jsonfix, text as tx
 from evidentia.operators import detect, infer, inventory, job, ledger, report, scan
 from evidentia.plans import standins as st
 from evidentia.session import table
+from evidentia.sources import dictionaries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -233,12 +234,14 @@ def magic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.magic_constants(st.instructions(spark, sf_dir))
 
 
-ISA = (("xor_cipher", "EOR", 5, 0.6), ("xor_cipher", "XOR", 5, 0.6), ("rotation", "ROR", 3, 0.5), ("rotation", "LSL", 3, 0.5), ("table_lookup", "LDR", 4, 0.6))
-
-
-@query("WITH {FACTS}, p(pattern, m, least, confidence) AS (VALUES ('xor_cipher', 'eor', 5, 0.6::DOUBLE), ('xor_cipher', 'xor', 5, 0.6::DOUBLE), ('rotation', 'ror', 3, 0.5::DOUBLE), ('rotation', 'lsl', 3, 0.5::DOUBLE), ('table_lookup', 'ldr', 4, 0.6::DOUBLE)) SELECT file_id, func, pattern, count(*)::BIGINT AS n, confidence FROM insn JOIN p ON mnemonic = m GROUP BY ALL HAVING count(*) >= any_value(least)")
+@query("""WITH {FACTS}, p(isa, pattern, m, least, confidence) AS (VALUES ('ARM', 'xor_cipher', 'eor', 5, 0.6::DOUBLE), ('ARM', 'rotation', 'ror', 3, 0.5), ('ARM', 'rotation', 'lsl', 3, 0.5), ('ARM', 'table_lookup', 'ldr', 4, 0.6),
+('x86', 'xor_cipher', 'xor', 5, 0.6), ('x86', 'rotation', 'ror', 3, 0.5), ('x86', 'table_lookup', 'mov', 4, 0.6), ('MIPS', 'xor_cipher', 'xor', 5, 0.6), ('RISC-V', 'xor_cipher', 'xor', 5, 0.6), ('RISC-V', 'rotation', 'ror', 3, 0.5),
+('AVR', 'xor_cipher', 'eor', 5, 0.6), ('AVR', 'rotation', 'lsl', 3, 0.5), ('AVR', 'rotation', 'ror', 3, 0.5))
+SELECT file_id, func, pattern, count(*)::BIGINT AS n, confidence FROM insn JOIN p ON mnemonic = m AND isa = ['ARM', 'x86', 'MIPS', 'RISC-V', 'AVR'][file_id % 5 + 1] GROUP BY ALL HAVING count(*) >= any_value(least)""")
 def isa_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.isa_patterns(st.instructions(spark, sf_dir), spark.createDataFrame(ISA, "pattern string, mnemonic string, min_occurrences int, confidence double"))
+    """Instruction patterns of each function's architecture, from the dictionary file's table."""
+    isa = F.get(F.array(*(F.lit(a) for a in dictionaries.ISA["architectures"])), (F.col("file_id") % 5).cast("int"))
+    return detect.isa_patterns(st.instructions(spark, sf_dir).withColumn("isa", isa), dictionaries.isa_table(dictionaries.inline(spark, dictionaries.ISA)))
 
 
 @query("WITH {FACTS}, c AS (SELECT l_orderkey % 50 AS file_id, l_suppkey AS func, l_linenumber AS block, count(*) FILTER (l_partkey % 12 IN (0, 10)) AS n_xor, count(*) FILTER (l_partkey % 12 = 3) AS n_shift, count(*) FILTER (l_partkey % 12 = 6) AS n_tmp FROM lineitem GROUP BY ALL) SELECT *, concat_ws(',', CASE WHEN n_xor > 3 THEN 'xor' END, CASE WHEN n_shift > 2 THEN 'shift' END, CASE WHEN n_tmp > 5 THEN 'mixing' END) AS patterns FROM c WHERE n_xor > 3 OR n_shift > 2 OR n_tmp > 5")

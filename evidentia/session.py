@@ -31,21 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read again: it is computed once, lineage ends there, and a lost executor costs nothing of it.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below ``spark.checkpoint.dir``.
 
     Where that setting is unset, a local master takes a temporary folder; a cluster must name one that the driver and all executors share.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/evidentia-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/evidentia-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a shared folder and read again: it is computed once, lineage ends there, and a lost executor costs nothing of it."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def python_workers(spark: SparkSession, rows: int = 256) -> None:

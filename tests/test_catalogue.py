@@ -11,6 +11,7 @@ from pathlib import Path
 import pytest
 
 import evidentia.plans.findings  # noqa: F401  adds its queries
+import evidentia.plans.fusion  # noqa: F401  adds its queries
 from evidentia.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
