@@ -8,7 +8,7 @@ from evidentia.operators import evidence, scan
 from evidentia.plans.catalogue import query
 from evidentia.session import shared_folder, table
 from evidentia.sources import dictionaries
-from evidentia.streaming import batches
+from evidentia.streaming import answers, batches
 
 #: Stand-ins: names of functions and of algorithms, given to parts by number.
 NAMES = ("aes_sub_bytes", "shift_rows", "mod_exp", "expand_key", "SSL_write", "sha_compress", "pkcs_pad", "base64_decode", "xor_block", "rotl32", "ecdh", "add_words", "sign_message", "session handshake", "send", "main")
@@ -72,3 +72,18 @@ def stored_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = lambda df: batches.partial_totals(df.withColumn("day", F.to_date("ts")), by, "value")
     batches.start_batches(stream, f"{out}/table", f"{out}/state", change).awaitTermination()
     return batches.merged_totals(spark.read.parquet(f"{out}/table"), by)
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS key, ts FROM events),
+m AS (SELECT key, min(ts) AS began FROM e GROUP BY key UNION ALL SELECT m.key, min(e.ts) FROM m JOIN e ON e.key = m.key AND e.ts > m.began + INTERVAL 12 HOUR GROUP BY m.key),
+n AS (SELECT m.key, began, min(id) AS entry_id FROM m JOIN e ON e.key = m.key AND ts = began GROUP BY ALL)
+SELECT id, e.key, id <> entry_id AS hit, entry_id FROM e ASOF JOIN n ON e.key = n.key AND e.ts >= n.began""")
+def cached_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of requests by user, through a cache whose entries live twelve hours."""
+    events = table(spark, sf_dir, "events")
+    # All files are one micro-batch: a cache depends on the order of arrival, and files have none among themselves.
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    out = shared_folder(spark, "cached")
+    asked = answers.cached_requests(stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts"), ttl=12 * 3600)
+    batches.start_batches(asked, f"{out}/table", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("id", "key", "hit", "entry_id")

@@ -16,7 +16,7 @@ from evidentia.functions import adapter
 from evidentia.operators import evidence, scan
 from evidentia.plans import fusion
 from evidentia.sources import dictionaries, executables
-from evidentia.streaming import batches
+from evidentia.streaming import answers, batches
 
 
 def elf(wide: bool, order: str, machine: int) -> bytes:
@@ -196,3 +196,47 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     spark.createDataFrame([("c", 2.5)], schema).write.mode("append").parquet(str(source))
     run()
     assert totals() == sorted([*want, "('c', 1, 2.5)"])
+
+
+def _asked(requests, ttl):
+    """Plain Python: hit and entry of requests (id, key, seconds) in order of arrival."""
+    live, out = {}, []
+    for i, k, t in requests:
+        if k is None or not t:
+            out.append((i, k, False, None))
+            continue
+        hit = k in live and t - live[k][0] <= ttl
+        if not hit:
+            live[k] = (t, i)
+        out.append((i, k, hit, live[k][1]))
+    return out
+
+
+def test_cache_in_a_stream_equals_plain_python(spark, tmp_path):
+    """Three runs of one stream, the state kept between them; ties, the last moment of an entry, null keys and times, a hot key."""
+    source, out, draw = tmp_path / "in", str(tmp_path / "out"), random.Random(5)
+    parts = [
+        [(0, "a", 1), (1, "a", 60), (2, "a", 60), (3, "b", 10), (4, None, 10), (5, "c", None), (400, "c", 0)],
+        [(6, "a", 101), (7, "a", 102), (8, "b", 130), (9, None, 131), *((10 + i, "a", 140 + i // 3) for i in range(300))],
+        [(1000 + i, draw.choice("aaab"), 260 + i // 4) for i in range(2000)],
+    ]
+    schema = "id long, key string, at long"
+    for rows in parts:
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(df.schema).parquet(str(source)).withColumn("hit", F.lit("x"))
+        batches.start_batches(answers.cached_requests(stream, ttl=100, late="5 seconds"), out, str(tmp_path / "state")).awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(out).select("id", "key", "hit", "entry_id").collect()}
+    assert got == set(_asked([r for rows in parts for r in rows], 100))
+    assert spark.read.parquet(out).count() == sum(map(len, parts))
+
+
+def test_cache_in_a_stream_of_nothing_and_of_equal_times(spark, tmp_path):
+    source, schema = tmp_path / "in", "id string, key long, ts timestamp"
+    run = lambda: batches.start_batches(answers.cached_requests(spark.readStream.schema(schema).parquet(str(source)), ttl=0), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(str(source))
+    run()
+    spark.sql("SELECT CAST(id AS STRING) AS id, 7L AS key, TIMESTAMP'2024-01-01' AS ts FROM range(5)").coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("id", "key", "hit", "entry_id").collect())
+    assert got == [("0", 7, False, "0"), *((str(i), 7, True, "0") for i in range(1, 5))]
