@@ -229,3 +229,9 @@ def whole_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 12).alias("file_id"))
     strings = table(spark, sf_dir, "conversations").select(((F.col("conv_id") % 4) * 3).alias("file_id"), F.col("text").alias("string"))
     return job.analysed(files, strings, st.instructions(spark, sf_dir), st.loops(spark, sf_dir), st.loop_insn(spark, sf_dir), st.functions(spark, sf_dir), catalogue.tags(spark, sf_dir))
+
+
+@query("WITH {FACTS}, b AS (SELECT file_id, func, count(DISTINCT (ord // 10) % (func % 19 + 2)) AS n FROM insn GROUP BY ALL) SELECT file_id, func FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, func) AS rn FROM b) WHERE rn <= 5")
+def most_block_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five functions with most blocks of each file."""
+    return job.most_blocks(st.loop_insn(spark, sf_dir), 5)
