@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evidentia.functions.classify import algorithm_of_constant, constant_confidence, key_type
 from evidentia.functions.text import has_keyword, hex_address, latin1, printable_runs
-from evidentia.session import python_workers
+from evidentia.session import python_workers, written
 
 # Byte signatures by name, in hexadecimal.
 SIGNATURES = {
@@ -55,6 +55,10 @@ PUBLIC_CONSTANTS = (
 )
 PUBLIC_PREFIXES = ("637c777bf26b6fc5", "52096ad53036a538", "6a09e667", "67452301")
 KEY_SIZES = (8, 16, 24, 32)
+#: So many bytes of sections are searched for keys at a time.
+KEY_STEP = 1 << 16
+#: Up to so many names of sections that a file has more than once are broadcast; more are joined by a shuffle.
+SEVERAL = 100_000
 #: Sections that may hold keys.
 DATA_SECTIONS = r"\.data|\.rodata|\.rdata|__data|__const|__rodata"
 
@@ -296,59 +300,113 @@ def interesting_strings(sections: DataFrame, first: int = 100, closed: bool = Fa
     return found.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= first).join(total, "file_id").select("file_id", "section", "ord", "string", "total_found")
 
 
-def is_public_constant(hexed: Column) -> Column:
-    """Whether the bytes hold a whole public constant or start with a known prefix (byte-aligned)."""
-    whole = None
-    for c in PUBLIC_CONSTANTS:
-        hit = hexed.rlike(f"^(?:[0-9a-f]{{2}})*?{c}")
-        whole = hit if whole is None else whole | hit
-    for p in PUBLIC_PREFIXES:
-        whole = whole | hexed.startswith(p)
-    return whole
-
-
 def key_windows(sections: DataFrame, sizes=KEY_SIZES) -> DataFrame:
     """(file_id, section, offset, size, hexed): every byte window of every size that is a key candidate; the smallest size at each offset is kept.
 
-    A window has three tenths of its bytes outside printable ASCII, an entropy of 3 bits or more, and is no public constant. A section's bytes are gone
-    over once a size: running counts of bytes outside ASCII leave few windows, which are tested some thousands at a time, so time and memory are linear
-    in a section. Null data and sections that are not longer than a window give none.
+    A window has three tenths of its bytes outside printable ASCII, an entropy of 3 bits or more, and is no public constant. The bytes of a batch of
+    sections are searched together, KEY_STEP of them at a time and only where no smaller window was found, so time is linear in the bytes and memory
+    follows a batch. Sections of one name in one file can overlap: only their windows are grouped by offset, those of all other sections are not
+    exchanged. Null data and sections that are not longer than a window give none.
     """
-    python_workers(sections.sparkSession, 16)
-    named = sections.filter(F.lower(F.col("name")).rlike(DATA_SECTIONS) & F.col("data").isNotNull())
-    rows = named.select("file_id", F.col("name").alias("section"), F.col("vaddr").cast("long").alias("vaddr"), F.col("data").cast("binary").alias("data"))
+    spark = sections.sparkSession
+    python_workers(spark)
+    rows = sections.filter(F.lower(F.col("name")).rlike(DATA_SECTIONS)).select("file_id", F.col("name").alias("section"), F.col("vaddr").cast("long").alias("vaddr"), F.col("data").cast("binary").alias("data"))
+    if sections.isStreaming:
+        return _with_type(_least(_windows(rows, sizes)))
+    several = written(rows.groupBy("file_id", "section").count().filter("count > 1").select(F.col("file_id").alias("_f"), F.col("section").alias("_s")), "sections")
+    held = several.count()
+    if not held:
+        return _with_type(_windows(rows, sizes))
+    several = F.broadcast(several) if held <= SEVERAL else several
+    same = F.col("file_id").eqNullSafe(F.col("_f")) & F.col("section").eqNullSafe(F.col("_s"))
+    alone, some = (_windows(rows.join(several, same, how), sizes) for how in ("left_anti", "left_semi"))
+    return _with_type(alone.unionByName(_least(some)))
+
+
+def _with_type(found: DataFrame) -> DataFrame:
+    return found.select("file_id", "section", "offset", "size", "hexed", key_type(F.col("size")).alias("key_type"))
+
+
+def _least(found: DataFrame) -> DataFrame:
+    """The smallest window at each offset of a file's sections of one name."""
+    least = found.groupBy("file_id", "section", "offset").agg(F.min_by(F.struct("size", "hexed"), "size").alias("k"))
+    return least.select("file_id", "section", "offset", "k.size", "k.hexed")
+
+
+def _windows(rows: DataFrame, sizes) -> DataFrame:
+    """(file_id, section, offset, size, hexed): the smallest key-like window at each offset of each row of (file_id, section, vaddr, data)."""
+    sizes = sorted(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in enumerate(batch.column(3)):
-                raw = np.frombuffer(data.as_buffer(), np.uint8)
-                for size in sizes:
-                    for starts, windows in _key_like(raw, size):
-                        place = pa.array(np.full(len(starts), k))
-                        yield pa.RecordBatch.from_arrays(
-                            [*(batch.column(c).take(place) for c in range(3)), pa.array(starts.astype(np.int64)), pa.array(np.full(len(starts), size, np.int32)), pa.array([w.tobytes() for w in windows], pa.binary())],
-                            ["file_id", "section", "vaddr", "o", "size", "window"],
-                        )
+            for place, starts, lengths, windows in _key_like(batch.column(3), sizes):
+                cuts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(windows)])
+                taken = (batch.column(c).take(pa.array(place)) for c in range(3))
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(starts), pa.array(lengths), packed], ["file_id", "section", "vaddr", "o", "size", "window"])
 
     schema = rows.select("file_id", "section", "vaddr").schema.add("o", "long").add("size", "integer").add("window", "binary")
-    found = rows.mapInArrow(run, schema).select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), "size", F.lower(F.hex("window")).alias("hexed"))
-    least = found.filter(~is_public_constant(F.col("hexed"))).groupBy("file_id", "section", "offset").agg(F.min_by(F.struct("size", "hexed"), "size").alias("k"))
-    return least.select("file_id", "section", "offset", "k.size", "k.hexed", key_type(F.col("k.size")).alias("key_type"))
+    found = rows.select("file_id", "section", "vaddr", "data").mapInArrow(run, schema)
+    return found.select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), "size", F.lower(F.hex("window")).alias("hexed"))
 
 
-def _key_like(raw: np.ndarray, size: int, step: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(starts, windows) of the windows of ``size`` bytes that pass both tests, ``step`` at a time; the last window of all is left out."""
-    if len(raw) <= size:
+def _key_like(data: pa.Array, sizes: list[int], step: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """(rows, starts, sizes, bytes) of the smallest window that passes all tests at each place of ``data``, ``step`` places at a time.
+
+    The last window of a row is left out. Entropy is taken from sorted windows: the r-th equal byte of a run adds r log r - (r - 1) log (r - 1).
+    """
+    data = data.fill_null(b"")
+    if not len(data) or data.buffers()[2] is None:
         return
-    odd = np.concatenate(([0], np.cumsum((raw < 32) | (raw > 126))))
-    starts = np.flatnonzero(odd[size : len(raw)] - odd[: len(raw) - size] >= size * 0.3)
-    views = np.lib.stride_tricks.sliding_window_view(raw, size)
-    for i in range(0, len(starts), step):
-        windows = views[starts[i : i + step]]
-        equal = (windows[:, :, None] == windows[:, None, :]).sum(axis=2)
-        good = -np.log2(equal / size).mean(axis=1) >= 3.0 - 1e-9
-        if good.any():
-            yield starts[i : i + step][good], windows[good]
+    step = step or KEY_STEP
+    cuts = np.frombuffer(data.buffers()[1], np.int64 if pa.types.is_large_binary(data.type) else np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    whole = np.frombuffer(data.buffers()[2], np.uint8)[: cuts[-1]]
+    ranks = np.arange(1, max(sizes) + 1, dtype=float)
+    adds = np.diff(np.concatenate(([0.0], ranks * np.log2(ranks))), prepend=0.0)
+    for a in range(int(cuts[0]), int(cuts[-1]), step):
+        b = min(a + step, int(cuts[-1]))
+        raw = whole[a : b + max(sizes) - 1]
+        first, last = np.searchsorted(cuts, a, "right") - 1, np.searchsorted(cuts, b, "left")
+        place = np.repeat(np.arange(first, last), np.diff(np.clip(cuts[first : last + 1], a, b)))
+        room = cuts[place + 1] - np.arange(a, b)
+        odd = np.concatenate(([0], np.cumsum((raw < 32) | (raw > 126))))
+        known = _public_in(raw.tobytes())
+        free, parts = np.ones(b - a, bool), []
+        for size in sizes:
+            n = min(b - a, len(raw) - size + 1)
+            if n <= 0:
+                break
+            able = free[:n] & (room[:n] > size) & (odd[size : size + n] - odd[:n] >= size * 0.3)
+            for p, length, anywhere in known:
+                if length <= size:
+                    able[max(p - size + length, 0) if anywhere else p : p + 1] = False
+            at = np.flatnonzero(able)
+            if not len(at):
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(raw, size)[at]
+            columns = np.ascontiguousarray(np.sort(windows, axis=1).T)
+            rank, total = np.ones(len(at), np.intp), np.zeros(len(at))
+            for i in range(1, size):
+                rank = np.where(columns[i] == columns[i - 1], rank + 1, 1)
+                total += adds[rank]
+            good = np.log2(size) - total / size >= 3.0 - 1e-9
+            free[at[good]] = False
+            parts.append((at[good], size, windows[good].tobytes()))
+        at = np.concatenate([np.empty(0, np.int64), *(p[0] for p in parts)])
+        if len(at):
+            yield place[at], a + at - cuts[place[at]], np.concatenate([np.full(len(p[0]), p[1], np.int32) for p in parts]), b"".join(p[2] for p in parts)
+
+
+def _public_in(data: bytes) -> list[tuple[int, int, bool]]:
+    """(place, length, anywhere) of public values in ``data``: whole constants spoil every window that holds them, prefixes the one that they start."""
+    found = []
+    for values, anywhere in ((PUBLIC_CONSTANTS, True), (PUBLIC_PREFIXES, False)):
+        for value in map(bytes.fromhex, values):
+            p = data.find(value)
+            while p >= 0:
+                found.append((p, len(value), anywhere))
+                p = data.find(value, p + 1)
+    return found
 
 
 def first_keys(candidates: DataFrame, first: int = 10) -> DataFrame:

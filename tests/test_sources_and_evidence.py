@@ -9,15 +9,18 @@ import struct
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import adapter
 from evidentia.operators import evidence, scan
-from evidentia.plans import fusion
+from evidentia.plans import catalogue, fusion
 from evidentia.sources import dictionaries, executables
 from evidentia.streaming import answers, batches
 
+SF = "/root/testdata/sf0.001"
+
 
 def elf(wide: bool, order: str, machine: int) -> bytes:
     """Header, one .text of 8 bytes and the names, then the section table."""
@@ -147,6 +150,49 @@ def test_key_windows_are_those_of_plain_python(spark):
     assert {v[0] for v in got.values()} >= {8, 16}
 
 
+@pytest.mark.parametrize("step", [1, 7, 64, None])
+def test_key_windows_of_a_whole_batch_at_any_step(step):
+    r = random.Random(4)
+    constants = [bytes.fromhex(c) for c in (*scan.PUBLIC_CONSTANTS, *scan.PUBLIC_PREFIXES)]
+    blobs = [bytes(r.choice([1, 65, 200, 201, 202, 203, r.randrange(256)]) for _ in range(r.randrange(60))) + (r.choice(constants) + r.randbytes(r.randrange(40)) if i % 3 == 0 else b"") for i in range(60)]
+    blobs[5:5] = [None, b"", None]
+    data = pa.array([b"cut off", *blobs, b"too"], pa.binary())[1:-1]
+    got = {}
+    for rows, starts, sizes, packed in scan._key_like(data, list(scan.KEY_SIZES), step):
+        for i, o, size in zip(rows.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+            assert (i, o) not in got
+            got[i, o], packed = (size, packed[:size].hex()), packed[size:]
+    assert got == {(i, o): v for i, b in enumerate(blobs) for o, v in plain_keys(b or b"").items()} and {v[0] for v in got.values()} == set(scan.KEY_SIZES)
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_only_sections_that_can_overlap_are_grouped(spark, monkeypatch, bound):
+    """Windows of a file's only section of a name go out as they are; sections that overlap give each offset once, with its smallest window."""
+    monkeypatch.setattr(scan, "SEVERAL", bound)
+    schema = "file_id long, name string, vaddr long, data binary"
+    one, two = random.Random(1).randbytes(60), b"\x01" * 8 + random.Random(2).randbytes(60)
+    single = spark.createDataFrame([(1, ".data", 0, bytearray(one)), (1, ".rodata", 0, bytearray(one)), (2, ".data", 5, None), (None, ".data", 0, bytearray(two))], schema)
+    found = scan.key_windows(single)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+    assert found.count() == 2 * len(plain_keys(one)) + len(plain_keys(two))
+    rows = [(f, ".data", v, bytearray(d)) for f in (7, None) for v, d in ((100, one), (110, two))] + [(8, ".data", 100, bytearray(two))]
+    got = [(x["file_id"], x["offset"], x["size"]) for x in scan.key_windows(spark.createDataFrame(rows, schema)).collect()]
+    want = {}
+    for f, _, v, d in rows:
+        for o, (size, _) in plain_keys(bytes(d)).items():
+            want[f, v + o] = min(size, want.get((f, v + o), 99))
+    assert sorted(map(repr, got)) == sorted(repr((*k, size)) for k, size in want.items())
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no driver tables")
+def test_keys_of_a_table_of_one_row_group_are_searched_in_many_tasks(spark):
+    found = catalogue.key_candidates(spark, SF)
+    assert found.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan[plan.index("Exchange") :]
+
+
 def test_keys_of_whole_texts(spark, tmp_path):
     texts = [(0, "plain words only " * 50), (1, "é" * 40), (2, "αβγδεζηθικλμνξοπρστυφχψω ünd ñandú çédille " * 4), (3, None), (4, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
