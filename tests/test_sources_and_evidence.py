@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import adapter
 from evidentia.operators import evidence, scan
-from evidentia.plans import catalogue, fusion
+from evidentia.plans import catalogue, findings, fusion
 from evidentia.sources import dictionaries, executables
 from evidentia.streaming import answers, batches
 
@@ -193,6 +193,19 @@ def test_keys_of_a_table_of_one_row_group_are_searched_in_many_tasks(spark):
     assert "sha2" not in plan[plan.index("Exchange") :]
 
 
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no driver tables")
+def test_first_keys_are_cut_before_their_only_exchange(spark):
+    """Windows are not grouped by offset first, and of a file's windows a task gives out ten at most."""
+    plan = findings.first_keys(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "Partial" in plan[plan.index("WindowGroupLimit") :]
+    found = {}
+    for x in catalogue.key_candidates(spark, SF).collect():
+        found.setdefault(x["file_id"], []).append((x["offset"], x["size"], x["hexed"]))
+    want = {(f, o + 1, *v, len(rows)) for f, rows in found.items() for o, v in enumerate(sorted(rows)[:10])}
+    got = [(x["file_id"], x["ord"], x["offset"], x["size"], x["hexed"], x["total_found"]) for x in findings.first_keys(spark, SF).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_keys_of_whole_texts(spark, tmp_path):
     texts = [(0, "plain words only " * 50), (1, "é" * 40), (2, "αβγδεζηθικλμνξοπρστυφχψω ünd ñandú çédille " * 4), (3, None), (4, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
