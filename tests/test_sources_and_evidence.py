@@ -213,6 +213,12 @@ def test_keys_of_whole_texts(spark, tmp_path):
     assert got == {(i, o): v for i, t in texts for o, v in plain_keys((t or "").encode()).items()} and got
 
 
+def test_keys_of_whole_texts_are_not_exchanged(spark, tmp_path):
+    spark.createDataFrame([(i, "é" * i) for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = fusion.text_keys(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Aggregate" not in plan
+
+
 def test_each_key_is_asked_once_and_live_entries_never(spark, tmp_path):
     folder = str(tmp_path)
 
