@@ -7,6 +7,7 @@ import math
 import random
 import struct
 import uuid
+from datetime import datetime
 from pathlib import Path
 
 import pyarrow as pa
@@ -305,3 +306,22 @@ def test_cache_in_a_stream_of_nothing_and_of_equal_times(spark, tmp_path):
     run()
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("id", "key", "hit", "entry_id").collect())
     assert got == [("0", 7, False, "0"), *((str(i), 7, True, "0") for i in range(1, 5))]
+
+
+@pytest.mark.parametrize("kind,key", [("string", lambda n: f"k{n}"), ("double", lambda n: n - 20.0), ("binary", lambda n: bytearray([255, n])), ("timestamp", lambda n: datetime(2024, 1, 1, microsecond=n))])
+def test_cache_in_a_stream_keeps_many_keys_in_few_rows_of_state(spark, tmp_path, kind, key):
+    """Keys share buckets and are judged apart; their entries outlive a run, and go when the watermark has passed their ends, with or without new rows."""
+    source, out, draw = tmp_path / "in", str(tmp_path / "out"), random.Random(8)
+    parts = [[(1000 * p + i, draw.randrange(40), start + i // 3) for i in range(500)] for p, start in enumerate((1, 170))] + [[(9000, 7, 10_000)]]
+    schema = f"id long, key {kind}, at long"
+    for rows in parts:
+        df = spark.createDataFrame([(i, key(k), t) for i, k, t in rows], schema).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(str(source))
+        asked = answers.cached_requests(spark.readStream.schema(df.schema).parquet(str(source)), ttl=50, late="5 seconds", buckets=3)
+        run = batches.start_batches(asked, out, str(tmp_path / "state"))
+        run.awaitTermination()
+        assert 0 < run.lastProgress.stateOperators[0].numRowsTotal <= (3 if rows[0][0] < 9000 else 1)
+    native = lambda v: bytes(v) if kind == "binary" else v
+    got = [(x["id"], native(x["key"]), x["hit"], x["entry_id"]) for x in spark.read.parquet(out).collect()]
+    want = [(i, native(key(k)), hit, e) for i, k, hit, e in _asked([r for rows in parts for r in rows], 50)]
+    assert sorted(got) == sorted(want)
