@@ -308,9 +308,7 @@ def key_windows(sections: DataFrame, sizes=KEY_SIZES) -> DataFrame:
     follows a batch. Sections of one name in one file can overlap: only their windows are grouped by offset, those of all other sections are not
     exchanged. Null data and sections that are not longer than a window give none.
     """
-    spark = sections.sparkSession
-    python_workers(spark)
-    rows = sections.filter(F.lower(F.col("name")).rlike(DATA_SECTIONS)).select("file_id", F.col("name").alias("section"), F.col("vaddr").cast("long").alias("vaddr"), F.col("data").cast("binary").alias("data"))
+    rows = _data_sections(sections)
     if sections.isStreaming:
         return _with_type(_least(_windows(rows, sizes)))
     several = written(rows.groupBy("file_id", "section").count().filter("count > 1").select(F.col("file_id").alias("_f"), F.col("section").alias("_s")), "sections")
@@ -323,6 +321,11 @@ def key_windows(sections: DataFrame, sizes=KEY_SIZES) -> DataFrame:
     return _with_type(alone.unionByName(_least(some)))
 
 
+def _data_sections(sections: DataFrame) -> DataFrame:
+    python_workers(sections.sparkSession)
+    return sections.filter(F.lower(F.col("name")).rlike(DATA_SECTIONS)).select("file_id", F.col("name").alias("section"), F.col("vaddr").cast("long").alias("vaddr"), F.col("data").cast("binary").alias("data"))
+
+
 def _with_type(found: DataFrame) -> DataFrame:
     return found.select("file_id", "section", "offset", "size", "hexed", key_type(F.col("size")).alias("key_type"))
 
@@ -333,21 +336,45 @@ def _least(found: DataFrame) -> DataFrame:
     return least.select("file_id", "section", "offset", "k.size", "k.hexed")
 
 
-def _windows(rows: DataFrame, sizes) -> DataFrame:
-    """(file_id, section, offset, size, hexed): the smallest key-like window at each offset of each row of (file_id, section, vaddr, data)."""
+def _windows(rows: DataFrame, sizes, first: int | None = None) -> DataFrame:
+    """(file_id, section, offset, size, hexed): the smallest key-like window at each offset of each row of (file_id, section, vaddr, data).
+
+    With ``first``, only so many windows of each row, numbered from 1 by ``ord``, and the count of all of them as ``total_found``.
+    """
     sizes = sorted(sizes)
+    names = ["file_id", "section", "vaddr", "o", "size", "window"]
+
+    def found_in(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+        for place, starts, lengths, windows in _key_like(batch.column(3), sizes):
+            cuts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(windows)])
+            taken = (batch.column(c).take(pa.array(place)) for c in range(3))
+            yield place, starts, pa.RecordBatch.from_arrays([*taken, pa.array(starts), pa.array(lengths), packed], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, starts, lengths, windows in _key_like(batch.column(3), sizes):
-                cuts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(windows)])
-                taken = (batch.column(c).take(pa.array(place)) for c in range(3))
-                yield pa.RecordBatch.from_arrays([*taken, pa.array(starts), pa.array(lengths), packed], ["file_id", "section", "vaddr", "o", "size", "window"])
+            yield from (found for _, _, found in found_in(batch))
+
+    def run_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Windows come some places at a time, so a row's count is known at the batch's end only; until then at most ``first`` of it are held.
+            total, held = np.zeros(batch.num_rows, np.int64), []
+            for place, starts, found in found_in(batch):
+                order = np.lexsort((starts, place))
+                row = place[order]
+                nth = total[row] + np.arange(1, len(row) + 1) - np.searchsorted(row, row)
+                total += np.bincount(row, minlength=len(total))
+                early = nth <= first
+                held.append((row[early], nth[early], found.take(pa.array(order[early]))))
+            for row, nth, found in held:
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(nth.astype(np.int32)), pa.array(total[row])], [*names, "ord", "total_found"])
 
     schema = rows.select("file_id", "section", "vaddr").schema.add("o", "long").add("size", "integer").add("window", "binary")
-    found = rows.select("file_id", "section", "vaddr", "data").mapInArrow(run, schema)
-    return found.select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), "size", F.lower(F.hex("window")).alias("hexed"))
+    if first is not None:
+        schema = schema.add("ord", "integer").add("total_found", "long")
+    found = rows.select("file_id", "section", "vaddr", "data").mapInArrow(run if first is None else run_first, schema)
+    return found.select("file_id", "section", (F.col("vaddr") + F.col("o")).alias("offset"), "size", F.lower(F.hex("window")).alias("hexed"), *(() if first is None else ("ord", "total_found")))
 
 
 def _key_like(data: pa.Array, sizes: list[int], step: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
@@ -411,6 +438,22 @@ def _public_in(data: bytes) -> list[tuple[int, int, bool]]:
 
 def first_keys(candidates: DataFrame, first: int = 10) -> DataFrame:
     """The ``first`` key candidates of each file by offset, with the file's total and flag."""
-    total = candidates.groupBy("file_id").agg(F.count("*").alias("total_found"))
+    total = candidates.groupBy(F.col("file_id").alias("_f")).agg(F.count("*").alias("total_found"))
     ranked = candidates.withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("offset", "section")))
-    return ranked.filter(F.col("ord") <= first).join(total, "file_id").withColumn("has_hardcoded_keys", F.lit(True))
+    return ranked.filter(F.col("ord") <= first).join(total, F.col("file_id").eqNullSafe(F.col("_f"))).drop("_f").withColumn("has_hardcoded_keys", F.lit(True))
+
+
+def first_key_windows(sections: DataFrame, sizes=KEY_SIZES, first: int = 10) -> DataFrame:
+    """The rows of ``first_keys(key_windows(sections))``; a file with one data section is searched once, and is cut and counted where it is searched.
+
+    Only the windows of files with several data sections are counted by file, ranked and exchanged; a count of such files is written first.
+    """
+    rows = _data_sections(sections)
+    sums = rows.groupBy(F.col("file_id").alias("_f")).agg(F.count("*").alias("n"), F.count_distinct("section").alias("n_names"))
+    several = written(sums.filter("n > 1"), "files")
+    held, named_twice = several.agg(F.count("*"), F.count_if(F.col("n") > F.col("n_names"))).first()
+    several = F.broadcast(several) if held <= SEVERAL else several
+    alone, some = (rows.join(several, F.col("file_id").eqNullSafe(F.col("_f")), how) for how in ("left_anti", "left_semi"))
+    shared = _least(_windows(some, sizes)) if named_twice else _windows(some, sizes)
+    own = _windows(alone, sizes, first).select("file_id", "section", "offset", "size", "hexed", key_type(F.col("size")).alias("key_type"), "ord", "total_found", F.lit(True).alias("has_hardcoded_keys"))
+    return own.unionByName(first_keys(_with_type(shared), first))

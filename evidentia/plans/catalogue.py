@@ -141,6 +141,15 @@ def entropy_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY_EVENTS = 50_000
 
 
+def key_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of events, cut at lengths of up to 32 bytes, as data sections."""
+    h = F.sha2(F.concat(F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.date_format("ts", "SSSSSS") != "000000", F.concat(F.lit("."), F.regexp_replace(F.date_format("ts", "SSSSSS"), "0+$", ""))).otherwise("")), 256)
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    # A file of one row group would be one task.
+    events = events.repartition(max(spark.sparkContext.defaultParallelism, events.count() // KEY_EVENTS), "event_id")
+    return events.select(F.col("event_id").alias("file_id"), F.lit(".data").alias("name"), F.lit(0).cast("long").alias("vaddr"), F.unhex(F.substr(h, F.lit(1), (2 + (F.col("event_id") % 60) * 2).cast("int"))).alias("data"))
+
+
 @query("""
 WITH t AS (SELECT event_id, sha256(event_id::VARCHAR || ts::VARCHAR)[1:2 + (event_id % 60) * 2] AS h FROM events),
 w AS (SELECT event_id, k AS size, o, h[o * 2 + 1 : o * 2 + 2 * k] AS x FROM t, (VALUES (8), (16), (24), (32)) AS s(k), generate_series(0, 31) AS g(o) WHERE o + k < length(h) // 2),
@@ -151,12 +160,7 @@ SELECT event_id AS file_id, o::BIGINT AS "offset", min(size)::INT AS size, arg_m
 """)
 def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-like windows of every byte string; here digests of events, cut at lengths of up to 32 bytes."""
-    h = F.sha2(F.concat(F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.date_format("ts", "SSSSSS") != "000000", F.concat(F.lit("."), F.regexp_replace(F.date_format("ts", "SSSSSS"), "0+$", ""))).otherwise("")), 256)
-    events = table(spark, sf_dir, "events").select("event_id", "ts")
-    # A file of one row group would be one task.
-    events = events.repartition(max(spark.sparkContext.defaultParallelism, events.count() // KEY_EVENTS), "event_id")
-    rows = events.select(F.col("event_id").alias("file_id"), F.lit(".data").alias("name"), F.lit(0).cast("long").alias("vaddr"), F.unhex(F.substr(h, F.lit(1), (2 + (F.col("event_id") % 60) * 2).cast("int"))).alias("data"))
-    return scan.key_windows(rows).select("file_id", "offset", "size", "hexed")
+    return scan.key_windows(key_sections(spark, sf_dir)).select("file_id", "offset", "size", "hexed")
 
 
 @query("WITH {FACTS} SELECT file_id, func, x AS xor_count, CASE WHEN x >= 8 THEN 'key_schedule or stream_cipher' WHEN x >= 5 THEN 'key_mixing or round_function' WHEN x >= 3 THEN 'basic_crypto_operation' ELSE 'unknown' END AS pattern_type, CASE WHEN x >= 5 THEN 'strong' ELSE 'moderate' END AS crypto_indicator FROM counts WHERE x >= 2")

@@ -40,8 +40,7 @@ def interesting_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY "offset") AS ord, count(*) OVER (PARTITION BY file_id)::BIGINT AS total_found FROM ({ORACLE["key_candidates"]})) WHERE ord <= 10""")
 def first_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten key candidates of each file: the cap is the feature; total_found counts all."""
-    found = catalogue.QUERIES["key_candidates"](spark, sf_dir).withColumn("section", F.lit(".data")).withColumn("key_type", classify.key_type(F.col("size")))
-    return scan.first_keys(found)
+    return scan.first_key_windows(catalogue.key_sections(spark, sf_dir))
 
 
 @query("""WITH a AS (SELECT p_partkey AS file_id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS arch, p_size AS bits FROM part), b AS (SELECT s_suppkey * 2 AS file_id, s_name AS arch, NULL::INT AS bits FROM supplier)

@@ -207,6 +207,35 @@ def test_first_keys_are_cut_before_their_only_exchange(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no driver tables")
+def test_first_keys_of_files_of_one_section_are_searched_once_and_not_exchanged(spark):
+    found = findings.first_keys(spark, SF)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow") == 1 and "Window" not in final and "Exchange" not in final[: final.index("MapInArrow")]
+
+
+@pytest.mark.parametrize("step", [50, 1 << 16])
+@pytest.mark.parametrize("names", [(".data", ".rodata"), (".data", ".data")])
+def test_first_keys_of_any_sections(spark, monkeypatch, names, step):
+    """Files of one section and of several, of one name or not, long rows and null ids: the first ten of all windows, and the count of all."""
+    monkeypatch.setattr(scan, "_key_like", lambda data, sizes, f=scan._key_like: f(data, sizes, step))
+    r = random.Random(7)
+    rows = [(1, ".data", 0, r.randbytes(300)), (2, ".data", 0, None), (3, ".data", 9, r.randbytes(12)), (4, ".text", 0, r.randbytes(50)), (5, ".rodata", 7, b"\x01" * 70 + r.randbytes(80)), (6, ".data", 0, b"")]
+    rows += [(f, name, v, r.randbytes(n)) for f in (8, None) for name, v, n in zip(names, (100, 112), (15, 60), strict=True)] + [(9, ".data", 0, r.randbytes(40)), (9, ".text", 0, r.randbytes(40))]
+    sections = spark.createDataFrame([(f, n, v, d if d is None else bytearray(d)) for f, n, v, d in rows], "file_id long, name string, vaddr long, data binary")
+    found = {}
+    for f, n, v, d in rows:
+        for o, (size, hexed) in plain_keys(d or b"").items() if n != ".text" else ():
+            at = found.setdefault(f, {})
+            at[v + o, n] = min((size, hexed), at.get((v + o, n), (99, "")))
+    want = [(f, n, o, *k, i + 1, len(at)) for f, at in found.items() for i, ((o, n), k) in enumerate(sorted(at.items())[:10])]
+    got = scan.first_key_windows(sections)
+    assert got.filter("NOT has_hardcoded_keys OR key_type IS NULL").isEmpty()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in got.select("file_id", "section", "offset", "size", "hexed", "ord", "total_found").collect())
+    assert {f for f, *_ in want} == {1, 3, 5, 8, 9, None} and max(x[-1] for x in want) > 200
+
+
 def test_keys_of_whole_texts(spark, tmp_path):
     texts = [(0, "plain words only " * 50), (1, "é" * 40), (2, "αβγδεζηθικλμνξοπρστυφχψω ünd ñandú çédille " * 4), (3, None), (4, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
