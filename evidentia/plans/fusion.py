@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.operators import evidence, scan
 from evidentia.plans.catalogue import query
-from evidentia.session import shared_folder, table
+from evidentia.session import shared_folder, spread, table
 from evidentia.sources import dictionaries
 from evidentia.streaming import answers, batches
 
@@ -55,10 +55,15 @@ def operation_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", evidence.operation_of(name).alias("operation"), evidence.role_of(name).alias("role"))
 
 
+#: So many documents can be searched for keys in a task, whatever the others have.
+KEY_DOCUMENTS = 5_000
+
+
 @query()
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-like windows of all sizes at every byte of every document."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit(".data").alias("name"), F.lit(0).cast("long").alias("vaddr"), F.col("text").cast("binary").alias("data"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY_DOCUMENTS, "doc_id")
+    rows = documents.select(F.col("doc_id").alias("file_id"), F.lit(".data").alias("name"), F.lit(0).cast("long").alias("vaddr"), F.col("text").cast("binary").alias("data"))
     return scan.key_windows(rows).select("file_id", "offset", "size", "hexed", "key_type")
 
 

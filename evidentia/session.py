@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def session(app: str = "evidentia", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """``df``, a table as read, dealt out by ``key`` if one of its tasks has more than ``rows`` rows and over twice an even share of the cores.
+
+    A file of one row group is one task, however large. Only the numbers of rows are read for this.
+    """
+    n, most = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not n or most <= rows or most * cores <= 2 * n:
+        return df
+    return df.repartition(max(cores, n // rows), key)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``.
 

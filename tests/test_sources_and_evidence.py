@@ -249,6 +249,19 @@ def test_keys_of_whole_texts_are_not_exchanged(spark, tmp_path):
     assert "MapInArrow" in plan and "Exchange" not in plan and "Aggregate" not in plan
 
 
+def test_texts_of_one_row_group_are_searched_in_many_tasks(spark, tmp_path, monkeypatch):
+    """One file of one row group is read by one task: its texts are dealt out, with the same windows; a table of even tasks is left as it is."""
+    monkeypatch.setattr(fusion, "KEY_DOCUMENTS", 50)
+    texts = [(i, f"{'é' * (i % 40)} αβγδεζηθικλμνξοπρστυφχψω {i}") for i in range(400)]
+    for name, parts in (("one", 1), ("many", 8)):
+        spark.createDataFrame(texts, "doc_id long, text string").repartition(parts).write.parquet(str(tmp_path / name / "documents.parquet"))
+    one, many = (fusion.text_keys(spark, str(tmp_path / name)) for name in ("one", "many"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(one) == rows(many) and one.count() == sum(len(plain_keys(t.encode())) for _, t in texts) > 400
+    assert one.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_each_key_is_asked_once_and_live_entries_never(spark, tmp_path):
     folder = str(tmp_path)
 
